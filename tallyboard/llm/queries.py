@@ -3,13 +3,54 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyboard.llm import bpe, exact_dedup, mixing
+from tallyboard.llm import bpe, exact_dedup, lang_id, licenses, mixing, pii, quality, toxicity, url_filter
 from tallyboard.llm.common import read_table
 
 
+#: Key of the query's pseudonyms; a real run passes a secret.
+PII_KEY = "query-key"
+
+#: The dated URL list of the query: (entry, key, action, listed from).
+URL_LIST = (
+    (1, "casino-win.example.com", "block", "2024-01-10"),
+    (2, "casino-win.example.com", "allow", "2024-05-01"),
+    (3, "casino-win.example.com", "block", "2024-09-15"),
+    (4, "free-bets.example.com", "block", "2024-03-01"),
+    (5, "cheap-pills.example.com", "block", "2023-06-01"),
+    (6, "ads-track.example.com", "block", "2024-02-01"),
+    (7, "ads-track.example.com", "allow", "2024-11-01"),
+    (8, "example.org", "block", "2024-10-01"),
+    (9, "example.org/en", "allow", "2024-10-01"),
+    (10, "tionsh.example.net", "block", "2024-04-01"),
+    (11, "tionsh.example.net", "allow", "2024-04-20"),
+    (12, "blog.tionsh.example.com/de", "block", "2024-07-01"),
+)
+#: Day on which captures begin; the pages table has no fetch time, so page n was fetched n hours later, by turns of a year.
+FIRST_FETCH = "2024-01-01 00:00:00"
+HOURS = 8784
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.pseudonymize(docs, PII_KEY)
+    counts = [F.size(F.filter("pii", lambda v, k=k: v["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", "text", F.size("pii").cast("long").alias("n_values"), *counts)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    hours = F.make_dt_interval(hours=F.pmod(F.col("page_id") * 7, F.lit(HOURS)).cast("int"))
+    captures = pages.select("page_id", "url", (F.lit(FIRST_FETCH).cast("timestamp_ntz") + hours).alias("at"))
+    entries = spark.createDataFrame(list(URL_LIST), "entry_id int, key string, action string, day string").withColumn("listed_at", F.col("day").cast("timestamp_ntz"))
+    return url_filter.judge(captures, entries, "page_id", "url", "at")
+
+
+def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.compression_rules(read_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(read_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -21,11 +62,41 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
+def _fourth(doc_id: Column) -> Column:
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
+
+
+def language_model(docs: DataFrame) -> lang_id.Model:
+    """Model learned from the documents that are not held out."""
+    return lang_id.learn(docs.filter(_fourth(F.col("doc_id")) != 2), F.col("lang"), F.col("text"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = lang_id.identify(docs, language_model(docs))
+    return found.select("doc_id", (_fourth(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels")
+    chain = toxicity.train(docs, labels, [("low_quality", 1 - F.col("quality")), ("toxic", F.col("toxic"))])
+    found = toxicity.predict(docs, chain)
+    return found.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= toxicity.THRESHOLD).alias("toxic"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op6_source_mix, op10_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_pii, op3_url_filter, op4_compression_bands, op5_exact_dedup, op6_source_mix, op7_language, op8_toxicity, op9_licenses, op10_bpe)
+}
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]+"
