@@ -235,3 +235,18 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float, text_col: str = "text", switch: float = SWITCH) -> DataFrame:
+    """The rows of docs, all columns as they were, whose text has a language with at least that score."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for a, b in slices(texts):
+                kept = [lang != UNKNOWN and score >= least for lang, score, _ in label(texts[a:b], sent.value, switch)]
+                yield batch.slice(a, b - a).filter(pa.array(kept, type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyboard.llm import bpe, exact_dedup, lang_id, licenses, mixing, pii, quality, toxicity, url_filter
+from tallyboard.llm import bpe, exact_dedup, lang_id, licenses, mixing, ngram_join, pii, quality, toxicity, url_filter
 from tallyboard.llm.common import read_table
 
 
@@ -35,10 +35,18 @@ HOURS = 8784
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pii.pseudonymize(docs, PII_KEY)
-    counts = [F.size(F.filter("pii", lambda v, k=k: v["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+
+    def of_kind(kind: str) -> Column:
+        return F.size(F.filter("pii", lambda v: v["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [of_kind(k) for k in pii.KINDS]
     return out.select("doc_id", "text", F.size("pii").cast("long").alias("n_values"), *counts)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     hours = F.make_dt_interval(hours=F.pmod(F.col("page_id") * 7, F.lit(HOURS)).cast("int"))
@@ -95,13 +103,27 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op3_url_filter, op4_compression_bands, op5_exact_dedup, op6_source_mix, op7_language, op8_toxicity, op9_licenses, op10_bpe)
+    for f in (op1_pii, op2_ngram_join, op3_url_filter, op4_compression_bands, op5_exact_dedup, op6_source_mix, op7_language, op8_toxicity, op9_licenses, op10_bpe)
 }
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLE_SQL = {
+    "op2_ngram_join": rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS gram FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.seen)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)""",
     "op5_exact_dedup": rf"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
