@@ -33,7 +33,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 #: Documents in a block of a source's order, about.
-BLOCK = 20_000
+BLOCK = 2_000
 #: Weight over training time as (time, factor) knots, for sources by rank in turn; each averages 1.
 SCHEDULES = (((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (0.5, 1.5), (1.0, 0.5)))
 
