@@ -5,8 +5,8 @@ probabilities of all earlier categories. In training these come out of fold (eac
 that never saw it), so later models meet them as unsure as they will be in use.
 
 A feature is a hashed word, or a hashed piece of 4, 6 or 8 letters of one (word edges count as
-letters), present or not. Training takes at most `most_rows` labelled rows, those first by a hash of
-their id; for each category it keeps the pieces whose presence differs most between the classes
+letters), weighed by 1 + log of its count, 3 at most. Training takes at most `most_rows` labelled
+rows, those first by a hash of their id; for each category it keeps the pieces whose presence differs most between the classes
 (chi-square), then fits. Every document is scored over its whole text.
 
 Cases: a null or empty text has no features and gets the probabilities of such a text. Rows without
@@ -32,7 +32,7 @@ BUCKETS = 1 << 20
 PIECES = (4, 6, 8)
 #: Most labelled rows to train on, features by category, folds, and the ridge of the models.
 MOST_ROWS, FEATURES, FOLDS, RIDGE = 16_384, 256, 4, 1.0
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,13 +82,22 @@ class Chain:
             out[:, i] = _sigmoid(w[0] + np.hstack([x, out[:, :i]]) @ w[1:])
         return out
 
-    def matrix(self, texts: list[str | None]) -> np.ndarray:
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        """row x feature: how often it occurs, 255 at most."""
         text, bucket = pieces_of(texts)
         at = self.column[bucket]
         has = at >= 0
-        x = np.zeros((len(texts), int(self.column.max()) + 1), dtype=np.float64)
-        x[text[has], at[has]] = 1.0
-        return x
+        width = int(self.column.max()) + 1
+        found, n = np.unique(text[has] * max(1, width) + at[has], return_counts=True)
+        out = np.zeros((len(texts), width), dtype=np.uint8)
+        out.reshape(-1)[found] = np.minimum(n, 255)
+        return out
+
+
+def weighed(counts: np.ndarray) -> np.ndarray:
+    """Feature values of counts: 0, or 1 + log of the count, 3 at most."""
+    table = np.concatenate([[0.0], np.minimum(1 + np.log(np.arange(1, 256)), 3.0)])
+    return table[counts]
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -123,6 +132,8 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, fold: np.ndarray, ridge: float
         design, y = np.hstack([x, earlier]), labels[:, i]
         known = ~np.isnan(y)
         out.append(fit_logistic(design[known], y[known], ridge))
+        if i == labels.shape[1] - 1:
+            break  # nothing reads the last category's
         unseen = np.zeros(len(x))
         for f in np.unique(fold):
             w = fit_logistic(design[known & (fold != f)], y[known & (fold != f)], ridge)
@@ -184,13 +195,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Co
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
-                bits = [np.packbits(r.astype(bool)).tobytes() for r in sent.value.matrix(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(bits, type=pa.binary()), *(batch.column(2 + i).slice(a, b - a) for i in range(len(ys)))], ["o", "bits", *ys])
+                counts = [r.tobytes() for r in sent.value.counts(texts[a:b])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, type=pa.binary()), *(batch.column(2 + i).slice(a, b - a) for i in range(len(ys)))], ["o", "counts", *ys])
 
-    packed = rows.select("_order", "_text", *ys).mapInArrow(encode, ", ".join(["o string", "bits binary", *(f"{y} double" for y in ys)])).collect()
+    packed = rows.select("_order", "_text", *ys).mapInArrow(encode, ", ".join(["o string", "counts binary", *(f"{y} double" for y in ys)])).collect()
     packed.sort(key=lambda r: r["o"])
     n = len(chosen)
-    x = np.array([np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8), count=n) for r in packed], dtype=np.float64).reshape(len(packed), n)
+    x = weighed(np.array([np.frombuffer(r["counts"], dtype=np.uint8) for r in packed], dtype=np.uint8).reshape(len(packed), n))
     y = np.array([[np.nan if r[c] is None else float(r[c] > 0) for c in ys] for r in packed], dtype=np.float64).reshape(len(packed), len(ys))
     chain.weights = fit_chain(x, y, np.arange(len(packed)) % FOLDS)
     discard(rows, counts)
@@ -206,7 +217,7 @@ def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
-                p = sent.value.probabilities(sent.value.matrix(texts[a:b]))
+                p = sent.value.probabilities(weighed(sent.value.counts(texts[a:b])))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(p[:, i]) for i in range(len(names)))], ["_id", *names])
 
     schema = ", ".join([f"_id {docs.schema[id_col].dataType.simpleString()}", *(f"{n} double" for n in names)])
