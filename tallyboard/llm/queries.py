@@ -32,6 +32,7 @@ URL_LIST = (
 FIRST_FETCH = "2024-01-01 00:00:00"
 HOURS = 8784
 
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pii.pseudonymize(docs, PII_KEY)
@@ -109,6 +110,50 @@ QUERIES = {
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]+"
 
+
+
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _url_sql() -> str:
+    entries = ", ".join(f"({i}, {_text(k)}, {_text(a)}, TIMESTAMP {_text(d)})" for i, k, a, d in URL_LIST)
+    return rf"""
+WITH entry AS (SELECT * FROM (VALUES {entries}) e(entry_id, key, action, listed_at)),
+span AS (SELECT key, action, entry_id, listed_at AS valid_from, lead(listed_at) OVER (PARTITION BY key ORDER BY listed_at) AS valid_to
+  FROM (SELECT key, listed_at, max_by(action, entry_id) AS action, max(entry_id) AS entry_id FROM entry GROUP BY key, listed_at)),
+capture AS (
+  SELECT page_id, url, TIMESTAMP {_text(FIRST_FETCH)} + to_hours((page_id * 7 % {HOURS})::INTEGER) AS fetched_at, nullif(rtrim(regexp_extract(lower(url), '{url_filter.HOST}', 1), '.'), '') AS host FROM pages),
+part AS (SELECT *, string_split(host, '.') AS labels, list_filter(string_split(regexp_extract(url, '{url_filter.PATH}', 1), '/'), lambda p: p <> '') AS parts FROM capture),
+piece AS (
+  SELECT *, list_transform(range(1, least(len(labels), {url_filter.MOST_LABELS}) + 1), lambda k: array_to_string(labels[len(labels) - k + 1:], '.')) AS hosts,
+    list_transform(range(0, least(len(parts), {url_filter.MOST_SEGMENTS}) + 1), lambda k: CASE WHEN k = 0 THEN '' ELSE '/' || array_to_string(parts[1:k], '/') END) AS paths FROM part),
+asked AS (SELECT DISTINCT page_id, fetched_at, h || p AS key FROM (SELECT page_id, fetched_at, h, unnest(paths) AS p FROM (SELECT page_id, fetched_at, paths, unnest(hosts) AS h FROM piece WHERE host IS NOT NULL))),
+best AS (
+  SELECT page_id, arg_max({{'key': key, 'action': action, 'entry_id': entry_id}}, (length(split_part(key, '/', 1)), length(key))) AS e
+  FROM asked JOIN span USING (key) WHERE fetched_at >= valid_from AND (valid_to IS NULL OR fetched_at < valid_to) GROUP BY page_id)
+SELECT page_id, host, fetched_at, coalesce(e.action <> 'block', true) AS allowed, e.entry_id AS entry_id, e.key AS key FROM capture LEFT JOIN best USING (page_id)"""
+
+
+def _license_sql() -> str:
+    known = ", ".join(f"{_text(k)}: {_text(v)}" for k, v in licenses.known().items())
+    anchors = "|".join(licenses.ANCHORS)
+    steps, last = [], "line0"
+    for i, (name, ids) in enumerate(licenses.RULES, 1):
+        run = "".join(f"|{x}|" for x in ids)
+        steps.append(f"line{i} AS (SELECT doc_id, n_sentences, sentence_ids, replace(line, {_text(run)}, '/') AS line, found || repeat({_text(name + ',')}, ((length(line) - length(replace(line, {_text(run)}, '/'))) // {len(run) - 1})::INTEGER) AS found FROM {last})")
+        last = f"line{i}"
+    return rf"""
+WITH cut AS (SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{anchors}') THEN list_filter(list_transform(regexp_split_to_array(lower(text), '
+|[.!?;:]+[ 	
+
+]+'),
+    lambda s: MAP {{{known}}}[trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL) ELSE [] END AS ids FROM documents),
+line0 AS (SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids, CASE WHEN len(ids) > 0 THEN '|' || replace(array_to_string(ids, ','), ',', '||') || '|' ELSE '' END AS line, '' AS found FROM cut),
+{", ".join(steps)}
+SELECT doc_id, n_sentences, sentence_ids, rtrim(found, ',') AS licenses FROM {last}"""
+
+
 ORACLE_SQL = {
     "op2_ngram_join": rf"""
 WITH RECURSIVE w AS (
@@ -124,6 +169,8 @@ both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.seen)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)""",
+    "op3_url_filter": _url_sql(),
+    "op9_licenses": _license_sql(),
     "op5_exact_dedup": rf"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
