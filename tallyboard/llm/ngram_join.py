@@ -2,7 +2,8 @@
 
 A document's set holds the hashes of its distinct word n-grams. Hashes fall into groups; the numbers
 in each group are a point, and the sum of the smaller coordinates of two points bounds the overlap
-of their sets. The join runs in these steps, all on Spark:
+of their sets. A larger set has more groups, a power of two; of two points the finer one is folded to
+the other's groups. The join runs in these steps, all on Spark:
 
 1. sketch: each text's set size, fingerprint and point, and how often each hash bucket occurs.
    Texts with equal sets become one class, so exact copies are settled here.
@@ -11,13 +12,15 @@ of their sets. The join runs in these steps, all on Spark:
    would be too large for a task is dealt into pairs of blocks, in which every pair still meets.
 3. search: in a cell, points are packed into an R-tree (nodes hold coordinate maxima and the range of
    sizes). A pair survives if its sizes allow the threshold and the summed minima do, first of point
-   and node, then of both points. Members of one component are not paired again.
+   and node, then of both points.
 4. verify: survivors' sets are compared exactly; links join components.
 
-A point first names its most promising partners only, `WIDEN` times as many in each later round, and
-a round takes up just the cells in which some point had more to name. The last round finds none, so
-every pair has been linked, refuted or joined by other links: components are exact, and a group of
-near copies costs a few links a document rather than all pairs.
+Survivors are mostly links. So the first round verifies only a spanning forest of each cell's
+survivors, best bounds first. Each later round looks at cells whose members are still in different
+components, and verifies the best survivors between any two of these, `WIDEN` times as many as the
+round before. When no cell has survivors left to name, every pair has been linked, refuted or joined
+by other links: components are exact, and a group of near copies costs about a link a document
+rather than all pairs.
 
 Cases: a null, empty or blank text has an empty set, links with nothing and is its own component. A
 text of fewer words than n has the whole sequence as its one n-gram. Repeated rows are copies; rows
@@ -39,13 +42,14 @@ from pyspark.sql import functions as F
 from tallyboard.llm.common import discard, mix64, saved, slices
 
 WORDS, PERCENT = 5, 80
-GROUPS = 128
+#: Groups of a small set, members of a set per group beyond that, and most groups.
+GROUPS, PER_GROUP, MOST_GROUPS = 128, 8, 8192
 BUCKET_BITS = 16
 #: Members of a cell above the usual count of its bucket, by which the cell is dealt into blocks.
 BLOCK = 20_000
 #: Points in a leaf and children of a node; cells up to TINY are searched without a tree.
 LEAF, TINY = 16, 64
-WIDEN = 4
+WIDEN = 16
 #: Ids up to this many (8 bytes each) may be broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 
@@ -95,23 +99,38 @@ def fingerprint(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
+def groups_of(size: int) -> int:
+    """Number of groups of a set's point, a power of two."""
+    return min(MOST_GROUPS, max(GROUPS, 1 << (size // PER_GROUP).bit_length() - 1)) if size >= GROUPS * PER_GROUP else GROUPS
+
+
 def point(s: np.ndarray) -> tuple[int, bytes]:
     """Unit and coordinates: a group's count, in units, rounded up to a byte."""
-    counts = np.bincount(((s >> np.uint64(20)) & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    groups = groups_of(len(s))
+    counts = np.bincount(((s >> np.uint64(20)) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
     unit = max(1, -(-int(counts.max()) // 255))
     return unit, (-(-counts // unit)).astype(np.uint8).tobytes()
 
 
+def folded(data: bytes, unit: int, groups: int) -> np.ndarray:
+    """Counts of a point in so many groups, at most as many as it has."""
+    counts = np.frombuffer(data, dtype=np.uint8).astype(np.int32) * unit
+    return counts.reshape(-1, groups).sum(axis=0)
+
+
 def prefix_length(size: int, percent: int) -> int:
     """Rarest hashes of a set, one of which any set that reaches the threshold shares."""
     return size - -(-percent * size // 100) + 1
 
 
 class CountTree:
-    """R-tree over count vectors of one cell: packed leaves, nodes with maxima and ranges of sizes."""
+    """R-tree over count vectors of one cell: packed leaves, nodes with maxima and ranges of sizes.
+
+    Only pairs with a member of `own` count; those of other members belong to a finer tree.
+    """
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, component: np.ndarray, percent: int):
-        self.points, self.sizes, self.component, self.percent = points, sizes, component, percent
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, component: np.ndarray, own: np.ndarray, percent: int):
+        self.points, self.sizes, self.component, self.own, self.percent = points, sizes, component, own, percent
         # tiles: by size, then by the two coordinates that vary most
         spread = np.argsort(-points.var(axis=0), kind="stable")[:2]
         tiles = max(1, int(np.sqrt(len(sizes) / LEAF)))
@@ -121,12 +140,11 @@ class CountTree:
         self.levels = []
         high, low_n, high_n = points[self.order], sizes[self.order], sizes[self.order]
         same = component[self.order]
-        while len(high) > 1:
+        while not self.levels or len(high) > 1:
             at = np.arange(0, len(high), LEAF)
             high, low_n, high_n = np.maximum.reduceat(high, at), np.minimum.reduceat(low_n, at), np.maximum.reduceat(high_n, at)
             least, most = np.minimum.reduceat(same, at), np.maximum.reduceat(same, at)
-            mixed = np.maximum.reduceat((same == -1).astype(np.int8), at) > 0
-            same = np.where((least == most) & ~mixed, least, -1)  # -1: members of several components
+            same = np.where(least == most, least, -1)  # -1: members of several components
             self.levels.append((high, low_n, high_n, same))
 
     def survivors(self, query: np.ndarray, other: np.ndarray, high: np.ndarray, low_n: np.ndarray, high_n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +152,7 @@ class CountTree:
         n, t = self.sizes[query], self.percent
         fits = (100 * high_n[other] >= t * n) & (t * low_n[other] <= 100 * n)
         bound = np.zeros(len(query), dtype=np.int64)
-        step = max(1, (1 << 22) // GROUPS)
+        step = max(1, (1 << 22) // self.points.shape[1])
         at = np.nonzero(fits)[0]
         for i in range(0, len(at), step):
             part = at[i : i + step]
@@ -164,50 +182,81 @@ class CountTree:
                 query, node = query[node < below], node[node < below]
             ahead = node < query
             query, node = self.order[query[ahead]], self.order[node[ahead]]
-            new = self.component[query] != self.component[node]
-            query, node = query[new], node[new]
-            keep, bound = self.survivors(query, node, self.points, self.sizes, self.sizes)
-            out.append((query[keep], node[keep], bound[keep]))
+            out.append(self.passing(query, node))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
+    def passing(self, query: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs of points between components whose bound allows the threshold, with the bound."""
+        new = (self.component[query] != self.component[node]) & (self.own[query] | self.own[node])
+        query, node = query[new], node[new]
+        keep, bound = self.survivors(query, node, self.points, self.sizes, self.sizes)
+        return query[keep], node[keep], bound[keep]
+
     def near(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Surviving pairs whose places in the tree differ by one leaf at most."""
         k = np.arange(len(self.sizes))
         query = np.concatenate([k[d:] for d in range(1, LEAF + 1)])
         node = np.concatenate([k[:-d] for d in range(1, LEAF + 1)])
         query, node = self.order[query], self.order[node]
-        new = self.component[query] != self.component[node]
-        query, node = query[new], node[new]
-        keep, bound = self.survivors(query, node, self.points, self.sizes, self.sizes)
-        return query[keep], node[keep], bound[keep]
-
-
-def best_partners(query: np.ndarray, node: np.ndarray, bound: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Each query's `most` partners of highest bound, and whether any query had more."""
-    order = np.lexsort((node, -bound, query))
-    query, node = query[order], node[order]
-    first = np.concatenate([[True], query[1:] != query[:-1]]) if len(query) else np.zeros(0, dtype=bool)
-    at = np.arange(len(query)) - np.maximum.accumulate(np.where(first, np.arange(len(query)), 0)) if len(query) else np.zeros(0, dtype=np.int64)
+        return self.passing(query, node)
+
+
+def forest(query: np.ndarray, node: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """A spanning forest of the pairs, best bounds first, and whether it leaves any pair out."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    picked = []
+    for i in np.lexsort((node, query, -bound)).tolist():
+        a, b = find(int(query[i])), find(int(node[i]))
+        if a != b:
+            root[a] = b
+            picked.append(i)
+    return query[picked], node[picked], len(picked) < len(query)
+
+
+def best_between(query: np.ndarray, node: np.ndarray, bound: np.ndarray, component: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The `most` pairs of highest bound between any two components, and whether some pair has more."""
+    x, y = np.minimum(component[query], component[node]), np.maximum(component[query], component[node])
+    order = np.lexsort((node, query, -bound, y, x))
+    query, node, x, y = query[order], node[order], x[order], y[order]
+    places = np.arange(len(query))
+    first = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])[: len(query)]
+    at = places - np.maximum.accumulate(np.where(first, places, 0)) if len(query) else places
     return query[at < most], node[at < most], bool((at >= most).any())
 
 
-def search_cell(points: np.ndarray, sizes: np.ndarray, component: np.ndarray, percent: int, most: int, first_round: bool) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of rows to verify in one cell, and whether more are left."""
-    if len(sizes) <= TINY:
-        query, node = np.tril_indices(len(sizes), -1)
-        new = component[query] != component[node]
-        query, node = query[new], node[new]
-        n, m = sizes[query], sizes[node]
-        fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-        query, node = query[fits], node[fits]
-        bound = np.minimum(points[query], points[node]).sum(axis=1)
-        keep = (100 + percent) * bound >= percent * (sizes[query] + sizes[node])
-        return best_partners(query[keep], node[keep], bound[keep], most)
-    tree = CountTree(points, sizes, component, percent)
-    if first_round:
-        query, node, _ = best_partners(*tree.near(), most)
-        return query, node, True
-    return best_partners(*tree.pairs(), most)
+def search_cell(data: list[bytes], units: np.ndarray, sizes: np.ndarray, component: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of rows to verify in one cell, and whether more are left. most 0 asks for the first round's forest.
+
+    component: small numbers from 0.
+    """
+    groups = np.array([len(d) for d in data])
+    found, more = [], False
+    for g in np.unique(groups):
+        rows = np.nonzero((groups == g) | (groups == 2 * g))[0]
+        own = groups[rows] == g
+        if len(rows) < 2 or not own.any():
+            continue
+        points = np.stack([folded(data[i], int(units[i]), int(g)) for i in rows])
+        tree = CountTree(points, sizes[rows], component[rows], own, percent)
+        if len(rows) <= TINY:
+            q, r, bound = tree.passing(*np.tril_indices(len(rows), -1))
+        elif most == 0:
+            q, r, bound = tree.near()
+            more = True
+        else:
+            q, r, bound = tree.pairs()
+        found.append((rows[q], rows[r], bound))
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), False
+    query, node, bound = (np.concatenate(x) for x in zip(*found, strict=True))
+    q, r, rest = forest(query, node, bound) if most == 0 else best_between(query, node, bound, component, most)
+    return q, r, more or rest
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
@@ -309,7 +358,7 @@ def _meetings(cells: DataFrame) -> DataFrame:
     return cells.repartition("cell").mapInArrow(run, "meeting long, fp long").distinct()
 
 
-def _search(members: DataFrame, percent: int, most: int, first_round: bool) -> DataFrame:
+def _search(members: DataFrame, percent: int, most: int) -> DataFrame:
     """(a, b) to verify with a < b; rows with only a meeting name cells that have more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,9 +376,8 @@ def _search(members: DataFrame, percent: int, most: int, first_round: bool) -> D
             own = component[rows]
             if (own == own[0]).all():
                 continue
-            points = np.frombuffer(b"".join([bytes_of[int(i)].as_py() for i in rows]), dtype=np.uint8).reshape(len(rows), GROUPS).astype(np.int32) * unit[rows, None].astype(np.int32)
-            # components get small numbers, so that -1 is free
-            q, r, rest = search_cell(points, size[rows], np.unique(own, return_inverse=True)[1], percent, most, first_round)
+            data = [bytes_of[int(i)].as_py() for i in rows]
+            q, r, rest = search_cell(data, unit[rows], size[rows], np.unique(own, return_inverse=True)[1], percent, most)
             left.append(fp[rows[q]])
             right.append(fp[rows[r]])
             if rest:
@@ -381,8 +429,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of the nodes of links (a, b); a component is its smallest node.
 
-    Each task joins the links it holds; a node with roots in several tasks links these in the next
-    round, until every node has one root.
+    Each task joins the links it holds and names each node's root. Roots that share a node are linked
+    in turn, and the components of these fewer links settle the rest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,16 +454,15 @@ def components(links: DataFrame) -> DataFrame:
             part = nodes[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part, type=pa.int64()), pa.array([find(x) for x in part], type=pa.int64())], ["node", "root"])
 
-    edges = links.select("a", "b")
-    while True:
-        stars = saved(edges.repartition("a").mapInArrow(run, "node long, root long"), "stars")
-        best = stars.groupBy("node").agg(F.min("root").alias("component"), F.max("root").alias("last"))
-        best = saved(best, "roots")
-        if best.filter("component < last").isEmpty():
-            discard(stars)
-            return best.select("node", "component")
-        old = stars.join(best, "node").select(F.col("root").alias("a"), F.col("component").alias("b"))
-        edges = old.union(best.select(F.col("node").alias("a"), F.col("component").alias("b"))).distinct()
+    stars = saved(links.select("a", "b").mapInArrow(run, "node long, root long"), "stars")
+    best = stars.groupBy("node").agg(F.min("root").alias("best"), F.max("root").alias("last"))
+    split = best.filter("best < last").select("node", "best")
+    roots = saved(stars.join(split, "node").filter("root > best").select(F.col("best").alias("a"), F.col("root").alias("b")).distinct(), "roots")
+    if roots.isEmpty():
+        return best.select("node", F.col("best").alias("component"))
+    # a root stands for itself too, so its own star joins it to a smaller one elsewhere
+    above = components(roots).withColumnRenamed("node", "best")
+    return best.join(above, "best", "left").select("node", F.coalesce("component", "best").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -432,35 +479,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hits[row["bucket"]] = row["hits"]
     rows = sketch.filter("bucket IS NULL").select("doc_id", "size", "fp", "unit", "point")
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))["doc_id"]
-    classes = rows.filter("fp IS NOT NULL").groupBy("fp").agg(smallest.alias("rep"), F.count(F.lit(1)).alias("class_size"))
-    classes = saved(classes, "classes")
-    described = rows.filter("fp IS NOT NULL").select("fp", "size", "unit", "point").dropDuplicates(["fp"])
-    meetings = _meetings(_cells(docs, hits, n, percent, block))
-    members = saved(meetings.join(described, "fp"), "members")
-
-    none = docs.sparkSession.createDataFrame([], "node long, component long")
-    comp, checked, sets, links, most = none, [], [], [], 1
-    active = members
+    shape = [F.any_value(c).alias(c) for c in ("size", "unit", "point")]
+    classes = saved(rows.filter("fp IS NOT NULL").groupBy("fp").agg(smallest.alias("rep"), F.count(F.lit(1)).alias("class_size"), *shape), "classes")
+    points = classes.select("fp", "size", "unit", "point")
+    members = saved(_meetings(_cells(docs, hits, n, percent, block)), "members")
+
+    comp: DataFrame | None = None
+    checked: list[DataFrame] = []
+    sets: list[DataFrame] = []
+    active, most = members.withColumn("component", F.col("fp")), 0
     while True:
-        with_comp = active.join(comp, active["fp"] == comp["node"], "left").select("meeting", "fp", "size", "unit", "point", F.coalesce("component", "fp").alias("component"))
-        found = saved(_search(with_comp, percent, most, most == 1), "found")
+        found = saved(_search(active.join(points, "fp"), percent, most), "found")
         pairs = found.filter("a IS NOT NULL").select("a", "b").distinct()
         for old in checked:
             pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        if not pairs.isEmpty():
+        if not found.filter("a IS NOT NULL").isEmpty():
             wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
             for old in sets:
                 wanted = wanted.join(old.select("fp"), "fp", "left_anti")
-            sets.append(saved(_sets(docs, saved(wanted.join(classes, "fp").select("fp", "rep"), "wanted"), n), "sets"))
+            sets.append(saved(_sets(docs, wanted.join(classes, "fp").select("fp", "rep"), n), "sets"))
             checked.append(saved(_verified(pairs, reduce(DataFrame.union, sets), percent), "checked"))
-            links.append(checked[-1].filter("linked"))
-            comp = components(reduce(DataFrame.union, links))
+            if comp is None or not checked[-1].filter("linked").isEmpty():
+                comp = components(reduce(DataFrame.union, checked).filter("linked"))
         more = found.filter("meeting IS NOT NULL").select("meeting").distinct()
-        if more.isEmpty():
+        if comp is None or found.filter("meeting IS NOT NULL").isEmpty():
             break
-        active = saved(active.join(more, "meeting", "left_semi"), "active")
-        most *= WIDEN
+        # cells with more to name, as far as their members are in different components
+        open_cells = members.join(more, "meeting", "left_semi").join(comp, members["fp"] == comp["node"], "left").select("meeting", "fp", F.coalesce("component", "fp").alias("component"))
+        uneven = open_cells.groupBy("meeting").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("meeting")
+        active = open_cells.join(uneven, "meeting", "left_semi")
+        most = max(1, most) * WIDEN
+    if comp is None:
+        comp = docs.sparkSession.createDataFrame([], "node long, component long")
     discard(members, *sets)
     labelled = classes.join(comp, classes["fp"] == comp["node"], "left").select("fp", "rep", "class_size", F.coalesce("component", "fp").alias("component"))
     ids = labelled.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep"))["rep"].alias("component_id"))
