@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 from tallyboard.llm.common import discard, mix64, saved, slices
 
 WORDS, PERCENT = 5, 80
-#: Groups of a small set, members of a set per group beyond that, and most groups.
-GROUPS, PER_GROUP, MOST_GROUPS = 128, 8, 8192
+#: Groups of a small set's point, members per group of a larger one's, and most groups.
+GROUPS, PER_GROUP, MOST_GROUPS = 512, 2, 8192
 BUCKET_BITS = 16
 #: Members of a cell above the usual count of its bucket, by which the cell is dealt into blocks.
 BLOCK = 20_000
@@ -131,12 +131,14 @@ class CountTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, component: np.ndarray, own: np.ndarray, percent: int):
         self.points, self.sizes, self.component, self.own, self.percent = points, sizes, component, own, percent
-        # tiles: by size, then by the two coordinates that vary most
+        # tiles: large components apart, then by size, then by the two coordinates that vary most
+        members = np.bincount(component)[component]
+        apart = np.where(members > LEAF, component + 1, 0)
         spread = np.argsort(-points.var(axis=0), kind="stable")[:2]
         tiles = max(1, int(np.sqrt(len(sizes) / LEAF)))
         by_size = np.empty(len(sizes), dtype=np.int64)
         by_size[np.argsort(sizes, kind="stable")] = np.arange(len(sizes)) * tiles // len(sizes)
-        self.order = np.lexsort((points[:, spread[1]], points[:, spread[0]], by_size))
+        self.order = np.lexsort((points[:, spread[1]], points[:, spread[0]], by_size, apart))
         self.levels = []
         high, low_n, high_n = points[self.order], sizes[self.order], sizes[self.order]
         same = component[self.order]
@@ -156,7 +158,7 @@ class CountTree:
         at = np.nonzero(fits)[0]
         for i in range(0, len(at), step):
             part = at[i : i + step]
-            bound[part] = np.minimum(self.points[query[part]], high[other[part]]).sum(axis=1)
+            bound[part] = np.minimum(self.points[query[part]], high[other[part]]).sum(axis=1, dtype=np.int64)
         least = np.maximum(low_n[other], -(-t * n // 100))
         return fits & ((100 + t) * bound >= t * (n + least)), bound
 
@@ -243,6 +245,8 @@ def search_cell(data: list[bytes], units: np.ndarray, sizes: np.ndarray, compone
         if len(rows) < 2 or not own.any():
             continue
         points = np.stack([folded(data[i], int(units[i]), int(g)) for i in rows])
+        if points.max() < 256:
+            points = points.astype(np.uint8)
         tree = CountTree(points, sizes[rows], component[rows], own, percent)
         if len(rows) <= TINY:
             q, r, bound = tree.passing(*np.tril_indices(len(rows), -1))
