@@ -1,9 +1,10 @@
 """Licence scans by sentence rules, with DataFrame functions.
 
-A text is cut into sentences (at line ends and after . ! ? ; : before white space), each normalised
-(lower case, comment marks and punctuation to spaces, blanks collapsed). A sentence that is a known
-licence sentence becomes its identifier, others vanish, and what remains is a sequence of
-identifiers. Ordered rules - longer sequences first - match runs of that sequence; what one rule
+A text is cut into pieces (at line ends and after . ! ? ; : before white space), each normalised
+(lower case, comment marks and punctuation to spaces, blanks collapsed). A known licence sentence is
+one piece or, wrapped, a run of lines of one paragraph: a run ends where a sentence does and at blank
+lines (comment marks alone are blank). Of known sentences that begin at one place the longest counts.
+Each becomes its identifier, all else vanishes, and what remains is a sequence of identifiers. Ordered rules - longer sequences first - match runs of that sequence; what one rule
 took, a later one cannot take again. Texts without any of the anchor words, one of which every known
 sentence holds, are not cut.
 
@@ -91,7 +92,8 @@ RULES = (
 #: Every known sentence holds one of these, in lower case.
 ANCHORS = ("licen", "permission", "copyright", "warrant", "free software", "redistribut", "rights reserved", "public domain", "as is")
 
-CUT = r"\n|[.!?;:]+\s+"
+END = r"[.!?;:]+\s+"
+CUT = rf"\n|{END}"
 NOISE = r"[^a-z0-9]+"
 
 
@@ -113,10 +115,16 @@ def known() -> dict[str, str]:
 
 def sentence_ids(text: Column) -> Column:
     """Array of identifiers of the known sentences of a text, in order."""
-    ids = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
-    pieces = F.transform(F.split(F.lower(text), CUT), lambda s: F.try_element_at(ids, F.trim(F.regexp_replace(s, NOISE, " "))))
-    has = F.lower(text).rlike("|".join(map(re.escape, ANCHORS)))
-    return F.when(has, F.array_compact(pieces)).otherwise(F.array().cast("array<string>"))
+    sentences = known()
+    ids = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
+    # lower-cased text has no capitals: S stands for an end of sentence or paragraph, L for one of a line
+    marked = F.concat(F.lit("S"), F.replace(F.regexp_replace(F.lower(text), END, "S"), F.lit("\n"), F.lit("L")), F.lit("S"))
+    marked = F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9SL]+", " "), " *([SL]) *", "$1")
+    marked = F.regexp_replace(marked, "L*S[SL]*|LL+", "S")
+    one_of = "|".join(x.replace(" ", "[ L]") for x in sorted(sentences, key=len, reverse=True))
+    found = F.regexp_extract_all(marked, F.lit(f"(?<=[SL])(?:{one_of})(?=[SL])"), F.lit(0))
+    has = F.lower(text).rlike("|".join(a.replace(" ", NOISE) for a in ANCHORS))
+    return F.when(has, F.transform(found, lambda s: F.element_at(ids, F.replace(s, F.lit("L"), F.lit(" "))))).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:

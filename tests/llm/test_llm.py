@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -367,6 +368,26 @@ def test_license_rules(spark, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
+def wrapped(text: str, mark: str, end: str = "\n") -> str:
+    return end.join(f"{mark}{x}".rstrip() for p in text.split("\n\n") for x in [*textwrap.wrap(p, 60), ""])
+
+
+def test_license_sentences_wrapped_over_lines(spark):
+    s = licenses.SENTENCES
+    bsd2 = f"Copyright (c) 2020, A B\n\n{s['bsd-redistribution']}:\n\n1. {s['bsd-source']}\n\n2. {s['bsd-binary']}"
+    bsd3 = f"{bsd2}\n\n3. {s['bsd-endorse']}"
+    gpl = f"{s['gpl-free']}: {s['gpl3-redistribute']}\n\n{s['gpl-hope']}; without even the implied warranty of FITNESS."
+    gpl2 = f"{s['gpl-free']}; {s['gpl2-redistribute']}"
+    mit = f"{s['mit-grant']}:\n\n{s['mit-condition']}\n\n{s['mit-warranty']}"
+    want = {bsd2: "BSD-2-Clause", bsd3: "BSD-3-Clause", gpl: "GPL-3.0-or-later", gpl2: "GPL-2.0-or-later", mit: "MIT", s["isc-grant"]: "ISC", s["mpl-notice"]: "MPL-2.0", s["unlicense"]: "Unlicense"}
+    rows = [(wrapped(t, mark, end), name) for t, name in want.items() for mark in ("", "# ", " * ", "// ") for end in ("\n", "\r\n")]
+    # a line of its own stays a sentence, and a blank line parts what is not one sentence
+    rows += [("x y\nAll rights reserved", "All-Rights-Reserved"), ("# All rights\n# reserved.", "All-Rights-Reserved"), ("All rights\n\nreserved.", ""), ("# All rights\n#\n# reserved. as is", "")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [name for _, name in rows]
+
+
 # --- url filter ---------------------------------------------------------------------------------
 def test_url_filter_as_of(spark):
     entries = spark.createDataFrame([(1, "bad.com", "block", "2024-02-01"), (2, "bad.com", "allow", "2024-03-01"), (3, "ok.bad.com", "allow", "2024-01-01"), (4, "x.org/ads", "block", "2024-01-01"), (5, "bad.com", "allow", "2024-02-01")], "entry_id int, key string, action string, d string").withColumn("listed_at", F.col("d").cast("timestamp_ntz"))
