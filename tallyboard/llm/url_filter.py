@@ -2,9 +2,9 @@
 
 A list is dated: an entry says from when a key (a domain with all below it, or a domain with a path
 prefix) is blocked or allowed again. Entries of one key become validity intervals, each ending where
-the next begins. A capture (URL and fetch time) asks for its host, each parent domain, and each of
-these with each prefix of its path; an equi-join on the key with the interval around the fetch time
-evaluates it against the entries active then. The most specific active entry decides (longest host,
+the next begins. A capture (URL and fetch time) asks for its host, its parent domains, and these with
+prefixes of its path, at all depths (labels and segments) that keys of the list have; an equi-join on
+the key with the interval around the fetch time evaluates it against the entries active then. The most specific active entry decides (longest host,
 then longest path).
 
 Cases: a null or unparsable URL has a null host and is allowed, as is a capture without fetch time.
@@ -15,12 +15,14 @@ clash. Keys a third of all captures share are split by Spark (both join sides ar
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyboard.llm.common import saved
 
-#: Labels of a host and segments of a path that keys can have; deeper parts never name a key.
+#: Depths to which the query's SQL expands captures; no key of its list is deeper. judge() reads depths off the list.
 MOST_LABELS, MOST_SEGMENTS = 8, 4
 HOST = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(/[^?#]*)"
@@ -30,14 +32,29 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.rtrim(F.regexp_extract(F.lower(url), HOST, 1), F.lit(".")), F.lit(""))
 
 
-def keys_of(url: Column) -> Column:
-    """Array of keys: parent domains of the host, alone and with each prefix of the path."""
+def depths_of(keys: DataFrame) -> list[tuple[int, int]]:
+    """The different depths (labels of the host, segments of the path) of keys (key), a few numbers."""
+    labels = F.size(F.split(F.substring_index("key", "/", 1), r"\."))
+    segments = F.size(F.split("key", "/")) - 1
+    return sorted((r[0], r[1]) for r in keys.select(labels, segments).distinct().collect())
+
+
+def keys_of(url: Column, depths: Sequence[tuple[int, int]]) -> Column:
+    """Array of keys: parent domains of the host with prefixes of the path, at the given depths."""
+    if not depths:
+        return F.array().cast("array<string>")
     labels = F.split(host_of(url), r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(MOST_LABELS))), lambda k: F.array_join(F.slice(labels, -k, k), "."))
     parts = F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda p: p != "")
-    depth = F.least(F.size(parts), F.lit(MOST_SEGMENTS))
-    paths = F.transform(F.sequence(F.lit(0), depth), lambda k: F.when(k == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, k), "/"))))
-    return F.when(host_of(url).isNotNull(), F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p)))))
+    wanted = F.array(*[F.struct(F.lit(n).alias("labels"), F.lit(k).alias("segments")) for n, k in depths])
+
+    def at(d: Column, labels: Column, parts: Column) -> Column:
+        key = F.array_join(F.concat(F.array(F.array_join(F.slice(labels, -d["labels"], d["labels"]), ".")), F.slice(parts, F.lit(1), d["segments"])), "/")
+        return F.when((d["labels"] <= F.size(labels)) & (d["segments"] <= F.size(parts)), key)
+
+    # labels and parts are made once and read at each depth
+    both = F.array(F.struct(labels.alias("labels"), parts.alias("parts")))
+    keys = F.flatten(F.transform(both, lambda b: F.array_compact(F.transform(wanted, lambda d: at(d, b["labels"], b["parts"])))))
+    return F.when(host_of(url).isNotNull(), keys)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -52,7 +69,7 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str, ti
     spans = saved(intervals(entries), "intervals")  # its size is known from its files, so Spark broadcasts a short list only
     # a capture keeps its row together: keys are looked up from an exploded copy, the best entry comes back by row number
     rows = saved(captures.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(time_col).alias("_at"), F.monotonically_increasing_id().alias("_row")), "captures")
-    asked = rows.select("_row", "_at", F.explode(F.array_distinct(keys_of(F.col("_url")))).alias("_key"))
+    asked = rows.select("_row", "_at", F.explode(F.array_distinct(keys_of(F.col("_url"), depths_of(spans)))).alias("_key"))
     inside = (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
     active = asked.join(spans, (F.col("_key") == F.col("key")) & inside)
     order = F.struct(F.length(F.substring_index("key", "/", 1)), F.length("key"))

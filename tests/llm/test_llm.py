@@ -402,6 +402,15 @@ def test_url_filter_as_of(spark):
     assert url_filter.judge(df, entries.limit(0), "page_id", "url", "at").filter("allowed").count() == len(rows)
 
 
+def test_url_filter_keys_of_any_depth(spark):
+    host = ".".join("abcdefghij") + ".bad.com"
+    entries = spark.createDataFrame([(1, "x.org/1/2/3/4/5/6", "block"), (2, "x.org/1/2", "allow"), (3, host, "block"), (4, "bad.com", "allow")], "entry_id int, key string, action string").withColumn("listed_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    urls = ["http://x.org/1/2/3/4/5/6/7", "http://x.org/1/2/3/4/5/7", f"http://w.{host}/a/b", "http://bad.com/1/2", f"http://{host[2:]}", "http://org/1/2/3/4/5/6"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("at", F.lit("2024-02-01").cast("timestamp_ntz"))
+    got = {r["page_id"]: (r["allowed"], r["entry_id"]) for r in url_filter.judge(df, entries, "page_id", "url", "at").collect()}
+    assert got == {0: (False, 1), 1: (True, 2), 2: (False, 3), 3: (True, 4), 4: (True, 4), 5: (True, None)}
+
+
 # --- pii ----------------------------------------------------------------------------------------
 def luhn(digits: str) -> bool:
     total = sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(int(c) for c in reversed(digits)))
