@@ -438,6 +438,32 @@ def test_pii_formats_and_links(spark, nothing):
     assert pii.pseudonymize(nothing, "k").count() == 0
 
 
+def test_pii_valid_values_inside_longer_candidates(spark):
+    card, odd = "4111 1111 1111 1111", "5500-0000-0000-0004"
+    cases = [
+        (f"paid 2 {card}", ["card"], ["paid 2 "]), (f"{card} 12/25", ["card"], [" 12/25"]), (f"{card} 123.", ["card"], [" 123."]), (f"12345 {card} 55", ["card"], ["12345 ", " 55"]),
+        (f"{card} {odd} 7", ["card", "card"], [" 7"]), (f"AB12 {card} x", ["card"], ["AB12 "]), (f"AB12 {odd} x", ["card"], ["AB12 "]), (f"{card} 123-45-6789", ["card", "ssn"], []),
+        (f"{card} 2020-01-05", ["card", "date"], []), (f"{card} 12ab", ["card"], [" 12ab"]), ("call +14155550123 now", ["phone"], ["call +1", " now"]), ("+33 1 23 45 67 89 2 times", ["phone"], ["+33 ", " 2 times"]),
+        ("+33123456789", ["phone"], ["+33"]), ("+49 170 123 45 67", ["phone"], ["+49 "]), ("+91 98765 43210", ["phone"], ["+91 "]), (f"+49 30 123456 {card}", ["phone", "card"], ["+49 "]),
+        ("at 2020-01-05T10:00:00Z on", ["date"], ["at ", "T10:00:00Z on"]), ("GB82 WEST 1234 5698 7654 32 THE END", ["iban"], ["GB", " THE END"]), ("NL91ABNA0417164300", ["iban"], ["NL"]),
+        ("FR14 2004 1010 0505 0001 3M02 606", ["iban"], ["FR"]), ("IT60X0542811101000000123456,", ["iban"], ["IT"]), (f"BE68 5390 0754 7034 {card}", ["iban", "card"], ["BE"]), ("XX12 ABCD GB82 WEST 1234 5698 7654 32", ["iban"], ["XX12 ABCD GB"]),
+        ("AB12 JOHN DOE1@EXAMPLE.COM", ["email"], ["AB12 JOHN ", "@EXAMPLE.COM"]), ("4111 1111 1111 1112 and 2 4111 1111 1111 1112", [], ["4111 1111 1111 1112 and 2 4111 1111 1111 1112"]),
+        ("GB82 WEST 1234 5698 7654 33", [], ["GB82 WEST 1234 5698 7654 33"]), ("+2 12 +999123", [], ["+2 12 +999123"]), ("12 34 56 78 " * 3000, None, []),
+    ]
+    out = pii.pseudonymize(spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(cases)], "doc_id int, text string"), "k").collect()
+    got = {r["doc_id"]: r for r in out}
+    for i, (text, kinds, left) in enumerate(cases):
+        new, values = got[i]["text"], [v["value"] for v in got[i]["pii"]]
+        assert kinds is None or [v["kind"] for v in got[i]["pii"]] == kinds, text
+        assert len(new) == len(text) and all(x in new for x in left) and all(v in new and v not in text for v in values), (text, new)
+        for v in got[i]["pii"]:
+            signs = re.sub(r"[ -]", "", v["value"])
+            assert v["kind"] != "card" or luhn(signs)
+            assert v["kind"] != "iban" or int("".join(str(int(c, 36)) for c in signs[4:] + signs[:4])) % 97 == 1
+    once = {v["value"].replace(" ", "") for i in (0, 1, 2, 3, 5, 7) for v in got[i]["pii"] if v["kind"] == "card"}
+    assert len(once) == 1
+
+
 def test_pii_is_a_keyed_bijection(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     one = df.select("d", pii.permute_digits(F.col("d"), "k1", "t").alias("p"), pii.permute_digits(F.col("d"), "k2", "t").alias("q"))
