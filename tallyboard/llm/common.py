@@ -54,6 +54,11 @@ def normal_text(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_CLASS, " ")
 
 
+def text_digest(text: Column) -> Column:
+    """Digest of a text (null counts as empty), which tells rows of one id apart."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text (null: 0), as long."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_CLASS)).cast("long")

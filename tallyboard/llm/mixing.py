@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyboard.llm.common import saved, word_count
+from tallyboard.llm.common import saved, text_digest, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -72,13 +72,20 @@ def time_at(part: Column, knots: Sequence[tuple[float, float]]) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, repeats, start, times.
+    """One row per document: doc_id, source, size, source_size, target, taken, repeats, start, times, place, digest.
 
     repeats is how often the mix takes the document, start the words of its source before it, times an
     array with its training time in each pass.
     """
+    return _mixed(_sizes(docs, id_col, source_col, text_col), weights, share, most, schedules, block)
+
+
+def _sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    sizes = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order.alias("place")), "sizes")
+    return saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order.alias("place"), text_digest(F.col(text_col)).alias("digest")), "sizes")
+
+
+def _mixed(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, block: int = BLOCK) -> DataFrame:
     targets = saved(source_targets(sizes, weights, share, most), "targets").withColumnRenamed("source", "of")
     head = F.conv(F.substring("place", 1, 8), 16, 10).cast("long")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / block)).cast("long")
@@ -86,7 +93,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     sums = rows.groupBy("rank", "block").agg(F.sum("size").alias("block_size"))
     before = Window.partitionBy("rank").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("rank", "block", F.coalesce(F.sum("block_size").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("rank", "block").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("rank", "block").orderBy("place", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["rank", "block"])
     placed = placed.withColumn("start", F.col("offset") + F.col("inside"))
     fits = F.floor((F.col("target") - F.col("start") - F.col("size") / 2) / F.col("source_size")) + 1
@@ -102,18 +109,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
             out = t if out is None else F.when(F.col("rank") % len(schedules) == i, t).otherwise(out)
         return out
 
-    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats", "start", F.transform(passes, time).alias("times"), "place")
+    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats", "start", F.transform(passes, time).alias("times"), "place", "digest")
 
 
 def curriculum(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """docs in training order: each row as often as the mix takes it, range-sorted by its times.
 
-    Rows that share an id share the times of the one that is taken most, then earliest.
+    Each row has its own times, also where ids repeat: rows are told apart by id, source and text, and
+    rows that are equal in these are numbered.
     """
-    mixed = mix(docs, id_col, source_col, text_col, **options).filter("repeats > 0")
-    best = F.max_by("times", F.struct("repeats", -F.col("start")))
-    plan = mixed.groupBy("doc_id").agg(best.alias("times")).select(F.col("doc_id").alias("_mix_id"), F.explode("times").alias("_mix_time"))
-    row = F.struct(*[docs[c] for c in docs.columns])
-    found = docs.select(row.alias("_mix_row")).join(plan, F.col("_mix_row")[id_col].eqNullSafe(F.col("_mix_id")))
-    ordered = found.repartitionByRange(F.col("_mix_time")).sortWithinPartitions("_mix_time", "_mix_id")
+    sizes = _sizes(docs, id_col, source_col, text_col)
+    mixed = _mixed(sizes, **options).withColumn("number", F.lit(1))
+    found = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_mix_row"), text_digest(docs[text_col]).alias("_mix_text"), F.lit(1).alias("_mix_number"))
+    own = F.col("_mix_row")[id_col], F.col("_mix_row")[source_col], F.col("_mix_text")
+    if not sizes.groupBy("doc_id", "source", "digest").count().filter("count > 1").isEmpty():
+        mixed = mixed.withColumn("number", F.row_number().over(Window.partitionBy("doc_id", "source", "digest").orderBy("start")))
+        found = found.withColumn("_mix_number", F.row_number().over(Window.partitionBy(*own).orderBy("_mix_text")))
+    plan = mixed.filter("repeats > 0").select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("digest").alias("_mix_digest"), F.col("number").alias("_mix_nth"), F.explode("times").alias("_mix_time"))
+    same = own[0].eqNullSafe(F.col("_mix_id")) & own[1].eqNullSafe(F.col("_mix_source")) & (own[2] == F.col("_mix_digest")) & (F.col("_mix_number") == F.col("_mix_nth"))
+    ordered = found.join(plan, same).repartitionByRange(F.col("_mix_time")).sortWithinPartitions("_mix_time", "_mix_id")
     return ordered.select(*[F.col("_mix_row")[c].alias(c) for c in docs.columns])

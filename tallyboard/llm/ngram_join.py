@@ -36,10 +36,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyboard.llm.common import discard, mix64, saved, slices
+from tallyboard.llm.common import discard, mix64, saved, slices, text_digest
 
 WORDS, PERCENT = 5, 80
 #: Groups of a small set's point, members per group of a larger one's, and most groups.
@@ -273,14 +273,14 @@ def _numbers(table: pa.Table, name: str) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, n: int) -> DataFrame:
-    """A row per document (doc_id, size, fp, unit, point), and of each task a row per hash bucket (bucket, hits)."""
+    """A row per document (doc_id, digest, size, fp, unit, point), and of each task a row per hash bucket (bucket, hits)."""
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits, kind = np.zeros(1 << BUCKET_BITS, dtype=np.int64), None
-        names = ["doc_id", "size", "fp", "unit", "point", "bucket", "hits"]
+        names = ["doc_id", "digest", "size", "fp", "unit", "point", "bucket", "hits"]
         for batch in batches:
-            kind = batch.schema.field(0).type
+            kind = batch.schema.field(0).type, batch.schema.field(2).type
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
                 sets = shingle_sets(texts[a:b], n)
@@ -288,13 +288,13 @@ def _sketch(docs: DataFrame, n: int) -> DataFrame:
                 hits += np.bincount((whole >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(hits))
                 points = [point(s) if len(s) else (None, None) for s in sets]
                 none = b - a
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], type=pa.int64()), pa.array([p[0] for p in points], type=pa.int64()), pa.array([p[1] for p in points], type=pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], type=pa.int64()), pa.array([p[0] for p in points], type=pa.int64()), pa.array([p[1] for p in points], type=pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.int64())], names)
         at = np.nonzero(hits)[0]
         if len(at):
             k = len(at)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(at, type=pa.int32()), pa.array(hits[at], type=pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind[0]), pa.nulls(k, kind[1]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(at, type=pa.int32()), pa.array(hits[at], type=pa.int64())], names)
 
-    schema = f"doc_id {id_type.simpleString()}, size long, fp long, unit long, point binary, bucket int, hits long"
+    schema = f"doc_id {id_type.simpleString()}, digest string, size long, fp long, unit long, point binary, bucket int, hits long"
     return docs.mapInArrow(run, schema)
 
 
@@ -475,16 +475,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents link when 100 * intersection >= percent * union of their n-gram sets; component_id is
     the smallest id reachable by links.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _joined(docs, id_col, text_col, n, percent, block).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", "class_size")
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """near_duplicates with each row's digest and whether it is its component's first (by id, then digest; null ids last)."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_digest(F.col(text_col)).alias("digest"))
     sketch = saved(_sketch(docs, n), "sketch")
     counted = sketch.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("hits").alias("hits"))
     hits = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
     for row in counted.collect():  # a row per bucket, of which there are 65,536
         hits[row["bucket"]] = row["hits"]
-    rows = sketch.filter("bucket IS NULL").select("doc_id", "size", "fp", "unit", "point")
-    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))["doc_id"]
+    rows = sketch.filter("bucket IS NULL").select("doc_id", "digest", "size", "fp", "unit", "point")
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
     shape = [F.any_value(c).alias(c) for c in ("size", "unit", "point")]
-    classes = saved(rows.filter("fp IS NOT NULL").groupBy("fp").agg(smallest.alias("rep"), F.count(F.lit(1)).alias("class_size"), *shape), "classes")
+    classes = saved(rows.filter("fp IS NOT NULL").groupBy("fp").agg(smallest["doc_id"].alias("rep"), smallest["digest"].alias("rep_digest"), F.count(F.lit(1)).alias("class_size"), *shape), "classes")
     points = classes.select("fp", "size", "unit", "point")
     members = saved(_meetings(_cells(docs, hits, n, percent, block)), "members")
 
@@ -516,16 +521,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if comp is None:
         comp = docs.sparkSession.createDataFrame([], "node long, component long")
     discard(members, *sets)
-    labelled = classes.join(comp, classes["fp"] == comp["node"], "left").select("fp", "rep", "class_size", F.coalesce("component", "fp").alias("component"))
-    ids = labelled.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep"))["rep"].alias("component_id"))
-    by_class = labelled.join(ids, "component").select("fp", "class_size", "component_id")
-    out = rows.select("doc_id", "size", "fp").join(by_class, "fp", "left")
+    labelled = classes.join(comp, classes["fp"] == comp["node"], "left").select("fp", "rep", "rep_digest", "class_size", F.coalesce("component", "fp").alias("component"))
+    head = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "rep_digest"))
+    ids = labelled.groupBy("component").agg(head["rep"].alias("component_id"), head["rep_digest"].alias("component_digest"))
+    by_class = labelled.join(ids, "component").select("fp", "class_size", "component_id", "component_digest")
+    out = rows.select("doc_id", "digest", "size", "fp").join(by_class, "fp", "left")
+    first = F.col("fp").isNull() | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("digest") == F.col("component_digest")))
     own = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("size").alias("n_shingles"), own.alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    return out.select("doc_id", "digest", F.col("size").alias("n_shingles"), own.alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), first.alias("first"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows of a component other than its smallest id's; all columns as they were."""
-    found = saved(near_duplicates(docs, id_col, text_col, **options), "components")
-    gone = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    """docs with one row of each component, that of its smallest id (then digest; null ids last); all columns as they were.
+
+    Rows are told apart by id and text. Of rows that repeat both exactly one stays; texts without words all stay.
+    """
+    found = saved(_joined(docs, id_col, text_col, **options), "components")
+    digest = text_digest(docs[text_col])
+
+    def pairs(which: str) -> tuple[DataFrame, Column]:
+        rows = found.filter(which).groupBy("doc_id", "digest").count().select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "count")
+        return rows, docs[id_col].eqNullSafe(rows["_id"]) & (digest == rows["_digest"])
+
+    gone, same = pairs("NOT first")
+    left = docs.join(gone, same, "left_anti")
+    kept, same = pairs("first AND n_shingles > 0")
+    twice = kept.filter("count > 1")
+    if twice.isEmpty():
+        return left
+    mark = "_" + "_".join(docs.columns)
+    once = left.join(twice, same, "left_semi").withColumn(mark, digest).dropDuplicates([id_col, mark]).drop(mark)
+    return left.join(twice, same, "left_anti").union(once)

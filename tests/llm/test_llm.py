@@ -93,6 +93,21 @@ def test_join_empty_nulls_and_repeated_rows(spark, nothing):
     assert got == sorted([(3, 2, 3, 3), (3, 2, 3, 3), (None, 2, 3, 3), (None, 0, None, 1), (5, 0, 5, 1)], key=str)
 
 
+def test_drop_near_duplicates_decides_by_row(spark):
+    base = [prose(i, 60) for i in range(8)]
+    near = [edited(t, 50 + i, 2) for i, t in enumerate(base)]
+    rows = [(1, base[0]), (2, near[0]), (2, base[1]), (2, base[2]), (None, near[1]), (None, base[3]), (None, near[3]), (None, base[4]), (5, base[5]), (5, near[5]), (6, base[6]), (6, base[6]), (None, base[7]), (None, base[7]), (None, None), (None, ""), (7, ""), (7, "")]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    out = ngram_join.drop_near_duplicates(df)
+    assert out.columns == df.columns
+    comp = brute_components([(n, t) for n, (_, t) in enumerate(rows)])
+    groups = {}
+    for n, (i, t) in enumerate(rows):
+        groups.setdefault(comp[n][1], []).append((i is None, i or 0, hashlib.sha256((t or "").encode()).hexdigest(), t))
+    want = [min(g, key=lambda x: x[:3]) for g in groups.values()]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == sorted((none, i, t or "") for none, i, _, t in want)
+
+
 def test_bounds_never_lose_a_pair():
     r = np.random.default_rng(1)
     for n in (3, 200, 5000):
@@ -213,6 +228,23 @@ def test_mix_repeated_and_null_ids(spark):
     mixing.curriculum(df).collect()
 
 
+def test_curriculum_gives_each_row_its_own_times(spark):
+    rows = [(i % 3 if i % 5 else None, prose(i, 20 + i), f"s{i % 2}", i) for i in range(40)]
+    rows += [(*rows[7][:3], 40), (*rows[7][:3], 41), (rows[7][0], rows[7][1], "s9", 42)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(3)
+    out = mixing.curriculum(df)
+    assert out.columns == df.columns
+
+    def counts(rows):
+        seen = {}
+        for i, source, digest, n in rows:
+            seen.setdefault((i, source, digest), []).append(n)
+        return {k: sum(v) for k, v in seen.items() if sum(v)}
+
+    want = counts((r["doc_id"], r["source"], r["digest"], r["repeats"]) for r in mixing.mix(df).collect())
+    assert counts((r["doc_id"], r["source"], hashlib.sha256(r["text"].encode()).hexdigest(), 1) for r in out.collect()) == want
+
+
 # --- language -----------------------------------------------------------------------------------
 def corpus(n=300):
     r = random.Random(4)
