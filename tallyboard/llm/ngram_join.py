@@ -239,8 +239,10 @@ def search_cell(data: list[bytes], units: np.ndarray, sizes: np.ndarray, compone
     """
     groups = np.array([len(d) for d in data])
     found, more = [], False
+    # sizes that allow the threshold have points at most so many times as fine
+    finer = 1 << (-(-100 // percent) - 1).bit_length()
     for g in np.unique(groups):
-        rows = np.nonzero((groups == g) | (groups == 2 * g))[0]
+        rows = np.nonzero((groups >= g) & (groups <= finer * g))[0]
         own = groups[rows] == g
         if len(rows) < 2 or not own.any():
             continue
@@ -493,7 +495,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS, percent
     points = classes.select("fp", "size", "unit", "point")
     members = saved(_meetings(_cells(docs, hits, n, percent, block)), "members")
 
-    comp: DataFrame | None = None
+    comp = docs.sparkSession.createDataFrame([], "node long, component long")
     checked: list[DataFrame] = []
     sets: list[DataFrame] = []
     active, most = members.withColumn("component", F.col("fp")), 0
@@ -508,18 +510,16 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS, percent
                 wanted = wanted.join(old.select("fp"), "fp", "left_anti")
             sets.append(saved(_sets(docs, wanted.join(classes, "fp").select("fp", "rep"), n), "sets"))
             checked.append(saved(_verified(pairs, reduce(DataFrame.union, sets), percent), "checked"))
-            if comp is None or not checked[-1].filter("linked").isEmpty():
+            if not checked[-1].filter("linked").isEmpty():
                 comp = components(reduce(DataFrame.union, checked).filter("linked"))
         more = found.filter("meeting IS NOT NULL").select("meeting").distinct()
-        if comp is None or found.filter("meeting IS NOT NULL").isEmpty():
+        if found.filter("meeting IS NOT NULL").isEmpty():
             break
         # cells with more to name, as far as their members are in different components
         open_cells = members.join(more, "meeting", "left_semi").join(comp, members["fp"] == comp["node"], "left").select("meeting", "fp", F.coalesce("component", "fp").alias("component"))
         uneven = open_cells.groupBy("meeting").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("meeting")
         active = open_cells.join(uneven, "meeting", "left_semi")
         most = max(1, most) * WIDEN
-    if comp is None:
-        comp = docs.sparkSession.createDataFrame([], "node long, component long")
     discard(members, *sets)
     labelled = classes.join(comp, classes["fp"] == comp["node"], "left").select("fp", "rep", "rep_digest", "class_size", F.coalesce("component", "fp").alias("component"))
     head = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "rep_digest"))

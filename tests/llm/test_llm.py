@@ -108,6 +108,28 @@ def test_drop_near_duplicates_decides_by_row(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == sorted((none, i, t or "") for none, i, _, t in want)
 
 
+def test_join_goes_on_after_a_round_without_pairs(docs, rows, monkeypatch):
+    search = ngram_join._search
+
+    def first_finds_nothing(members, percent, most):
+        found = search(members, percent, most)
+        return found if most else members.select(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "meeting").distinct()
+
+    monkeypatch.setattr(ngram_join, "_search", first_finds_nothing)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect()}
+    assert found == brute_components(rows)
+
+
+def test_search_compares_all_sizes_the_threshold_allows():
+    r = np.random.default_rng(3)
+    s = np.unique(r.integers(0, 2**63, 4400, dtype=np.uint64))
+    sets = [s, s[:1150]]
+    units, points = zip(*map(ngram_join.point, sets))
+    assert len(points[0]) == 4 * len(points[1])
+    q, t, _ = ngram_join.search_cell(list(points), np.array(units), np.array([len(x) for x in sets]), np.arange(2), 25, 0)
+    assert {*q.tolist(), *t.tolist()} == {0, 1}
+
+
 def test_bounds_never_lose_a_pair():
     r = np.random.default_rng(1)
     for n in (3, 200, 5000):
