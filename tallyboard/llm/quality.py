@@ -1,6 +1,7 @@
 """Quality rules by compression bands.
 
-zstandard shrinks a whole text and each of its fixed chunks; compressed over raw size is the ratio. A
+zstandard shrinks a whole text and each of its fixed chunks (the last one ends where the text does and
+may overlap the one before); compressed over raw size is the ratio. A text of a chunk or more has chunks. A
 text is repetitive below and incompressible above the limits of its length's band; so is a chunk,
 and a text goes when more than a share of its chunks do. Short texts compress worse, so their limits
 are wider, and below the first band there are none.
@@ -61,7 +62,8 @@ def band_verdict(data: bytes, shrink: zstandard.ZstdCompressor, bands: Sequence[
         return 0.0, 0, 0, 0, "ok"
     ratio = len(shrink.compress(data)) / len(data)
     _, low, high = max(b for b in bands if b[0] <= len(data))
-    parts = [len(shrink.compress(data[i : i + chunk])) / chunk for i in range(0, len(data) - chunk + 1, chunk)] if len(data) >= 2 * chunk else []
+    starts = [*range(0, len(data) - chunk, chunk), len(data) - chunk] if len(data) >= chunk else []
+    parts = [len(shrink.compress(data[i : i + chunk])) / chunk for i in starts]
     lows, highs = sum(r < CHUNK_LOW for r in parts), sum(r > CHUNK_HIGH for r in parts)
     if ratio < low:
         verdict = "repetitive"

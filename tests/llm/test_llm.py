@@ -368,6 +368,15 @@ def test_quality_bands(spark):
     assert (got[3]["n_dup_lines"], got[3]["n_symbols"]) == (1, 3)
 
 
+def test_quality_checks_chunks_up_to_the_end(spark):
+    r = random.Random(11)
+    noise = "".join(chr(r.randrange(33, 127)) for _ in range(4000))
+    text, short = prose(3, 900)[:8192] + noise, prose(4, 600)[:4500]
+    got = {r["doc_id"]: r for r in quality.compression_rules(spark.createDataFrame([(0, text), (1, short)], "doc_id long, text string")).collect()}
+    assert len(text) < 3 * quality.CHUNK and (got[0]["n_chunks"], got[0]["n_high_chunks"], got[0]["verdict"]) == (3, 1, "incompressible chunks")
+    assert (got[1]["n_chunks"], got[1]["verdict"]) == (2, "ok")
+
+
 # --- toxicity -----------------------------------------------------------------------------------
 def test_toxicity_learns_from_labels(spark, nothing):
     r = random.Random(9)
