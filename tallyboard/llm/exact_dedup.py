@@ -2,8 +2,9 @@
 
 A text's address is a 64-bit hash of its normalised form. The directory starts with one bucket and
 doubles: a bucket with more than `capacity` different addresses splits on the next address bit until
-none is overfull, so a bucket is a range of addresses and a directory entry points at one. Texts are
-grouped by (bucket, address, bytes): rows of one address form a chain, and only equal bytes merge.
+none is overfull, so a bucket is a range of addresses and a directory entry points at one. The
+directory only lays out the files: texts are grouped by (address, bytes) over the whole table, rows of
+one address form a chain, and only equal bytes merge.
 Copies merge before the shuffle (partial aggregation), so a text that a third of all rows hold costs
 one row a task. The index (one row per different text) is written in address order to shared files;
 every document then looks its text up there.
