@@ -177,11 +177,33 @@ def test_exact_dedup(docs, rows, capacity, bits):
 
 def test_directory_splits_overfull_buckets(spark):
     entries = spark.range(3000).select(F.xxhash64("id").alias("address"))
-    cells, depth = exact_dedup.directory(entries, capacity=100, step_bits=3)
+    cells, depth = exact_dedup.directory(entries, capacity=100)
     assert depth > 3
     cell = F.shiftrightunsigned("address", 64 - depth).alias("cell")
-    per = entries.select(cell).join(cells, "cell").groupBy("bucket").count()
+    per = entries.select(cell).join(cells, "cell").groupBy("bucket", "depth").count()
     assert per.agg(F.max("count")).first()[0] <= 100 and per.agg(F.sum("count")).first()[0] == 3000
+    # a bucket has split only because its parent was overfull
+    parents = per.groupBy(F.expr(f"bucket - pmod(bucket, shiftleft(1L, {depth} - depth + 1))").alias("parent"), "depth").agg(F.sum("count").alias("n"), F.count("*").alias("halves"))
+    assert parents.filter("halves = 2 AND n <= 100").isEmpty()
+
+
+def test_hot_text_is_spread_over_pages(spark):
+    """A third of all rows hold one text, addresses collide, and ids repeat: pages are merged by bytes."""
+    texts = ["hot  text" if i % 3 == 0 else f"text {i % 150}" for i in range(900)]
+    df = spark.createDataFrame([(i if i % 50 else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, pages string").repartition(5)
+    cells, _ = exact_dedup.directory(df.select(exact_dedup._address(F.col("text"), 4).alias("address")), capacity=4)
+    assert cells.agg(F.max("pages")).first()[0] > 10
+    got = exact_dedup.find_copies(df, capacity=4, address_bits=4).collect()
+    want = {}
+    for i, t in enumerate(texts):
+        want.setdefault(hashlib.sha256(t.replace("  ", " ").encode()).hexdigest(), []).append(i)
+    assert len(got) == 900 and sum(r["kept"] for r in got) == len(want) and len({(r["bucket"], r["chain"]) for r in got}) >= len({r["chain"] for r in got}) > 3
+    for r in got:
+        own = want[r["text_sha256"]]
+        assert r["group_size"] == len(own) and r["keep_id"] == min((i for i in own if i % 50), default=None)
+        assert r["kept"] == (r["doc_id"] is not None and r["doc_id"] == r["keep_id"]) or r["keep_id"] is None
+    left = exact_dedup.drop_copies(df, capacity=4, address_bits=4)
+    assert left.columns == df.columns and sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(r["doc_id"]) for r in got if r["kept"])
 
 
 def test_exact_dedup_ties_nulls_and_columns(spark, docs, nothing):
