@@ -5,27 +5,33 @@ in each group are a point, and the sum of the smaller coordinates of two points
 of their sets. A larger set has more groups, a power of two; of two points the finer one is folded to
 the other's groups. The join runs in these steps, all on Spark:
 
-1. sketch: each text's set size, fingerprint and point, and how often each hash bucket occurs.
-   Texts with equal sets become one class, so exact copies are settled here.
+1. sketch: each text's set size, two 64-bit fingerprints and point, and how often each hash bucket
+   occurs. Texts with equal size and fingerprints become one class, so exact copies are settled here.
 2. cells: sets that reach the threshold share one of their rarest hashes (rare by bucket counts), so
-   classes meet in the cells of these hashes. Cells with the same members become one; a cell that
-   would be too large for a task is dealt into pairs of blocks, in which every pair still meets.
-3. search: in a cell, points are packed into an R-tree (nodes hold coordinate maxima and the range of
-   sizes). A pair survives if its sizes allow the threshold and the summed minima do, first of point
+   classes meet in the cells of these hashes. Cells with the same members become one meeting.
+3. search: in a meeting, points are packed into an R-tree (nodes hold coordinate maxima and the range
+   of sizes). A pair survives if its sizes allow the threshold and the summed minima do, first of point
    and node, then of both points.
 4. verify: survivors' sets are compared exactly; links join components.
 
-Survivors are mostly links. So the first round verifies only a spanning forest of each cell's
-survivors, best bounds first. Each later round looks at cells whose members are still in different
-components, and verifies the best survivors between any two of these, `WIDEN` times as many as the
-round before. When no cell has survivors left to name, every pair has been linked, refuted or joined
-by other links: components are exact, and a group of near copies costs about a link a document
-rather than all pairs.
+Survivors are mostly links. So the first round verifies only a spanning forest of each meeting's
+survivors, best bounds first, between neighbours in the tree's leaves. Each later round looks at
+meetings whose members are still in different components, and verifies the best survivors between any
+two of these, `WIDEN` times as many as the round before. When no meeting has survivors left to name,
+every pair has been linked, refuted or joined by other links: components are exact, and a group of
+near copies costs about a link a document rather than all pairs.
+
+A meeting of more than `block` members is dealt by its own count. In the first round its members go to
+blocks; then rounds with one member per component and meeting gather the blocks' components for as
+long as they find links. Only what is still apart then meets again in pairs of blocks, in which every
+pair of members does. Meetings are read one at a time from sorted partitions, so a task holds the
+points of at most two blocks, and Spark's sort spills what is larger.
 
 Cases: a null, empty or blank text has an empty set, links with nothing and is its own component. A
 text of fewer words than n has the whole sequence as its one n-gram. Repeated rows are copies; rows
 without id count as the largest id. An empty table gives an empty result. Only id and text are read,
-so other columns' names never clash.
+so other columns' names never clash. Texts are read whole, whatever their length: a task holds a few
+texts, their words' hashes and the sets of a batch.
 """
 
 from __future__ import annotations
@@ -36,17 +42,19 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyboard.llm.common import discard, mix64, saved, slices, text_digest
 
 WORDS, PERCENT = 5, 80
 #: Groups of a small set's point, members per group of a larger one's, and most groups.
-GROUPS, PER_GROUP, MOST_GROUPS = 512, 2, 8192
+GROUPS, PER_GROUP, MOST_GROUPS = 64, 2, 8192
 BUCKET_BITS = 16
-#: Members of a cell above the usual count of its bucket, by which the cell is dealt into blocks.
-BLOCK = 20_000
+#: Members of a meeting that one task searches together.
+BLOCK = 1_024
+#: Children that one task compares with their parent set.
+CHILDREN = 1_024
 #: Points in a leaf and children of a node; cells up to TINY are searched without a tree.
 LEAF, TINY = 16, 64
 WIDEN = 16
@@ -85,18 +93,19 @@ def shingle_sets(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
         if b - a >= n:
             out.append(np.unique(grams[a : b - n + 1]))
         elif b > a:
-            short = np.uint64(b - a)
-            for w in word[a:b]:
-                short = mix64(np.array([short * _STEP + w]))[0]
-            out.append(np.array([short], dtype=np.uint64))
+            short = np.array([b - a], dtype=np.uint64)
+            for i in range(a, b):
+                short = mix64(short * _STEP + word[i : i + 1])
+            out.append(short)
         else:
             out.append(empty)
     return out
 
 
-def fingerprint(s: np.ndarray) -> int:
-    """Signed 64-bit hash of a set."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit hashes of a set."""
+    fp, check = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64).tolist()
+    return fp, check
 
 
 def groups_of(size: int) -> int:
@@ -265,9 +274,22 @@ def search_cell(data: list[bytes], units: np.ndarray, sizes: np.ndarray, compone
     return q, r, more or rest
 
 
-def _arrays(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    got = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(got).combine_chunks() if got else None
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of rows sorted by key (a long), cut so that each key's rows stand in one table."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut or (held and held[-1].column(key)[0].as_py() != keys[-1]):
+            ready = [*held, *([batch.slice(0, cut)] if cut else [])]
+            if ready:
+                yield pa.Table.from_batches(ready).combine_chunks()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _numbers(table: pa.Table, name: str) -> np.ndarray:
@@ -275,12 +297,12 @@ def _numbers(table: pa.Table, name: str) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, n: int) -> DataFrame:
-    """A row per document (doc_id, digest, size, fp, unit, point), and of each task a row per hash bucket (bucket, hits)."""
+    """A row per document (doc_id, digest, size, fp, check, unit, point), and of each task a row per hash bucket (bucket, hits)."""
     id_type = docs.schema["doc_id"].dataType
+    names = ["doc_id", "digest", "size", "fp", "check", "unit", "point", "bucket", "hits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits, kind = np.zeros(1 << BUCKET_BITS, dtype=np.int64), None
-        names = ["doc_id", "digest", "size", "fp", "unit", "point", "bucket", "hits"]
         for batch in batches:
             kind = batch.schema.field(0).type, batch.schema.field(2).type
             texts = batch.column(1).to_pylist()
@@ -289,28 +311,36 @@ def _sketch(docs: DataFrame, n: int) -> DataFrame:
                 whole = np.concatenate(sets)
                 hits += np.bincount((whole >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(hits))
                 points = [point(s) if len(s) else (None, None) for s in sets]
-                none = b - a
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], type=pa.int64()), pa.array([p[0] for p in points], type=pa.int64()), pa.array([p[1] for p in points], type=pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.int64())], names)
+                prints = [fingerprint(s) if len(s) else (None, None) for s in sets]
+                longs = [[len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints], [p[0] for p in points]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *(pa.array(x, type=pa.int64()) for x in longs), pa.array([p[1] for p in points], type=pa.binary()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.int64())], names)
         at = np.nonzero(hits)[0]
-        if len(at):
-            k = len(at)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind[0]), pa.nulls(k, kind[1]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(at, type=pa.int32()), pa.array(hits[at], type=pa.int64())], names)
+        if k := len(at):
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind[0]), pa.nulls(k, kind[1]), *(pa.nulls(k, pa.int64()) for _ in range(4)), pa.nulls(k, pa.binary()), pa.array(at, type=pa.int32()), pa.array(hits[at], type=pa.int64())], names)
 
-    schema = f"doc_id {id_type.simpleString()}, digest string, size long, fp long, unit long, point binary, bucket int, hits long"
+    schema = f"doc_id {id_type.simpleString()}, digest string, size long, fp long, check long, unit long, point binary, bucket int, hits long"
     return docs.mapInArrow(run, schema)
 
 
-def _cells(docs: DataFrame, hits: np.ndarray, n: int, percent: int, block: int) -> DataFrame:
+def _with_ids(classes: DataFrame) -> tuple[DataFrame, bool]:
+    """classes with a long id, and whether any share a first fingerprint: then ids are this and numbers counted up from it."""
+    if classes.groupBy("fp").count().filter("count > 1").isEmpty():
+        return classes.withColumn("id", F.col("fp")), False
+    w = Window.partitionBy("fp").orderBy("check", "size")
+    return saved(classes.withColumn("id", F.col("fp").bitwiseXOR((F.row_number().over(w) - 1).cast("long"))), "classes"), True
+
+
+def _cells(docs: DataFrame, hits: np.ndarray, n: int, percent: int) -> DataFrame:
     """(cell, fp): each task's different sets under their rarest hashes."""
     order = np.argsort(hits, kind="stable")
     rank = np.empty(len(hits), dtype=np.uint64)
     rank[order] = np.arange(len(hits), dtype=np.uint64)
-    blocks = (1 + np.maximum(0, hits - int(np.median(hits))) // block)[order]  # by rank
-    sent = docs.sparkSession.sparkContext.broadcast((rank, blocks))
+    sent = docs.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, blocks = sent.value
-        seen: set[int] = set()
+        rank, low = sent.value, np.uint64(64 - BUCKET_BITS)
+        below = np.uint64((1 << (64 - BUCKET_BITS)) - 1)
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in slices(texts):
@@ -319,21 +349,10 @@ def _cells(docs: DataFrame, hits: np.ndarray, n: int, percent: int, block: int)
                     if not len(s) or (fp := fingerprint(s)) in seen:
                         continue
                     seen.add(fp)
-                    low = np.uint64(64 - BUCKET_BITS)
-                    key = (rank[(s >> low).astype(np.int64)] << low) | (s & np.uint64((1 << (64 - BUCKET_BITS)) - 1))
+                    key = (rank[(s >> low).astype(np.int64)] << low) | (s & below)
                     length = prefix_length(len(s), percent)
-                    cell = np.partition(key, length - 1)[:length]
-                    parts = blocks[(cell >> low).astype(np.int64)]
-                    if (parts > 1).any():
-                        split = [cell[parts == 1]]
-                        for c, k in zip(cell[parts > 1], parts[parts > 1], strict=True):
-                            own = int(np.uint64(fp & 0xFFFFFFFFFFFFFFFF) % np.uint64(k))
-                            other = np.arange(k)
-                            pair = np.minimum(own, other) * k + np.maximum(own, other)
-                            split.append(mix64(c + (pair.astype(np.uint64) + np.uint64(1)) * _STEP))
-                        cell = np.concatenate(split)
-                    cells.append(cell)
-                    fps.append(np.full(len(cell), fp, dtype=np.int64))
+                    cells.append(np.partition(key, length - 1)[:length])
+                    fps.append(np.full(length, fp[0], dtype=np.int64))
                 if cells:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).astype(np.int64)), pa.array(np.concatenate(fps))], ["cell", "fp"])
 
@@ -344,92 +363,113 @@ def _meetings(cells: DataFrame) -> DataFrame:
     """(meeting, fp): the members of cells with two or more; cells with equal members are one meeting."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _arrays(batches)
-        if table is None:
-            return
-        cell, fp = _numbers(table, "cell"), _numbers(table, "fp")
-        order = np.lexsort((fp, cell))
-        cell, fp = cell[order], fp[order]
-        new = np.concatenate([[True], (cell[1:] != cell[:-1]) | (fp[1:] != fp[:-1])])
-        cell, fp = cell[new], fp[new]
-        first = np.nonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))[0]
-        count = np.diff(np.append(first, len(cell)))
-        name = mix64(np.add.reduceat(mix64(fp.astype(np.uint64)), first) + count.astype(np.uint64)).astype(np.int64)
-        keep = np.repeat(count > 1, count)
-        rows = np.unique(np.stack([np.repeat(name, count)[keep], fp[keep]], axis=1), axis=0)
-        for i in range(0, len(rows), 1 << 16):
-            part = rows[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, 0])), pa.array(np.ascontiguousarray(part[:, 1]))], ["meeting", "fp"])
-
-    return cells.repartition("cell").mapInArrow(run, "meeting long, fp long").distinct()
+        for table in _whole_groups(batches, "cell"):
+            cell, fp = _numbers(table, "cell"), _numbers(table, "fp")
+            new = np.concatenate([[True], (cell[1:] != cell[:-1]) | (fp[1:] != fp[:-1])])
+            cell, fp = cell[new], fp[new]
+            first = np.nonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))[0]
+            count = np.diff(np.append(first, len(cell)))
+            name = mix64(np.add.reduceat(mix64(fp.astype(np.uint64)), first) + count.astype(np.uint64)).astype(np.int64)
+            keep = np.repeat(count > 1, count)
+            rows = np.unique(np.stack([np.repeat(name, count)[keep], fp[keep]], axis=1), axis=0)
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in (0, 1)], ["meeting", "fp"])
 
+    return cells.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(run, "meeting long, fp long").distinct()
 
-def _search(members: DataFrame, percent: int, most: int) -> DataFrame:
-    """(a, b) to verify with a < b; rows with only a meeting name cells that have more."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _arrays(batches)
-        if table is None:
-            return
-        meeting, fp, size, unit, component = (_numbers(table, c) for c in ("meeting", "fp", "size", "unit", "component"))
-        bytes_of = table.column("point")
-        order = np.lexsort((fp, meeting))
-        meeting = meeting[order]
-        first = np.nonzero(np.concatenate([[True], meeting[1:] != meeting[:-1]]))[0]
-        left, right, more = [], [], []
-        for a, b in zip(first, np.append(first[1:], len(meeting)), strict=True):
-            rows = order[a:b]
-            own = component[rows]
-            if (own == own[0]).all():
-                continue
-            data = [bytes_of[int(i)].as_py() for i in rows]
-            q, r, rest = search_cell(data, unit[rows], size[rows], np.unique(own, return_inverse=True)[1], percent, most)
-            left.append(fp[rows[q]])
-            right.append(fp[rows[r]])
-            if rest:
-                more.append(meeting[a])
-        if left and sum(map(len, left)):
-            x, y = np.concatenate(left), np.concatenate(right)
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-            k = len(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.nulls(k, pa.int64())], ["a", "b", "meeting"])
-        if more:
-            k = len(more)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(more, type=pa.int64())], ["a", "b", "meeting"])
+def _dealt(members: DataFrame, large: DataFrame, across: bool) -> DataFrame:
+    """members (meeting, id, component) with part: where they are searched together.
 
-    return members.repartition("meeting").mapInArrow(run, "a long, b long, meeting long")
+    large: (meeting, blocks) of meetings that are dealt, to blocks or, across, to pairs of blocks.
+    """
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    rows = members.join(large, "meeting", "left").withColumn("own", own)
+    if across:
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
+        part = F.xxhash64("meeting", F.least("own", "other"), F.greatest("own", "other"))
+    else:
+        part = F.xxhash64("meeting", "own")
+    return rows.select(F.when(F.col("blocks").isNull(), F.col("meeting")).otherwise(part).alias("part"), "meeting", "id", "component")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(fp, hashes) of wanted (fp, rep) classes, from the texts of their representatives."""
-    few = wanted.count() <= MOST_BROADCAST
-    rows = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("fp", "text")
+def _search(members: DataFrame, percent: int, most: int) -> DataFrame:
+    """(a, b) to verify with a < b; rows with only a meeting name those that have more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                # rows that share the representative's id but not its set are not meant
-                found = [(f, s.tobytes()) for f, s in zip(fps[a:b], shingle_sets(texts[a:b], n), strict=True) if len(s) and fingerprint(s) == f]
-                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], type=pa.int64()), pa.array([s for _, s in found], type=pa.binary())], ["fp", "hashes"])
+        for table in _whole_groups(batches, "part"):
+            part, meeting, node, size, unit, component = (_numbers(table, c) for c in ("part", "meeting", "id", "size", "unit", "component"))
+            data = table.column("point").to_pylist()
+            first = np.nonzero(np.concatenate([[True], part[1:] != part[:-1]]))[0]
+            left, right, more = [], [], []
+            for a, b in zip(first.tolist(), np.append(first[1:], len(part)).tolist(), strict=True):
+                own = component[a:b]
+                if (own == own[0]).all():
+                    continue
+                q, r, rest = search_cell(data[a:b], unit[a:b], size[a:b], np.unique(own, return_inverse=True)[1], percent, most)
+                left.append(node[a:b][q])
+                right.append(node[a:b][r])
+                if rest:
+                    more += np.unique(meeting[a:b]).tolist()
+            x, y = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (left, right))
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+            columns = [pa.array(np.append(pairs[:, i], np.zeros(len(more), dtype=np.int64)), mask=np.arange(len(pairs) + len(more)) >= len(pairs)) for i in (0, 1)]
+            names = pa.array(np.append(np.zeros(len(pairs), dtype=np.int64), np.array(more, dtype=np.int64)), mask=np.arange(len(pairs) + len(more)) < len(pairs))
+            yield pa.RecordBatch.from_arrays([*columns, names], ["a", "b", "meeting"])
 
-    return rows.mapInArrow(run, "fp long, hashes binary").dropDuplicates(["fp"])
+    return members.repartition("part").sortWithinPartitions("part", "id").mapInArrow(run, "a long, b long, meeting long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) by the exact overlap of the sets."""
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b, linked) by the exact overlap of the sets.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Sets are made from the texts of the classes' representatives and sent once to each parent a that
+    they are compared with; a parent with many children is sent to several tasks.
+    """
+    parts = F.pmod(F.xxhash64("b"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("a")) / CHILDREN).cast("long"))
+    children = saved(pairs.withColumn("part", parts), "pairs")
+    parents = children.select("a", "part").distinct().select("a", "part", F.col("a").alias("id"), F.lit(False).alias("child"))
+    wanted = parents.unionByName(children.select("a", "part", F.col("b").alias("id"), F.lit(True).alias("child")))
+    wanted = wanted.groupBy("id").agg(F.collect_list(F.struct("a", "part", "child")).alias("at"))
+    wanted = saved(wanted.join(classes.select("id", "fp", "check", "rep"), "id"), "wanted")
+    few = wanted.count() <= MOST_BROADCAST and children.count() <= 4 * MOST_BROADCAST
+    rows = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("id", "fp", "check", "text", F.col("at.a").alias("a"), F.col("at.part").alias("part"), F.col("at.child").alias("child"))
+    names = ["a", "part", "child", "id", "hashes"]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                linked.append(100 * common >= percent * (len(s) + len(t) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, type=pa.bool_())], ["a", "b", "linked"])
-
-    return both.mapInArrow(run, "a long, b long, linked boolean")
+            node, fp, check, texts, *at = (c.to_pylist() for c in batch.columns)
+            for x, y in slices(texts):
+                out = []
+                for i, s in zip(range(x, y), shingle_sets(texts[x:y], n), strict=True):
+                    # rows that share the representative's id but not its set are not meant
+                    if len(s) and fingerprint(s) == (fp[i], check[i]):
+                        data = s.tobytes()
+                        out += [(a, p, c, node[i], data) for a, p, c in zip(*(v[i] for v in at), strict=True)]
+                columns = list(zip(*out, strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], names)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent, own = None, np.zeros(0, dtype=np.uint64)
+        for batch in batches:
+            a, b, linked = [], [], []
+            for at, child, node, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                s = np.frombuffer(data.as_buffer(), dtype=np.uint64)
+                if not child:
+                    parent, own = at, s
+                elif at == parent:
+                    common = len(np.intersect1d(own, s, assume_unique=True))
+                    a.append(at)
+                    b.append(node)
+                    linked.append(100 * common >= percent * (len(own) + len(s) - common))
+                else:
+                    raise ValueError("a parent set is missing")
+            yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64()), pa.array(linked, type=pa.bool_())], ["a", "b", "linked"])
+
+    sets = rows.mapInArrow(make, "a long, part long, child boolean, id long, hashes binary")
+    out = saved(sets.repartition("a", "part").sortWithinPartitions("a", "part", "child").mapInArrow(compare, "a long, b long, linked boolean"), "checked")
+    discard(children, wanted)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -465,10 +505,59 @@ def components(links: DataFrame) -> DataFrame:
     split = best.filter("best < last").select("node", "best")
     roots = saved(stars.join(split, "node").filter("root > best").select(F.col("best").alias("a"), F.col("root").alias("b")).distinct(), "roots")
     if roots.isEmpty():
-        return best.select("node", F.col("best").alias("component"))
+        out = saved(best.select("node", F.col("best").alias("component")), "components")
+        discard(stars, roots)
+        return out
     # a root stands for itself too, so its own star joins it to a smaller one elsewhere
-    above = components(roots).withColumnRenamed("node", "best")
-    return best.join(above, "best", "left").select("node", F.coalesce("component", "best").alias("component"))
+    upper = components(roots)
+    above = upper.withColumnRenamed("node", "best")
+    out = saved(best.join(above, "best", "left").select("node", F.coalesce("component", "best").alias("component")), "components")
+    discard(stars, roots, upper)
+    return out
+
+
+def _components_of(members: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int, block: int) -> DataFrame:
+    """(node, component) of the classes that have links, by rounds of search and verification."""
+    points = classes.select("id", "size", "unit", "point")
+
+    def too_large(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy("meeting").count().filter(F.col("count") > block)
+        return saved(counts.select("meeting", F.ceil(F.col("count") / block).cast("long").alias("blocks")), "large")
+
+    comp = saved(docs.sparkSession.createDataFrame([], "node long, component long"), "components")
+    active, most, gather, apart, checked = members.withColumn("component", F.col("id")), 0, False, None, []
+    large = too_large(active)
+    dealt = not large.isEmpty()
+    while True:
+        found = saved(_search(_dealt(active, large, across=most > 0).join(points, "id"), percent, most), "found")
+        pairs = found.filter("a IS NOT NULL").select("a", "b").distinct()
+        for old in checked:
+            pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
+        linked = False
+        if not found.filter("a IS NOT NULL").isEmpty():
+            checked.append(_verified(pairs, docs, classes, n, percent))
+            linked = not checked[-1].filter("linked").isEmpty()
+            if linked:
+                old, comp = comp, components(reduce(DataFrame.union, checked).filter("linked"))
+                discard(old)
+        # meetings with more to name; blocks and representatives leave all that they looked at
+        named = apart if gather else found.filter("meeting IS NOT NULL").select("meeting")
+        named = named.unionByName(large.select("meeting")) if most == 0 and not gather else named
+        where = members.join(comp, members["id"] == comp["node"], "left").select("meeting", "id", F.coalesce("component", "id").alias("component"))
+        spread = where.join(named.distinct(), "meeting", "left_semi").groupBy("meeting").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        still = saved(spread.filter("low < high").select("meeting"), "apart")
+        discard(found, large, *([apart] if apart is not None else []))
+        apart = still
+        if apart.isEmpty():
+            discard(apart, *checked)
+            return comp
+        active = where.join(apart, "meeting", "left_semi")
+        gather = dealt and most == 0 and (linked or not gather)
+        if gather:
+            active = active.groupBy("meeting", "component").agg(F.min("id").alias("id")).select("meeting", "id", "component")
+        else:
+            most = max(1, most) * WIDEN
+        large = too_large(active)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -488,47 +577,27 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS, percent
     hits = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
     for row in counted.collect():  # a row per bucket, of which there are 65,536
         hits[row["bucket"]] = row["hits"]
-    rows = sketch.filter("bucket IS NULL").select("doc_id", "digest", "size", "fp", "unit", "point")
+    rows = sketch.filter("bucket IS NULL").select("doc_id", "digest", "size", "fp", "check", "unit", "point")
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
-    shape = [F.any_value(c).alias(c) for c in ("size", "unit", "point")]
-    classes = saved(rows.filter("fp IS NOT NULL").groupBy("fp").agg(smallest["doc_id"].alias("rep"), smallest["digest"].alias("rep_digest"), F.count(F.lit(1)).alias("class_size"), *shape), "classes")
-    points = classes.select("fp", "size", "unit", "point")
-    members = saved(_meetings(_cells(docs, hits, n, percent, block)), "members")
-
-    comp = docs.sparkSession.createDataFrame([], "node long, component long")
-    checked: list[DataFrame] = []
-    sets: list[DataFrame] = []
-    active, most = members.withColumn("component", F.col("fp")), 0
-    while True:
-        found = saved(_search(active.join(points, "fp"), percent, most), "found")
-        pairs = found.filter("a IS NOT NULL").select("a", "b").distinct()
-        for old in checked:
-            pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
-        if not found.filter("a IS NOT NULL").isEmpty():
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-            for old in sets:
-                wanted = wanted.join(old.select("fp"), "fp", "left_anti")
-            sets.append(saved(_sets(docs, wanted.join(classes, "fp").select("fp", "rep"), n), "sets"))
-            checked.append(saved(_verified(pairs, reduce(DataFrame.union, sets), percent), "checked"))
-            if not checked[-1].filter("linked").isEmpty():
-                comp = components(reduce(DataFrame.union, checked).filter("linked"))
-        more = found.filter("meeting IS NOT NULL").select("meeting").distinct()
-        if found.filter("meeting IS NOT NULL").isEmpty():
-            break
-        # cells with more to name, as far as their members are in different components
-        open_cells = members.join(more, "meeting", "left_semi").join(comp, members["fp"] == comp["node"], "left").select("meeting", "fp", F.coalesce("component", "fp").alias("component"))
-        uneven = open_cells.groupBy("meeting").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("meeting")
-        active = open_cells.join(uneven, "meeting", "left_semi")
-        most = max(1, most) * WIDEN
-    discard(members, *sets)
-    labelled = classes.join(comp, classes["fp"] == comp["node"], "left").select("fp", "rep", "rep_digest", "class_size", F.coalesce("component", "fp").alias("component"))
+    shape = [F.any_value(c).alias(c) for c in ("unit", "point")]
+    classes = saved(rows.filter("fp IS NOT NULL").groupBy("fp", "check", "size").agg(smallest["doc_id"].alias("rep"), smallest["digest"].alias("rep_digest"), F.count(F.lit(1)).alias("class_size"), *shape), "classes")
+    written = [classes]
+    classes, clash = _with_ids(classes)
+    written += [classes] if clash else []
+    members = _meetings(_cells(docs, hits, n, percent))
+    members = saved(members.join(classes.select("fp", "id"), "fp").select("meeting", "id") if clash else members.select("meeting", F.col("fp").alias("id")), "members")
+    comp = _components_of(members, docs, classes, n, percent, block)
+    discard(members)
+    labelled = classes.join(comp, classes["id"] == comp["node"], "left").select("fp", "check", "size", "rep", "rep_digest", "class_size", F.coalesce("component", "id").alias("component"))
     head = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "rep_digest"))
     ids = labelled.groupBy("component").agg(head["rep"].alias("component_id"), head["rep_digest"].alias("component_digest"))
-    by_class = labelled.join(ids, "component").select("fp", "class_size", "component_id", "component_digest")
-    out = rows.select("doc_id", "digest", "size", "fp").join(by_class, "fp", "left")
+    by_class = labelled.join(ids, "component").select("fp", "check", "size", "class_size", "component_id", "component_digest")
+    out = rows.select("doc_id", "digest", "size", "fp", "check").join(by_class, ["fp", "check", "size"], "left")
     first = F.col("fp").isNull() | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("digest") == F.col("component_digest")))
     own = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "digest", F.col("size").alias("n_shingles"), own.alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), first.alias("first"))
+    out = saved(out.select("doc_id", "digest", F.col("size").alias("n_shingles"), own.alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), first.alias("first")), "joined")
+    discard(sketch, comp, *written)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -536,7 +605,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows are told apart by id and text. Of rows that repeat both exactly one stays; texts without words all stay.
     """
-    found = saved(_joined(docs, id_col, text_col, **options), "components")
+    found = _joined(docs, id_col, text_col, **options)
     digest = text_digest(docs[text_col])
 
     def pairs(which: str) -> tuple[DataFrame, Column]:

@@ -86,6 +86,31 @@ def test_join_dense_group_of_near_copies(spark):
     assert found == brute_components(rows)
 
 
+def test_join_large_dense_group_is_dealt_and_costs_few_verifications(spark, monkeypatch):
+    """2,000 near copies of one text in a meeting of many blocks: exact components, about a link a document."""
+    base, counts = prose(8, 300), []
+    rows = [(i, edited(base, i, 1 + i % 3)) for i in range(2000)] + [(5000 + i, prose(9000 + i, 80)) for i in range(50)]
+    verified = ngram_join._verified
+
+    def counted(pairs, *rest):
+        out = verified(pairs, *rest)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(df, block=128).collect()}
+    assert {found[i] for i in range(2000)} == {0} and all(found[5000 + i] == 5000 + i for i in range(50))
+    assert sum(counts) < 20 * len(rows)
+
+
+def test_join_tells_sets_with_one_fingerprint_apart(docs, rows, monkeypatch):
+    whole = ngram_join.fingerprint
+    monkeypatch.setattr(ngram_join, "fingerprint", lambda s: (whole(s)[0] % 5, whole(s)[1]))
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect()}
+    assert found == brute_components(rows)
+
+
 def test_join_empty_nulls_and_repeated_rows(spark, nothing):
     assert ngram_join.near_duplicates(nothing).count() == 0
     df = spark.createDataFrame([(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, None), (5, "")], "doc_id int, text string")
