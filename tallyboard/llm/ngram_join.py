@@ -23,8 +23,8 @@ near copies costs about a link a document rather than all pairs.
 
 A meeting of more than `block` members is dealt by its own count. In the first round its members go to
 blocks; then rounds with one member per component and meeting gather the blocks' components for as
-long as they find links. Only what is still apart then meets again in pairs of blocks, in which every
-pair of members does. Meetings are read one at a time from sorted partitions, so a task holds the
+long as they halve their number. Only what is still apart then meets again in pairs of blocks, in
+which every pair of members does. Meetings are read one at a time from sorted partitions, so a task holds the
 points of at most two blocks, and Spark's sort spills what is larger.
 
 Cases: a null, empty or blank text has an empty set, links with nothing and is its own component. A
@@ -57,7 +57,7 @@ BLOCK = 1_024
 CHILDREN = 1_024
 #: Points in a leaf and children of a node; cells up to TINY are searched without a tree.
 LEAF, TINY = 16, 64
-WIDEN = 16
+WIDEN = 64
 #: Ids up to this many (8 bytes each) may be broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 
@@ -526,18 +526,16 @@ def _components_of(members: DataFrame, docs: DataFrame, classes: DataFrame, n: i
 
     comp = saved(docs.sparkSession.createDataFrame([], "node long, component long"), "components")
     active, most, gather, apart, checked = members.withColumn("component", F.col("id")), 0, False, None, []
-    large = too_large(active)
-    dealt = not large.isEmpty()
+    large = none = too_large(active)
+    dealt, looked_at = not large.isEmpty(), None
     while True:
         found = saved(_search(_dealt(active, large, across=most > 0).join(points, "id"), percent, most), "found")
         pairs = found.filter("a IS NOT NULL").select("a", "b").distinct()
         for old in checked:
             pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
-        linked = False
         if not found.filter("a IS NOT NULL").isEmpty():
             checked.append(_verified(pairs, docs, classes, n, percent))
-            linked = not checked[-1].filter("linked").isEmpty()
-            if linked:
+            if not checked[-1].filter("linked").isEmpty():
                 old, comp = comp, components(reduce(DataFrame.union, checked).filter("linked"))
                 discard(old)
         # meetings with more to name; blocks and representatives leave all that they looked at
@@ -546,18 +544,22 @@ def _components_of(members: DataFrame, docs: DataFrame, classes: DataFrame, n: i
         where = members.join(comp, members["id"] == comp["node"], "left").select("meeting", "id", F.coalesce("component", "id").alias("component"))
         spread = where.join(named.distinct(), "meeting", "left_semi").groupBy("meeting").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         still = saved(spread.filter("low < high").select("meeting"), "apart")
-        discard(found, large, *([apart] if apart is not None else []))
+        discard(found, *(x for x in (apart, large) if x is not None and x is not none))
         apart = still
         if apart.isEmpty():
-            discard(apart, *checked)
+            discard(apart, none, *checked)
             return comp
         active = where.join(apart, "meeting", "left_semi")
-        gather = dealt and most == 0 and (linked or not gather)
+        gather = dealt and most == 0
         if gather:
-            active = active.groupBy("meeting", "component").agg(F.min("id").alias("id")).select("meeting", "id", "component")
+            heads = active.groupBy("meeting", "component").agg(F.min("id").alias("id")).select("meeting", "id", "component")
+            before, looked_at = looked_at, heads.count()
+            gather = before is None or 2 * looked_at <= before
+        if gather:
+            active = heads
         else:
             most = max(1, most) * WIDEN
-        large = too_large(active)
+        large = too_large(active) if dealt else none
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -585,7 +587,13 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS, percent
     classes, clash = _with_ids(classes)
     written += [classes] if clash else []
     members = _meetings(_cells(docs, hits, n, percent))
-    members = saved(members.join(classes.select("fp", "id"), "fp").select("meeting", "id") if clash else members.select("meeting", F.col("fp").alias("id")), "members")
+    if clash:
+        # a meeting counts first fingerprints, so classes that share one also meet by themselves
+        alike = classes.select(F.col("fp").alias("meeting"), "id").join(classes.groupBy(F.col("fp").alias("meeting")).count().filter("count > 1"), "meeting", "left_semi")
+        members = members.join(classes.select("fp", "id"), "fp").select("meeting", "id").unionByName(alike)
+    else:
+        members = members.select("meeting", F.col("fp").alias("id"))
+    members = saved(members, "members")
     comp = _components_of(members, docs, classes, n, percent, block)
     discard(members)
     labelled = classes.join(comp, classes["id"] == comp["node"], "left").select("fp", "check", "size", "rep", "rep_digest", "class_size", F.coalesce("component", "id").alias("component"))

@@ -106,7 +106,7 @@ def test_join_large_dense_group_is_dealt_and_costs_few_verifications(spark, monk
 
 def test_join_tells_sets_with_one_fingerprint_apart(docs, rows, monkeypatch):
     whole = ngram_join.fingerprint
-    monkeypatch.setattr(ngram_join, "fingerprint", lambda s: (whole(s)[0] % 5, whole(s)[1]))
+    monkeypatch.setattr(ngram_join, "fingerprint", lambda s: (whole(s)[0] % 5 << 40, whole(s)[1]))
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect()}
     assert found == brute_components(rows)
 
