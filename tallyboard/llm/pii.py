@@ -2,11 +2,14 @@
 
 Candidates are found by pattern, validated, and permuted within their format by a keyed Feistel
 network on Z_a x Z_b: each round adds a keyed hash of one half to the other, so the map is a
-bijection of the format and equal values get equal pseudonyms in every document.
+bijection of the format and equal values get equal pseudonyms in every document. The driver derives a
+key for each round from the secret by HMAC; only these are in the plan. They begin with `ROUND_MARK`,
+so that `spark.sql.redaction.string.regex` can hide them in plans that are shown or logged.
 
 * payment cards (13-19 digits, Luhn): the payload digits; the check digit is recomputed;
 * IBANs (mod 97): the account's letters and digits, each within its class; check digits are recomputed;
-* phone numbers in international form, with or without separators: the digits after the country code;
+* phone numbers in international form, with or without separators: the digits after the country code,
+  and numbers with a three-digit area code in brackets: all digits;
 * social security numbers (area, group and serial in range): within the valid ones;
 * IPv4 addresses: within all 32-bit values;
 * calendar dates (Y-M-D, also before a time; D.M.Y, M/D/Y) of 1800-2199: within the 146,097 days of those 400 years;
@@ -17,16 +20,23 @@ tested, those that are laid out as cards or have their country's length first, t
 are the groups of any candidate that fails its validation. What stays invalid is left as it is, and so
 is all other text.
 
-Cases: a null text stays null with no values; texts are processed whole. Repeated rows give repeated
-results, an empty table an empty one. All other columns, whatever their names, pass through unread.
+Cases: a null text stays null with no values; texts are processed whole, whatever their length (a
+candidate is bounded, the search over it is linear in the text). Repeated rows give repeated results,
+an empty table an empty one. All other columns, whatever their names, pass through unread; where one
+has the name of the new column, the new one gets underscores until it differs.
 """
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: What round keys in a plan begin with.
+ROUND_MARK = "round-key-"
 #: First and last day of the 400-year cycle that dates are permuted in, and two factors of its days.
 FIRST_DAY, DAYS, DAY_FACTORS = "1800-01-01", 146_097, (189, 773)
 
@@ -58,7 +68,7 @@ _DIGIT = rf"(?:[ .\-]{_ON}{_NO_CARD})?\(?\d\)?"
 PATTERNS = {
     "email": _EMAIL,
     "iban": rf"[A-Z]{{2}}\d{{2}}[A-Z0-9]*+(?![a-z])(?: {_ON}(?!\d++-\d)[A-Z0-9]++(?![a-z]))*+",
-    "phone": "|".join([r"\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}", *(rf"\+(?:{codes})(?:{_DIGIT}){{{n}}}" for n, codes in FIXED.items()), rf"\+{COUNTRY}(?:{_DIGIT}){{5,12}}"]),
+    "phone": "|".join([r"\(\d{3}\) ?\d{3}[ .\-]\d{4}", r"\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}", *(rf"\+(?:{codes})(?:{_DIGIT}){{{n}}}" for n, codes in FIXED.items()), rf"\+{COUNTRY}(?:{_DIGIT}){{5,12}}"]),
     "ssn": _SSN,
     "date": _DATE,
     "ipv4": _IPV4,
@@ -68,9 +78,16 @@ ANY = f"{_EDGE_BEFORE}(?:{_STAMP}|(?:{'|'.join(PATTERNS.values())}){_EDGE_AFTER}
 KINDS = tuple(PATTERNS)
 
 
+def round_keys(key: str) -> list[str]:
+    """A key for each round, derived from the secret."""
+    return [ROUND_MARK + hmac.new(key.encode(), f"round {i}".encode(), hashlib.sha256).hexdigest() for i in range(ROUNDS)]
+
+
 def _hash(key: str, tweak: Column, step: Column, half: Column) -> Column:
-    """Keyed hash as hex."""
-    return F.sha2(F.concat_ws("|", F.lit(key), tweak, step.cast("string"), half.cast("string"), F.lit(key)), 256)
+    """Keyed hash of a round as hex."""
+    keys = round_keys(key)
+    own = F.substr(F.lit("".join(keys)), step * len(keys[0]) + 1, F.lit(len(keys[0])))
+    return F.sha2(F.concat_ws("|", own, tweak, half.cast("string")), 256)
 
 
 def feistel(a: Column, b: Column, size_a: Column, size_b: Column, key: str, tweak: Column, back: bool = False) -> Column:
@@ -226,7 +243,8 @@ def _phone(m: Column, key: str) -> Column:
     rest = F.substr(m, F.length(country) + 1)
     digits = _only_digits(rest)
     fits = F.when((apart == "") & country.isin("+1", "+7"), F.length(digits) == 10).otherwise(F.length(digits).between(5, 14))
-    return F.when((country != "") & fits, F.concat(country, _laid_out(rest, permute_digits(digits, key, "phone"))))
+    known = m.startswith("(") | ((country != "") & fits)
+    return F.when(known, F.concat(country, _laid_out(rest, permute_digits(digits, key, "phone"))))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -317,10 +335,10 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: str = "pii") -> DataFrame:
     """docs with its text pseudonymised in place and found_col: array<struct<kind, value>> of the new values.
 
-    found_col must be a name that docs does not have.
+    Where docs has a column of that name, found_col gets underscores until it differs.
     """
-    if found_col in docs.columns:
-        raise ValueError(f"column {found_col} is there already")
+    while found_col.lower() in (c.lower() for c in docs.columns):
+        found_col += "_"
     text = F.col(text_col)
     maybe = text.rlike("[0-9@]")
     matches = F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
