@@ -4,11 +4,13 @@ A text is cut into pieces (at line ends and after . ! ? ; : before white space),
 (lower case, comment marks and punctuation to spaces, blanks collapsed). A known licence sentence is
 one piece or, wrapped, a run of lines of one paragraph: a run ends where a sentence does and at blank
 lines (comment marks alone are blank). Of known sentences that begin at one place the longest counts.
-Each becomes its identifier, all else vanishes, and what remains is a sequence of identifiers. Ordered rules - longer sequences first - match runs of that sequence; what one rule
-took, a later one cannot take again. Texts without any of the anchor words, one of which every known
+Each becomes its identifier, all else vanishes, and what remains is a sequence of identifiers. Ordered
+rules - longer sequences first - match runs of that sequence; what one rule took, a later one cannot
+take again. A sentence that names a version has an identifier of its own, so a licence is named only
+where the text says which one. Texts without any of the anchor words, one of which every known
 sentence holds, are not cut.
 
-Cases: a null or empty text has no sentences, licences or identifiers. Repeated sentences and rows
+Cases: texts are read whole, whatever their length. A null or empty text has no sentences, licences or identifiers. Repeated sentences and rows
 count each. An empty table gives an empty result. Only id and text are read, so other columns' names
 never clash.
 """
@@ -38,8 +40,19 @@ SENTENCES = {
     "gpl3-notice": "This work is licensed under the GNU General Public License, version 3.",
     "gpl2-notice": "This work is licensed under the GNU General Public License, version 2.",
     "gpl-free": "This program is free software",
+    "lgpl-free": "This library is free software",
+    "gpl-redistribute": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "lgpl-redistribute": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "agpl-redistribute": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "either-3": "either version 3 of the License, or (at your option) any later version.",
+    "either-21": "either version 2.1 of the License, or (at your option) any later version.",
+    "either-2": "either version 2 of the License, or (at your option) any later version.",
     "gpl3-redistribute": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "gpl2-redistribute": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl2-redistribute": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+    "lgpl3-redistribute": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl21-redistribute": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.",
+    "agpl3-redistribute": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl2-only": "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
     "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
@@ -48,9 +61,20 @@ SENTENCES = {
     "cc-by-nc-notice": "Licensed under CC BY-NC 4.0.",
     "cc-by-notice": "Licensed under CC BY 4.0.",
     "cc-by-sa-notice": "Licensed under CC BY-SA 4.0.",
+    "cc-by-nd-notice": "Licensed under CC BY-ND 4.0.",
+    "cc-by-sa-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nd-work": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
     "cc-by-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc0-notice": "This work is dedicated to the public domain under CC0 1.0.",
     "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl11-notice": 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License")',
+    "epl2-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "epl1-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at",
+    "zlib-provided": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-granted": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "boost-title": "Boost Software License - Version 1.0",
+    "boost-distributed": "Distributed under the Boost Software License, Version 1.0.",
+    "wtfpl-title": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "reserved": "All rights reserved.",
@@ -64,10 +88,19 @@ RULES = (
     ("Apache-2.0", ("apache-header", "apache-comply", "apache-obtain", "apache-basis", "apache-limits")),
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
-    ("GPL-3.0-or-later", ("gpl-free", "gpl3-redistribute", "gpl-hope")),
-    ("GPL-2.0-or-later", ("gpl-free", "gpl2-redistribute", "gpl-hope")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl3-redistribute")),
+    ("GPL-3.0-or-later", ("gpl-free", "gpl-redistribute", "either-3")),
     ("GPL-2.0-or-later", ("gpl-free", "gpl2-redistribute")),
+    ("GPL-2.0-or-later", ("gpl-free", "gpl-redistribute", "either-2")),
+    ("LGPL-3.0-or-later", ("lgpl-free", "lgpl3-redistribute")),
+    ("LGPL-3.0-or-later", ("lgpl-free", "lgpl-redistribute", "either-3")),
+    ("LGPL-3.0-or-later", ("gpl-free", "lgpl3-redistribute")),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl21-redistribute")),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl-redistribute", "either-21")),
+    ("AGPL-3.0-or-later", ("gpl-free", "agpl3-redistribute")),
+    ("AGPL-3.0-or-later", ("gpl-free", "agpl-redistribute", "either-3")),
+    ("GPL-2.0-only", ("gpl-free", "gpl2-only")),
+    ("Zlib", ("zlib-provided", "zlib-granted")),
     ("Apache-2.0", ("apache-header", "apache-comply")),
     ("GPL-3.0", ("gpl3-notice",)),
     ("GPL-2.0", ("gpl2-notice",)),
@@ -83,7 +116,16 @@ RULES = (
     ("CC-BY-4.0", ("cc-by-notice",)),
     ("CC-BY-4.0", ("cc-by-work",)),
     ("CC0-1.0", ("cc0-notice",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-notice",)),
+    ("CC-BY-SA-4.0", ("cc-by-sa-work",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-work",)),
     ("MPL-2.0", ("mpl-notice",)),
+    ("MPL-1.1", ("mpl11-notice",)),
+    ("EPL-2.0", ("epl2-notice",)),
+    ("EPL-1.0", ("epl1-notice",)),
+    ("BSL-1.0", ("boost-title",)),
+    ("BSL-1.0", ("boost-distributed",)),
+    ("WTFPL", ("wtfpl-title",)),
     ("ISC", ("isc-grant",)),
     ("Unlicense", ("unlicense",)),
     ("All-Rights-Reserved", ("reserved",)),
@@ -92,6 +134,8 @@ RULES = (
 #: Every known sentence holds one of these, in lower case.
 ANCHORS = ("licen", "permission", "copyright", "warrant", "free software", "redistribut", "rights reserved", "public domain", "as is")
 
+#: An abbreviation whose point ends no sentence, and what stands for it.
+SHORT, SHORT_FORM = " v. ", " v "
 END = r"[.!?;:]+\s+"
 CUT = rf"\n|{END}"
 NOISE = r"[^a-z0-9]+"
@@ -102,14 +146,15 @@ def _normal(sentence: str) -> str:
 
 
 def _cut(text: str) -> list[str]:
-    return [x for s in re.split(CUT, text) if (x := _normal(s))]
+    return [x for s in re.split(CUT, text.lower().replace(SHORT, SHORT_FORM)) if (x := _normal(s))]
 
 
 def known() -> dict[str, str]:
-    """Identifier of each known normalised sentence; one that the cut splits is known by its longest piece."""
-    out = {max(_cut(s), key=len): i for i, s in SENTENCES.items()}
-    if len(out) < len(SENTENCES) or not all(any(a in s.lower() for a in ANCHORS) for s in SENTENCES.values()):
-        raise ValueError("licence sentences must differ and hold an anchor")
+    """Identifier of each known normalised sentence, which must be one piece of the cut."""
+    pieces = {i: _cut(s) for i, s in SENTENCES.items()}
+    out = {x: i for i, parts in pieces.items() for x in parts}
+    if any(len(p) != 1 for p in pieces.values()) or len(out) < len(SENTENCES) or not all(any(a in s.lower() for a in ANCHORS) for s in SENTENCES.values()):
+        raise ValueError("licence sentences must be single ones, differ and hold an anchor")
     return out
 
 
@@ -118,7 +163,8 @@ def sentence_ids(text: Column) -> Column:
     sentences = known()
     ids = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     # lower-cased text has no capitals: S stands for an end of sentence or paragraph, L for one of a line
-    marked = F.concat(F.lit("S"), F.replace(F.regexp_replace(F.lower(text), END, "S"), F.lit("\n"), F.lit("L")), F.lit("S"))
+    whole = F.replace(F.lower(text), F.lit(SHORT), F.lit(SHORT_FORM))
+    marked = F.concat(F.lit("S"), F.replace(F.regexp_replace(whole, END, "S"), F.lit("\n"), F.lit("L")), F.lit("S"))
     marked = F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9SL]+", " "), " *([SL]) *", "$1")
     marked = F.regexp_replace(marked, "L*S[SL]*|LL+", "S")
     one_of = "|".join(x.replace(" ", "[ L]") for x in sorted(sentences, key=len, reverse=True))

@@ -144,7 +144,7 @@ def _license_sql() -> str:
         steps.append(f"line{i} AS (SELECT doc_id, n_sentences, sentence_ids, replace(line, {_text(run)}, '/') AS line, found || repeat({_text(name + ',')}, ((length(line) - length(replace(line, {_text(run)}, '/'))) // {len(run) - 1})::INTEGER) AS found FROM {last})")
         last = f"line{i}"
     return rf"""
-WITH cut AS (SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{anchors}') THEN list_filter(list_transform(regexp_split_to_array(lower(text), '
+WITH cut AS (SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{anchors}') THEN list_filter(list_transform(regexp_split_to_array(replace(lower(text), {_text(licenses.SHORT)}, {_text(licenses.SHORT_FORM)}), '
 |[.!?;:]+[ 	
 
 ]+'),

@@ -525,6 +525,48 @@ def test_url_filter_keys_of_any_depth(spark):
     assert got == {0: (False, 1), 1: (True, 2), 2: (False, 3), 3: (True, 4), 4: (True, 4), 5: (True, None)}
 
 
+def licence_text(*parts: str) -> str:
+    """A licence as its file prints it: paragraphs of known sentences."""
+    return "\n\n".join("".join(licenses.SENTENCES.get(p, p) for p in part.split("|")) for part in parts)
+
+
+LICENCES = {
+    "MIT": licence_text("mit-title", "Copyright (c) 2020 A. Nobody", "mit-grant|:", "mit-condition", "mit-warranty"),
+    "BSD-3-Clause": licence_text("bsd-redistribution|:", "1. |bsd-source", "2. |bsd-binary", "3. |bsd-endorse"),
+    "BSD-2-Clause": licence_text("bsd-redistribution|:", "1. |bsd-source", "2. |bsd-binary"),
+    "Apache-2.0": licence_text("apache-header|; |apache-comply| |apache-obtain", "http://www.apache.org/licenses/LICENSE-2.0", "apache-basis| |apache-limits"),
+    "GPL-3.0-or-later": licence_text("gpl-free|: |gpl3-redistribute", "gpl-hope|; without even the implied warranty of fitness."),
+    "GPL-2.0-or-later": licence_text("gpl-free|; |gpl-redistribute|; |either-2", "gpl-hope|; without more."),
+    "LGPL-2.1-or-later": licence_text("lgpl-free|; |lgpl-redistribute|; |either-21"),
+    "LGPL-3.0-or-later": licence_text("lgpl-free|; |lgpl-redistribute|; |either-3"),
+    "AGPL-3.0-or-later": licence_text("gpl-free|: |agpl3-redistribute"),
+    "MPL-2.0": licence_text("mpl-notice| If a copy was not distributed, get one."),
+    "Zlib": licence_text("zlib-provided| In no event will anyone be liable.", "zlib-granted|:"),
+    "ISC": licence_text("isc-grant"),
+}
+
+
+@pytest.mark.parametrize("lead", ["", "# ", "// ", " * "])
+def test_licence_texts_wrapped_at_72_columns(spark, lead):
+    def wrapped(text):
+        lines = [line for part in text.split("\n\n") for line in [*textwrap.wrap(part, 72 - len(lead)), ""]]
+        return "code before\n\n" + "\n".join((lead + x).rstrip() for x in lines) + "\nint main();"
+
+    names = list(LICENCES)
+    df = spark.createDataFrame([(i, wrapped(LICENCES[n])) for i, n in enumerate(names)], "doc_id int, text string")
+    assert {names[r["doc_id"]]: r["licenses"] for r in licenses.scan(df).collect()} == {n: n for n in names}
+
+
+def test_licence_versions_long_texts_repeats_and_clashes(spark):
+    mpl = licenses.SENTENCES["mpl-notice"]
+    cases = [
+        (1, mpl.replace("2.0", "1.1"), ""), (2, licenses.SENTENCES["mpl11-notice"], "MPL-1.1"), (3, "This program is free software; " + licenses.SENTENCES["gpl-redistribute"] + "; either version 3 of the License, or (at your option) any later version.", "GPL-3.0-or-later"),
+        (4, "This program is free software; " + licenses.SENTENCES["gpl-redistribute"] + "; either version 4 of the License.", ""), (5, "word " * 200_000 + "\n" + mpl + "\n" + "word " * 200_000, "MPL-2.0"), (6, mpl, "MPL-2.0"), (6, mpl, "MPL-2.0"), (None, None, ""),
+    ]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t, _ in cases], "doc_id int, text string, _line string, licenses string")
+    assert sorted(((r["doc_id"], r["licenses"]) for r in licenses.scan(df).collect()), key=str) == sorted(((i, want) for i, _, want in cases), key=str)
+
+
 # --- pii ----------------------------------------------------------------------------------------
 def luhn(digits: str) -> bool:
     total = sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(int(c) for c in reversed(digits)))
