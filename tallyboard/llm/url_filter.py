@@ -7,10 +7,17 @@ prefixes of its path, at all depths (labels and segments) that keys of the list
 the key with the interval around the fetch time evaluates it against the entries active then. The most specific active entry decides (longest host,
 then longest path).
 
-Cases: a null or unparsable URL has a null host and is allowed, as is a capture without fetch time.
-Of entries of one key and time the last identifier counts. Repeated captures are judged each; empty
-tables give an empty result or allow all. Only the named columns are read, so others' names never
-clash. Keys a third of all captures share are split by Spark (both join sides are plain exchanges).
+Keys and captures are written alike: no scheme, port, user or query, the host in lower case without a
+closing dot, the path without empty segments. An IPv6 host is one label, in its brackets.
+
+A list of up to `MOST_BROADCAST` intervals is sent to all tasks. Beyond that the join is by shuffle;
+keys that very many captures ask for are found by a count first, and their captures and intervals are
+dealt over several tasks.
+
+Cases: a null or unparsable URL has a null host and is allowed, as is a capture without fetch time; an
+URL's length does not matter. Of entries of one key and time the last identifier counts; entries
+without key or time count for nothing. Repeated captures are judged each; empty tables give an empty
+result or allow all. Only the named columns are read, so others' names never clash.
 """
 
 from __future__ import annotations
@@ -24,10 +31,25 @@ from tallyboard.llm.common import saved
 
 #: Depths to which the query's SQL expands captures; no key of its list is deeper. judge() reads depths off the list.
 MOST_LABELS, MOST_SEGMENTS = 8, 4
-HOST = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+HOST = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/:?#\[\]]+)"
 PATH = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(/[^?#]*)"
 
 
+#: Intervals up to this many may be broadcast.
+MOST_BROADCAST = 50_000
+#: A key is hot when more captures than this ask for it, and more than this share of all keys asked for.
+HOT_ROWS, HOT_SHARE = 100_000, 1 / 1000
+
+
+def normal_key(key: Column) -> Column:
+    """A list key as captures ask for it; null where it has no host."""
+    bare = F.regexp_replace(F.regexp_replace(key, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://", ""), r"[?#].*$", "")
+    host = F.regexp_replace(F.regexp_replace(F.lower(F.substring_index(bare, "/", 1)), "^.*@", ""), r":\d*$", "")
+    segments = F.filter(F.slice(F.split(bare, "/"), F.lit(2), F.greatest(F.lit(0), F.size(F.split(bare, "/")) - 1)), lambda p: p != "")
+    host = F.rtrim(host, F.lit("."))
+    return F.when(host != "", F.array_join(F.concat(F.array(host), segments), "/"))
+
+
 def host_of(url: Column) -> Column:
     return F.nullif(F.rtrim(F.regexp_extract(F.lower(url), HOST, 1), F.lit(".")), F.lit(""))
 
@@ -59,19 +81,35 @@ def keys_of(url: Column, depths: Sequence[tuple[int, int]]) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """Validity intervals (key, action, entry_id, valid_from, valid_to) of entries (entry_id, key, action, listed_at)."""
-    last = entries.filter("key IS NOT NULL AND listed_at IS NOT NULL").groupBy("key", "listed_at").agg(F.max_by(F.struct("action", "entry_id"), "entry_id").alias("e"))
+    last = entries.withColumn("key", normal_key(F.col("key"))).filter("key IS NOT NULL AND listed_at IS NOT NULL").groupBy("key", "listed_at").agg(F.max_by(F.struct("action", "entry_id"), "entry_id").alias("e"))
     w = Window.partitionBy("key").orderBy("listed_at")
     return last.select("key", "e.action", "e.entry_id", F.col("listed_at").alias("valid_from"), F.lead("listed_at").over(w).alias("valid_to"))
 
 
-def judge(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str, time_col: str) -> DataFrame:
+def _spread(asked: DataFrame, spans: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a part: 0, or one of several for keys that very many captures ask for."""
+    asked = saved(asked, "asked")
+    limit = max(hot_rows, int(asked.count() * HOT_SHARE))
+    hot = asked.groupBy("_key").count().filter(F.col("count") > limit).select(F.col("_key").alias("_hot"), F.ceil(F.col("count") / limit).cast("long").alias("_parts"))
+    hot = saved(hot, "hot")
+    # a key of more than a thousandth of all rows: there are fewer than a thousand
+    left = asked.join(F.broadcast(hot), asked["_key"] == hot["_hot"], "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("_row"), F.col("_parts")), F.lit(0))).drop("_hot", "_parts")
+    right = spans.join(F.broadcast(hot), spans["key"] == hot["_hot"], "left").withColumn("_own", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_hot", "_parts")
+    return left, right
+
+
+def judge(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str, time_col: str, most_broadcast: int = MOST_BROADCAST, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per capture: id, host, fetched_at, allowed, entry_id and key that decided (null: none active)."""
-    spans = saved(intervals(entries), "intervals")  # its size is known from its files, so Spark broadcasts a short list only
+    spans = saved(intervals(entries), "intervals")
     # a capture keeps its row together: keys are looked up from an exploded copy, the best entry comes back by row number
     rows = saved(captures.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(time_col).alias("_at"), F.monotonically_increasing_id().alias("_row")), "captures")
     asked = rows.select("_row", "_at", F.explode(F.array_distinct(keys_of(F.col("_url"), depths_of(spans)))).alias("_key"))
     inside = (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
-    active = asked.join(spans, (F.col("_key") == F.col("key")) & inside)
+    if spans.count() <= most_broadcast:
+        active = asked.join(F.broadcast(spans), (F.col("_key") == F.col("key")) & inside)
+    else:
+        left, right = _spread(asked, spans, hot_rows)
+        active = left.join(right, (F.col("_key") == F.col("key")) & (F.col("_part") == F.col("_own")) & inside)
     order = F.struct(F.length(F.substring_index("key", "/", 1)), F.length("key"))
     best = active.groupBy("_row").agg(F.max_by(F.struct("key", "action", "entry_id"), order).alias("e"))
     out = rows.join(best, "_row", "left")

@@ -525,6 +525,25 @@ def test_url_filter_keys_of_any_depth(spark):
     assert got == {0: (False, 1), 1: (True, 2), 2: (False, 3), 3: (True, 4), 4: (True, 4), 5: (True, None)}
 
 
+def test_url_filter_long_list_and_hot_domain(spark):
+    """100,000 entries, all captures under one domain, by broadcast and by the dealt shuffle join: the same verdicts."""
+    entries = spark.range(100_000).select(F.col("id").cast("int").alias("entry_id"), F.when(F.col("id") < 3, "Hot.example.com./").otherwise(F.concat(F.lit("d"), F.col("id").cast("string"), F.lit(".example"))).alias("key"), F.when(F.col("id") == 1, "allow").otherwise("block").alias("action"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("id") % 300).cast("int"))).alias("listed_at"))
+    captures = spark.range(2000).select("id", F.concat(F.lit("http://a.hot.example.com:80/"), F.col("id").cast("string")).alias("url"), (F.lit("2023-12-30 12:00:00").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("id") % 6).cast("int"))).alias("at"), F.lit(1).alias("_key"))
+    one, two = (sorted(map(tuple, url_filter.judge(captures, entries, "id", "url", "at", most_broadcast=m, hot_rows=50).collect())) for m in (10**9, 0))
+    assert one == two and len(one) == 2000
+    # day 0 and 1 lie before the first entry; then block, allow, block, block
+    assert {r[0] % 6: r[3] for r in one} == {0: True, 1: True, 2: False, 3: True, 4: False, 5: False} and {r[5] for r in one} == {None, "hot.example.com"}
+
+
+def test_url_filter_writes_keys_and_hosts_alike(spark):
+    keys = ["Bad.COM", "bad4.com/", "https://User@Path.org:8080//A/b/?q#f", "[2001:DB8::1]", "", None, "com."]
+    entries = spark.createDataFrame([(i, k, "block", "2024-01-01") for i, k in enumerate(keys)], "entry_id int, key string, action string, day string").withColumn("listed_at", F.col("day").cast("timestamp_ntz"))
+    urls = ["http://bad.com", "https://x.BAD4.com./y", "http://path.org/A/b/c", "http://path.org/a/b", "http://[2001:db8::1]:80/x", "http://[2001:db8::2]/", "http://fine.com", "http://fine.org", None, "no url", "http://path.org/A/b/" + "x" * 300_000]
+    captures = spark.createDataFrame([(i, u, "2024-06-01") for i, u in enumerate(urls)], "id int, url string, day string").withColumn("at", F.col("day").cast("timestamp_ntz"))
+    got = {r["id"]: (r["allowed"], r["key"]) for r in url_filter.judge(captures, entries, "id", "url", "at").collect()}
+    assert got == {0: (False, "bad.com"), 1: (False, "bad4.com"), 2: (False, "path.org/A/b"), 3: (True, None), 4: (False, "[2001:db8::1]"), 5: (True, None), 6: (False, "com"), 7: (True, None), 8: (True, None), 9: (True, None), 10: (False, "path.org/A/b")}
+
+
 def licence_text(*parts: str) -> str:
     """A licence as its file prints it: paragraphs of known sentences."""
     return "\n\n".join("".join(licenses.SENTENCES.get(p, p) for p in part.split("|")) for part in parts)
