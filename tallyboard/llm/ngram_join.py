@@ -49,10 +49,10 @@ from tallyboard.llm.common import discard, mix64, saved, slices, text_digest
 
 WORDS, PERCENT = 5, 80
 #: Groups of a small set's point, members per group of a larger one's, and most groups.
-GROUPS, PER_GROUP, MOST_GROUPS = 64, 2, 8192
+GROUPS, PER_GROUP, MOST_GROUPS = 256, 2, 8192
 BUCKET_BITS = 16
-#: Members of a meeting that one task searches together.
-BLOCK = 1_024
+#: Members of a meeting that one task searches together, and the blocks that this is cut into where each is searched alone.
+BLOCK, CUTS = 1_024, 4
 #: Children that one task compares with their parent set.
 CHILDREN = 1_024
 #: Points in a leaf and children of a node; cells up to TINY are searched without a tree.
@@ -135,11 +135,12 @@ def prefix_length(size: int, percent: int) -> int:
 class CountTree:
     """R-tree over count vectors of one cell: packed leaves, nodes with maxima and ranges of sizes.
 
-    Only pairs with a member of `own` count; those of other members belong to a finer tree.
+    Only pairs with a member of `own` count; those of other members belong to a finer tree. Where sides
+    are given, only pairs of different sides count; a side's own pairs are searched elsewhere.
     """
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, component: np.ndarray, own: np.ndarray, percent: int):
-        self.points, self.sizes, self.component, self.own, self.percent = points, sizes, component, own, percent
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, component: np.ndarray, own: np.ndarray, percent: int, side: np.ndarray | None = None):
+        self.points, self.sizes, self.component, self.own, self.percent, self.side = points, sizes, component, own, percent, side
         # tiles: large components apart, then by size, then by the two coordinates that vary most
         members = np.bincount(component)[component]
         apart = np.where(members > LEAF, component + 1, 0)
@@ -199,6 +200,8 @@ class CountTree:
     def passing(self, query: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pairs of points between components whose bound allows the threshold, with the bound."""
         new = (self.component[query] != self.component[node]) & (self.own[query] | self.own[node])
+        if self.side is not None:
+            new &= self.side[query] != self.side[node]
         query, node = query[new], node[new]
         keep, bound = self.survivors(query, node, self.points, self.sizes, self.sizes)
         return query[keep], node[keep], bound[keep]
@@ -241,10 +244,10 @@ def best_between(query: np.ndarray, node: np.ndarray, bound: np.ndarray, compone
     return query[at < most], node[at < most], bool((at >= most).any())
 
 
-def search_cell(data: list[bytes], units: np.ndarray, sizes: np.ndarray, component: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of rows to verify in one cell, and whether more are left. most 0 asks for the first round's forest.
+def search_cell(data: list[bytes], units: np.ndarray, sizes: np.ndarray, component: np.ndarray, percent: int, most: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of rows to verify in one meeting, and whether more are left. most 0 asks for the first round's forest.
 
-    component: small numbers from 0.
+    component: small numbers from 0; side: with it, only pairs of different sides.
     """
     groups = np.array([len(d) for d in data])
     found, more = [], False
@@ -258,7 +261,7 @@ def search_cell(data: list[bytes], units: np.ndarray, sizes: np.ndarray, compone
         points = np.stack([folded(data[i], int(units[i]), int(g)) for i in rows])
         if points.max() < 256:
             points = points.astype(np.uint8)
-        tree = CountTree(points, sizes[rows], component[rows], own, percent)
+        tree = CountTree(points, sizes[rows], component[rows], own, percent, None if side is None else side[rows])
         if len(rows) <= TINY:
             q, r, bound = tree.passing(*np.tril_indices(len(rows), -1))
         elif most == 0:
@@ -379,18 +382,19 @@ def _meetings(cells: DataFrame) -> DataFrame:
 
 
 def _dealt(members: DataFrame, large: DataFrame, across: bool) -> DataFrame:
-    """members (meeting, id, component) with part: where they are searched together.
+    """members (meeting, id, component) with part, where they are searched together, and side, their block in a pair of blocks.
 
     large: (meeting, blocks) of meetings that are dealt, to blocks or, across, to pairs of blocks.
     """
-    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    rows = members.join(large, "meeting", "left").withColumn("own", own)
+    blocks = F.col("blocks") if across else CUTS * F.col("blocks")
+    rows = members.join(large, "meeting", "left").withColumn("own", F.pmod(F.xxhash64("id"), blocks))
     if across:
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
         part = F.xxhash64("meeting", F.least("own", "other"), F.greatest("own", "other"))
+        side = F.when(F.col("own") != F.col("other"), F.col("own")).otherwise(-1)
     else:
-        part = F.xxhash64("meeting", "own")
-    return rows.select(F.when(F.col("blocks").isNull(), F.col("meeting")).otherwise(part).alias("part"), "meeting", "id", "component")
+        part, side = F.xxhash64("meeting", "own"), F.lit(-1)
+    return rows.select(F.when(F.col("blocks").isNull(), F.col("meeting")).otherwise(part).alias("part"), F.coalesce(side, F.lit(-1)).cast("long").alias("side"), "meeting", "id", "component")
 
 
 def _search(members: DataFrame, percent: int, most: int) -> DataFrame:
@@ -398,7 +402,7 @@ def _search(members: DataFrame, percent: int, most: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, "part"):
-            part, meeting, node, size, unit, component = (_numbers(table, c) for c in ("part", "meeting", "id", "size", "unit", "component"))
+            part, side, meeting, node, size, unit, component = (_numbers(table, c) for c in ("part", "side", "meeting", "id", "size", "unit", "component"))
             data = table.column("point").to_pylist()
             first = np.nonzero(np.concatenate([[True], part[1:] != part[:-1]]))[0]
             left, right, more = [], [], []
@@ -406,7 +410,7 @@ def _search(members: DataFrame, percent: int, most: int) -> DataFrame:
                 own = component[a:b]
                 if (own == own[0]).all():
                     continue
-                q, r, rest = search_cell(data[a:b], unit[a:b], size[a:b], np.unique(own, return_inverse=True)[1], percent, most)
+                q, r, rest = search_cell(data[a:b], unit[a:b], size[a:b], np.unique(own, return_inverse=True)[1], percent, most, side[a:b] if side[a] >= 0 else None)
                 left.append(node[a:b][q])
                 right.append(node[a:b][r])
                 if rest:
@@ -417,7 +421,7 @@ def _search(members: DataFrame, percent: int, most: int) -> DataFrame:
             names = pa.array(np.append(np.zeros(len(pairs), dtype=np.int64), np.array(more, dtype=np.int64)), mask=np.arange(len(pairs) + len(more)) < len(pairs))
             yield pa.RecordBatch.from_arrays([*columns, names], ["a", "b", "meeting"])
 
-    return members.repartition("part").sortWithinPartitions("part", "id").mapInArrow(run, "a long, b long, meeting long")
+    return members.repartition("part").sortWithinPartitions("part", "id").mapInArrow(run, "a long, b long, meeting long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -530,7 +534,7 @@ def _components_of(members: DataFrame, docs: DataFrame, classes: DataFrame, n: i
     dealt, looked_at = not large.isEmpty(), None
     while True:
         found = saved(_search(_dealt(active, large, across=most > 0).join(points, "id"), percent, most), "found")
-        pairs = found.filter("a IS NOT NULL").select("a", "b").distinct()
+        pairs = found.filter("a IS NOT NULL").select("a", "b")
         for old in checked:
             pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
         if not found.filter("a IS NOT NULL").isEmpty():

@@ -105,7 +105,7 @@ def test_join_large_dense_group_is_dealt_and_costs_few_verifications(spark, monk
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     found = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(df, block=128).collect()}
     assert {found[i] for i in range(2000)} == {0} and all(found[5000 + i] == 5000 + i for i in range(50))
-    assert sum(counts) < 20 * len(rows)
+    assert sum(counts) < 10 * len(rows)
 
 
 def test_join_tells_sets_with_one_fingerprint_apart(docs, rows, monkeypatch):
