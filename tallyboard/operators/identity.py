@@ -110,6 +110,7 @@ def sports_cards() -> Column:
 
 
 # --- pokemon ------------------------------------------------------------------------------------
+#: Grade and set noise in titles, aspect names.
 POKEMON_GRADE = r"\b(PSA|BGS|CGC|SGC)\s*(?:GEM\s*MT|GEM\s*MINT|MINT|NM-?MT\+?|NM|EX-?MT|EX|VG)?\s*(10|[1-9](?:\.5)?)\b"
 POKEMON_NOISE = r"\b(pok[eé]mon|holo(?:foil)?|1st edition|shadowless|unlimited|reverse|japanese|english)\b"
 POKEMON_CERTS = ("Certification Number", "Certification #", "Cert Number", "Cert #")
@@ -162,6 +163,7 @@ def pokemon() -> Column:
 
 
 # --- art editions -------------------------------------------------------------------------------
+#: Edition words and what is cut from titles.
 EDITION_WORD = "print|multiple|edition|poster|lithograph|screenprint|etching"
 EDITION_NUMBERING = r"\b\d+\s*/\s*\d+\b"
 EDITION_TOKEN = r"\b(ap|pp|hc|tp|ed\.?|edition|numbered|signed)\b"
@@ -203,14 +205,18 @@ FORMATS = (
     ("sp", r"signed (?:photo(?:graph)?|portrait)|photo(?:graph)?,? signed", r"\bSP\b"),
     ("book", r"signed book|book,? signed|signed (?:first|1st) edition", None),
 )
+#: Words of copies, words that end a name, and particles inside one.
 REPRODUCTION = r"\b(reprint|re-print|reproduction|facsimile|fascimile|autopen|auto-pen|secretarial|pre-?print|photocopy|restrike|re-?strike)\b"
 CUT_WORDS = (
-    "signed autograph autographed autographs signature autographe typed handwritten handwrote letter letters document documents note notes "
-    "photo photos photograph photographs portrait quotation quote manuscript check cheque book card index als tls ans aqs ams amqs ds ls sp "
-    "inscribed inscription cut album page first 1st edition psa dna jsa beckett bas coa loa authentic authenticated authentication certified "
-    "certificate certification original vintage rare reprint reproduction facsimile autopen"
-).split()
-PARTICLES = "de van von der den del della di da du la le el bin al st st. mac mc".split()
+    "signed", "autograph", "autographed", "autographs", "signature", "autographe", "typed", "handwritten", "handwrote", "letter", "letters",
+    "document", "documents", "note", "notes", "photo", "photos", "photograph", "photographs", "portrait", "quotation", "quote", "manuscript",
+    "check", "cheque", "book", "card", "index", "als", "tls", "ans", "aqs", "ams", "amqs", "ds", "ls", "sp", "inscribed", "inscription", "cut",
+    "album", "page", "first", "1st", "edition", "psa", "dna", "jsa", "beckett", "bas", "coa", "loa", "authentic", "authenticated", "authentication",
+    "certified", "certificate", "certification", "original", "vintage", "rare", "reprint", "reproduction", "facsimile", "autopen",
+)
+PARTICLES = (
+    "de", "van", "von", "der", "den", "del", "della", "di", "da", "du", "la", "le", "el", "bin", "al", "st", "st.", "mac", "mc",
+)
 NAME_TOKEN = r"^[A-Z][A-Za-z'’.\-]*$"
 
 
@@ -232,13 +238,13 @@ def signer_of_title(title: Column) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("name"), F.lit(True).alias("open"))
 
     def step(s: Column, t: Column) -> Column:
-        particle = _bare(t).isin(PARTICLES) & (F.size(s["name"]) > 0)
-        goes_on = s["open"] & ~_bare(t).isin(CUT_WORDS) & (t.rlike(NAME_TOKEN) | particle)
+        particle = _bare(t).isin(*PARTICLES) & (F.size(s["name"]) > 0)
+        goes_on = s["open"] & ~_bare(t).isin(*CUT_WORDS) & (t.rlike(NAME_TOKEN) | particle)
         return F.struct(F.when(goes_on, F.array_append(s["name"], t)).otherwise(s["name"]).alias("name"), goes_on.alias("open"))
 
     run = F.aggregate(tokens, start, step, lambda s: s["name"])
     # trailing particles fall off: keep up to the last token that is none
-    last = F.array_max(F.transform(run, lambda t, i: F.when(~_bare(t).isin(PARTICLES), i + 1).otherwise(0)))
+    last = F.array_max(F.transform(run, lambda t, i: F.when(~_bare(t).isin(*PARTICLES), i + 1).otherwise(0)))
     name = F.slice(run, F.lit(1), F.coalesce(last, F.lit(0)))
     return F.when(F.size(name) >= 2, F.trim(F.regexp_replace(F.array_join(name, " "), "[.,]+$", "")))
 
@@ -249,7 +255,7 @@ def without_suffix(name: Column) -> Column:
 
 def signer() -> Column:
     named = blank_to_null(F.coalesce(aspect("Signed By"), aspect("Autographed By")))
-    return without_suffix(F.coalesce(F.when(~F.lower(named).isin(CUT_WORDS), named), signer_of_title(F.col("title"))))
+    return without_suffix(F.coalesce(F.when(~F.lower(named).isin(*CUT_WORDS), named), signer_of_title(F.col("title"))))
 
 
 def aspect_values() -> Column:
@@ -264,10 +270,11 @@ def autographs() -> Column:
 
 
 # --- watches ------------------------------------------------------------------------------------
+#: Brands in order, words of copies, and the form of a reference.
 BRANDS = ((r"\bpatek\s*philippe\b|\bpatek\b", "patek-philippe"), (r"\baudemars\s*piguet\b", "audemars-piguet"), (r"\brolex\b", "rolex"), (r"\bomega\b", "omega"), (r"\bcartier\b", "cartier"))
 REPLICA = r"\b(replica|homage|fake|counterfeit|style of|inspired by)\b"
 REFERENCE = r"\b(\d{4,6}(?:[a-z]{1,4})?(?:/\d{1,4}[a-z]?)?)\b"
-#: In order; patterns over lower-case text.
+#: Fixed values, in order; patterns over lower-case text.
 MATERIALS = (
     (r"\bplatinum\b", "platinum"),
     (r"two[- ]tone|steel\s*(?:and|&|/)\s*gold|gold\s*(?:and|&|/)\s*steel", "two-tone"),
@@ -296,14 +303,18 @@ def watches() -> Column:
 
 
 # --- design -------------------------------------------------------------------------------------
+#: Designers, hedging words, and what is no model name.
 DESIGNERS = ((r"\bnakashima\b", "george-nakashima"), (r"\beames\b", "charles-eames"), (r"\bprouv[eé]\b", "jean-prouve"), (r"\bjeanneret\b", "pierre-jeanneret"))
 HEDGE = r"\b(style of|in the style|after|manner of|attributed|inspired|era|type|reproduction|replica)\b"
-CODE_BLOCKED = "no ca vol lot est circa in of at to by as for and the".split()
+CODE_BLOCKED = (
+    "no", "ca", "vol", "lot", "est", "circa", "in", "of", "at", "to", "by", "as", "for", "and", "the",
+)
 MODEL_BLOCKED = (
-    "a an the pair set two three four six his her walnut teak oak rosewood pine maple cherry burl laurel custom rare early important fine "
-    "exceptional monumental large small long low high tall double single grand occasional freeform free-form upholstered illuminated unique "
-    "special signed vintage original"
-).split()
+    "a", "an", "the", "pair", "set", "two", "three", "four", "six", "his", "her", "walnut", "teak", "oak", "rosewood", "pine", "maple", "cherry",
+    "burl", "laurel", "custom", "rare", "early", "important", "fine", "exceptional", "monumental", "large", "small", "long", "low", "high", "tall",
+    "double", "single", "grand", "occasional", "freeform", "free-form", "upholstered", "illuminated", "unique", "special", "signed", "vintage",
+    "original",
+)
 FORM_NOUNS = "sofa|couch|settee|bench|daybed|stool|ottoman|chair|rocker|table|cabinet|chest|dresser|sideboard|credenza|desk|bed|headboard|lamp|sconce|chandelier|mirror|shelf|shelves|bookcase"
 
 
@@ -312,10 +323,10 @@ def design_model() -> Column:
     t = F.lower(F.coalesce(F.col("title"), F.lit("")))
     code = r"\b([a-z]{1,3})[-. ]?(\d{1,4})[a-z]?\b"
     letters, digits = found(t, code, 1, False), found(t, code, 2, False)
-    coded = F.when(~letters.isin(CODE_BLOCKED) & ~digits.rlike(r"^(19|20)\d\d$"), F.concat(letters, digits))
+    coded = F.when(~letters.isin(*CODE_BLOCKED) & ~digits.rlike(r"^(19|20)\d\d$"), F.concat(letters, digits))
     numbered = F.replace(found(t, r"\bmodel\s+(?:no\.?\s*)?([a-z0-9-]{1,10})\b", 1, False), F.lit("-"), F.lit(""))
     named = found(t, rf"\b([a-z][a-z-]{{2,}})\s+(?:{FORM_NOUNS})s?\b", 1, False)
-    return F.coalesce(coded, numbered, F.when(~named.isin(MODEL_BLOCKED), named))
+    return F.coalesce(coded, numbered, F.when(~named.isin(*MODEL_BLOCKED), named))
 
 
 def design() -> Column:

@@ -9,6 +9,8 @@ from tallyboard import config as C
 from tallyboard.functions.text import half_up, has, slug
 from tallyboard.operators import identity as I
 
+#: Most rungs of a grading scale.
+MOST_RUNGS = 1_000
 BOOK = ("med", "lo", "hi", "n", "n12", "last_sale", "trend", "conf")
 
 
@@ -36,14 +38,10 @@ def ladder_rungs(rungs: DataFrame) -> DataFrame:
     return rungs.filter((F.col("mult") > 0) & ~F.isnan("mult") & (F.col("mult") < float("inf"))).select("rung", "mult")
 
 
-def _with_rung(rows: DataFrame, key: str, rungs: DataFrame, name: str) -> DataFrame:
-    """Rung by number, else by the grade as written, else in capitals."""
-    number = _grade(F.col(key))[2]
-    token = F.substring_index(F.col(key), "|", -1)
-    for i, by in enumerate((number, token, F.upper(token))):
-        r = rungs.select(F.col("rung").alias(f"_r{i}"), F.col("mult").alias(f"_m{i}"))
-        rows = rows.join(F.broadcast(r), by == F.col(f"_r{i}"), "left")  # a grading scale has tens of rungs
-    return rows.withColumn(name, F.coalesce("_m0", "_m1", "_m2")).drop(*[f"_{c}{i}" for c in "rm" for i in range(3)])
+def _multiplier(key: Column, rungs: Column) -> Column:
+    """Multiplier of a key's grade: by number, else by the grade as written, else in capitals."""
+    token = F.substring_index(key, "|", -1)
+    return F.coalesce(*[F.try_element_at(rungs, by) for by in (F.coalesce(_grade(key)[2], F.lit("")), token, F.upper(token))])
 
 
 def with_ladder(listings: DataFrame, book: DataFrame, rungs: DataFrame) -> DataFrame:
@@ -52,15 +50,19 @@ def with_ladder(listings: DataFrame, book: DataFrame, rungs: DataFrame) -> DataF
     The source is the row with most sales, then the smallest key; med, lo and hi scale by the ratio of
     the rungs and round half up. basis_key names the source, ladder marks such rows.
     """
-    rungs = ladder_rungs(rungs)
+    # a grading scale has tens of rungs: the map is a constant of the plan
+    scale = {r["rung"]: r["mult"] for r in ladder_rungs(rungs).limit(MOST_RUNGS + 1).collect() if r["rung"] is not None}
+    if len(scale) > MOST_RUNGS:
+        raise ValueError(f"a grading scale has at most {MOST_RUNGS} rungs")
+    steps = F.create_map(*[F.lit(x) for kv in scale.items() for x in kv]).cast("map<string,double>")
     base, grader, _ = _grade(F.col("k"))
     sources = book.filter(F.col("v").isin(*C.GRADED)).withColumn("_base", base).withColumn("_grader", grader).filter("_base IS NOT NULL")
-    sources = _with_rung(sources, "k", rungs, "_mult").filter("_mult IS NOT NULL")
+    sources = sources.withColumn("_mult", _multiplier(F.col("k"), steps)).filter("_mult IS NOT NULL")
     best = sources.groupBy(F.col("v").alias("_v"), "_base", "_grader").agg(F.min_by(F.struct("k", "_mult", *BOOK), F.struct(-F.col("n"), F.col("k"))).alias("_s"))
     base, grader, _ = _grade(F.col("key"))
     wants = ~F.col("matched") & F.col("vertical").isin(*C.GRADED)
     asked = listings.withColumn("_lb", F.when(wants, base)).withColumn("_lg", F.when(wants, grader))
-    asked = _with_rung(asked, "key", rungs, "_own")
+    asked = asked.withColumn("_own", _multiplier(F.col("key"), steps))
     out = asked.join(best, (F.col("vertical") == F.col("_v")) & (F.col("_lb") == F.col("_base")) & (F.col("_lg") == F.col("_grader")), "left")
     hit = F.col("_s").isNotNull() & F.col("_own").isNotNull()
     ratio = F.col("_own") / F.col("_s._mult")

@@ -138,6 +138,7 @@ def risk_score(vertical: Column, anchor: Column, grader: Column, cert: Column, s
     for name, least in reversed(C.GRADE_FROM):
         grade = F.when(score >= least, name).otherwise(grade)
     by = F.coalesce(F.concat(F.lit(" ("), grader, F.lit(")")), F.lit(""))
+    # fixed values: the wording of the reasons
     said = (
         F.when(anchor == "cert-verified", F.concat(F.lit("cert verified"), by, F.coalesce(F.concat(F.lit(", cert #"), cert), F.lit(""))))
         .when(anchor == "slab-claimed", F.concat(F.lit("slab claimed"), by, F.coalesce(F.concat(F.lit(", cert #"), cert, F.lit(" unverified")), F.lit(", unverified"))))

@@ -25,46 +25,46 @@ def raw(item, title, price, ship="0", aspects=None, **more):
 
 CASES = {
     "sports-cards": [
-        (raw("c1", "x", 100, aspects={"Player": "Ken Griffey, Jr.", "Year": "1989", "Set": "Upper  Deck", "Card Number": "#1", "Grade": "PSA 10"}), "ken-griffey-jr|1989|upper deck|1|PSA10"),
-        (raw("c2", "1986 Fleer Michael Jordan Rookie RC #57 PSA 9", 100), "michael-jordan|1986|fleer|57|PSA9"),
-        (raw("c3", "1979 O-Pee-Chee Wayne Gretzky #18 BGS 8.5", 100), "wayne-gretzky|1979|opc|18|BGS8.5"),
-        (raw("c4", "2003 Topps Chrome LeBron James #111", 100), "lebron-james|2003|topps chrome|111|raw"),
-        (raw("c5", "Mantle card #311 PSA 5", 100), None),
-        (raw("c6", "2000 Bowman Tom #236 PSA 9", 100), None),
-        (raw("c7", "1954 Topps José Ramírez #9 SGC 7", 100), "jose-ramirez|1954|topps|9|SGC7"),
+        (raw("c1", "x", 100, aspects={"Player": "Tobias Vane, Jr.", "Year": "1991", "Set": "Upper  Deck", "Card Number": "#44", "Grade": "PSA 10"}), "tobias-vane-jr|1991|upper deck|44|PSA10"),
+        (raw("c2", "1984 Donruss Marlon Keel Rookie RC #212 PSA 6", 100), "marlon-keel|1984|donruss|212|PSA6"),
+        (raw("c3", "1976 O-Pee-Chee Anders Holt #77 BGS 7.5", 100), "anders-holt|1976|opc|77|BGS7.5"),
+        (raw("c4", "2011 Topps Chrome Dario Quill #164", 100), "dario-quill|2011|topps chrome|164|raw"),
+        (raw("c5", "Keel card #212 PSA 5", 100), None),
+        (raw("c6", "2004 Bowman Dario #51 PSA 9", 100), None),
+        (raw("c7", "1962 Topps Zoë Brânzei #9 SGC 7", 100), "zoe-branzei|1962|topps|9|SGC7"),
     ],
     "pokemon": [
-        (raw("p1", "1999 Pokemon Base Set Holo Charizard #4 PSA 10", 1), "1999|base-set-charizard|4|unl|PSA10"),
-        (raw("p2", "1999 Pokémon Jungle 1st Edition #10 CGC NM-MT 8", 1), "1999|jungle|10|1st|CGC8"),
-        (raw("p3", "Shadowless Base Set #4", 1, aspects={"Year": "1999", "Set": "Base Set", "Grade": "9", "Professional Grader": "psa"}), "1999|base-set|4|shadowless|PSA9"),
-        (raw("p4", "1999 Pokemon Base Set #4 ungraded", 1), None),
+        (raw("p1", "2002 Pokemon Aquapolis Holo Furret #H9 PSA 8", 1), "2002|aquapolis-furret|H9|unl|PSA8"),
+        (raw("p2", "2000 Pokémon Gym Heroes 1st Edition #33 CGC NM-MT 8", 1), "2000|gym-heroes|33|1st|CGC8"),
+        (raw("p3", "Shadowless Aquapolis #5", 1, aspects={"Year": "2003", "Set": "Aquapolis", "Grade": "9", "Professional Grader": "psa"}), "2003|aquapolis|5|shadowless|PSA9"),
+        (raw("p4", "2002 Pokemon Aquapolis #4 ungraded", 1), None),
     ],
     "art-editions": [
-        (raw("a1", "KAWS – Companion (Open Edition) 12/100 signed screenprint", 1), "kaws|companion-open-screenprint"),
-        (raw("a2", "Crying Girl lithograph", 1, aspects={"Artist": "Roy Lichtenstein", "Title": "Crying Girl"}), "roy-lichtenstein|crying-girl"),
-        (raw("a3", "Gerhard Richter - abstract oil on canvas", 1), None),
+        (raw("a1", "Mara Venn – Quiet Harbour (Open Edition) 12/100 signed screenprint", 1), "mara-venn|quiet-harbour-open-screenprint"),
+        (raw("a2", "Low Tide lithograph", 1, aspects={"Artist": "Ines Okafor", "Title": "Low Tide at Dawn"}), "ines-okafor|low-tide-at-dawn"),
+        (raw("a3", "Piet Rademaker - abstract oil on canvas", 1), None),
         (raw("a4", "X - print", 1), None),
     ],
     "autographs": [
-        (raw("s1", "Albert Einstein Typed Letter Signed TLS", 1), "albert-einstein|tls"),
-        (raw("s2", "Ludwig van Beethoven ALS 1820", 1), "ludwig-van-beethoven|als"),
-        (raw("s3", "Babe Ruth signed photo PSA/DNA", 1), "babe-ruth|sp"),
-        (raw("s4", "Signed Photo", 1, aspects={"Signed By": "Martin Luther King, Jr."}), "martin-luther-king|sp"),
-        (raw("s5", "Abraham Lincoln document signed facsimile", 1), None),
-        (raw("s6", "Neil Armstrong signature cut", 1), None),
-        (raw("s7", "Charles de DS", 1), None),
+        (raw("s1", "Hedda Lorne Typed Letter Signed TLS", 1), "hedda-lorne|tls"),
+        (raw("s2", "Pieter van Aalst ALS 1820", 1), "pieter-van-aalst|als"),
+        (raw("s3", "Milo Strand signed photo PSA/DNA", 1), "milo-strand|sp"),
+        (raw("s4", "Signed Photo", 1, aspects={"Signed By": "Orla Finch King, Jr."}), "orla-finch-king|sp"),
+        (raw("s5", "Edmund Pell document signed facsimile", 1), None),
+        (raw("s6", "Vera Stahl signature cut", 1), None),
+        (raw("s7", "Rufus de DS", 1), None),
     ],
     "watches": [
-        (raw("w1", "Rolex Submariner 1998 16610 steel", 1), "rolex|16610"),
-        (raw("w2", "Jumbo", 1, aspects={"Brand": "Audemars Piguet", "Reference Number": "15202 ST"}), "audemars-piguet|15202st"),
-        (raw("w3", "Patek Calatrava from 1955", 1), None),
-        (raw("w4", "Rolex 16610 homage", 1), None),
-        (raw("w5", "Omega Speedmaster 3570/50 box", 1), "omega|3570/50"),
+        (raw("w1", "Rolex Datejust 1987 16234 steel", 1), "rolex|16234"),
+        (raw("w2", "Jumbo", 1, aspects={"Brand": "Audemars Piguet", "Reference Number": "25860 OR"}), "audemars-piguet|25860or"),
+        (raw("w3", "Patek Calatrava from 1962", 1), None),
+        (raw("w4", "Rolex 16234 homage", 1), None),
+        (raw("w5", "Omega Seamaster 2254/50 box", 1), "omega|2254/50"),
     ],
     "design": [
-        (raw("d1", "Eames DCW-1 chair", 1), "charles-eames|dcw1"),
-        (raw("d2", "Nakashima Conoid bench", 1), "george-nakashima|conoid"),
-        (raw("d3", "Prouve model no. 305 chair", 1), "jean-prouve|305"),
+        (raw("d1", "Eames LCM-2 chair", 1), "charles-eames|lcm2"),
+        (raw("d2", "Nakashima Frenchman bench", 1), "george-nakashima|frenchman"),
+        (raw("d3", "Prouve model no. 412 chair", 1), "jean-prouve|412"),
         (raw("d4", "Eames style of chair", 1), None),
         (raw("d5", "Jeanneret teak chair", 1), None),
     ],
@@ -86,8 +86,8 @@ def test_identity(spark, vertical):
 
 
 def test_matchers_in_order(spark):
-    rows = frame(spark, [raw("w", "Rolex 16610 signed photo by Babe Ruth", 1)], "watches").withColumn("matchers", F.array(F.lit("autographs"), F.lit("watches")))
-    assert [(r["key"], r["vertical"]) for r in identity.identify(rows, F.col("matchers")).collect()] == [("rolex|16610", "watches")]
+    rows = frame(spark, [raw("w", "Rolex 16234 signed photo by Milo Strand", 1)], "watches").withColumn("matchers", F.array(F.lit("autographs"), F.lit("watches")))
+    assert [(r["key"], r["vertical"]) for r in identity.identify(rows, F.col("matchers")).collect()] == [("rolex|16234", "watches")]
 
 
 def test_normalize(spark):
@@ -105,8 +105,8 @@ def test_condition_flags(spark):
 
 
 def test_slug_and_ids(spark):
-    df = spark.createDataFrame([("Café & Zoë",), ("  --A  b  ",), ("Ken Griffey, Jr.",), (None,)], "t string")
-    assert [r["s"] for r in df.select(T.slug(F.col("t")).alias("s")).collect()] == ["cafe-and-zoe", "a-b", "ken-griffey-jr", ""]
+    df = spark.createDataFrame([("Café & Zoë",), ("  --A  b  ",), ("Tobias Vane, Jr.",), (None,)], "t string")
+    assert [r["s"] for r in df.select(T.slug(F.col("t")).alias("s")).collect()] == ["cafe-and-zoe", "a-b", "tobias-vane-jr", ""]
     ids = spark.createDataFrame([(f"v1|930000000{i}|0",) for i in (1, 2, 3)], "t string").select(T.deal_id(F.col("t")).alias("i"))
     assert [r["i"] for r in ids.collect()] == ["1rkdcf5", "1rkdd9e", "1rkde3n"]
     url = spark.createDataFrame([("a b|c'(d)~é",)], "t string").select(T.uri_component(F.col("t")).alias("u")).first()["u"]
@@ -150,15 +150,15 @@ def test_evidence_and_fresh(spark):
 BOOK = {
     "schema": 1, "builtAt": "2026-08-19T00:00:00Z",
     "rows": [
-        {"k": "michael-jordan|1986|fleer|57|PSA9", "v": "sports-cards", "med": 8000, "lo": 6000, "hi": 9000, "n": 9, "n12": 5, "lastSale": "2026-08-01", "trend": None, "conf": "high"},
-        {"k": "rolex|16610", "v": "watches", "med": 1, "lo": 1, "hi": 1, "n": 9, "lastSale": "2026-08-01", "conf": "high"},
-        {"k": "rolex|16610", "v": "watches", "med": 9800, "lo": 8000, "hi": 12000, "n": 9, "lastSale": "2026-08-01", "conf": "high"},
-        {"k": "tom-brady|2000|bowman|236|PSA10", "v": "sports-cards", "med": 2600, "lo": 2000, "hi": 3000, "n": 4, "lastSale": "2026-08-01", "conf": "medium"},
-        {"k": "tom-brady|2000|bowman|236|BGS9", "v": "sports-cards", "med": 9, "lo": 9, "hi": 9, "n": 40, "lastSale": "2026-08-01", "conf": "medium"},
-        {"k": "tom-brady|2000|bowman|236|raw", "v": "sports-cards", "med": 9, "lo": 9, "hi": 9, "n": 90, "lastSale": "2026-08-01", "conf": "medium"},
+        {"k": "marlon-keel|1984|donruss|212|PSA6", "v": "sports-cards", "med": 8000, "lo": 6000, "hi": 9000, "n": 9, "n12": 5, "lastSale": "2026-08-01", "trend": None, "conf": "high"},
+        {"k": "rolex|16234", "v": "watches", "med": 1, "lo": 1, "hi": 1, "n": 9, "lastSale": "2026-08-01", "conf": "high"},
+        {"k": "rolex|16234", "v": "watches", "med": 9800, "lo": 8000, "hi": 12000, "n": 9, "lastSale": "2026-08-01", "conf": "high"},
+        {"k": "dario-quill|2004|bowman|51|PSA10", "v": "sports-cards", "med": 2600, "lo": 2000, "hi": 3000, "n": 4, "lastSale": "2026-08-01", "conf": "medium"},
+        {"k": "dario-quill|2004|bowman|51|BGS9", "v": "sports-cards", "med": 9, "lo": 9, "hi": 9, "n": 40, "lastSale": "2026-08-01", "conf": "medium"},
+        {"k": "dario-quill|2004|bowman|51|raw", "v": "sports-cards", "med": 9, "lo": 9, "hi": 9, "n": 90, "lastSale": "2026-08-01", "conf": "medium"},
     ],
     "gradeLadder": {"base": 8, "rungs": {"10": 2.6, "9": 1.6, "8": 1.0}},
-    "context": [{"k": "megalodon-tooth", "v": "science", "kind": "class", "med": 240, "lo": 1, "hi": 9, "n": 9, "lastSale": "2026-01-01"}, {"k": "charles-schulz", "v": "autographs", "kind": "signer", "med": 900, "lo": 1, "hi": 9, "n": 9, "lastSale": "2026-01-01"}],
+    "context": [{"k": "megalodon-tooth", "v": "science", "kind": "class", "med": 240, "lo": 1, "hi": 9, "n": 9, "lastSale": "2026-01-01"}, {"k": "nell-arbuckle", "v": "autographs", "kind": "signer", "med": 900, "lo": 1, "hi": 9, "n": 9, "lastSale": "2026-01-01"}],
 }
 
 
@@ -171,19 +171,19 @@ def book(spark, tmp_path_factory):
 
 def test_book(spark, book, tmp_path):
     assert not book.stale and book.rows.count() == 5
-    assert book.rows.filter("k = 'rolex|16610'").first()["med"] == 9800
+    assert book.rows.filter("k = 'rolex|16234'").first()["med"] == 9800
     (tmp_path / "old.json").write_text(json.dumps(BOOK | {"builtAt": "2026-08-01"}))
     assert book_source.read_book(spark, str(tmp_path / "old.json"), CONF).stale
     assert not book_source.read_or_sample(spark, str(tmp_path / "none"), str(tmp_path / "old.json"), CONF).stale
     q = {r["key"]: (r["q"], r["price_min"], r["price_max"]) for r in identity.queries_for(book.rows).collect()}
-    assert q["michael-jordan|1986|fleer|57|PSA9"] == ("michael jordan 1986 fleer #57 PSA9", 3000, 10350) and "rolex|16610" not in q
+    assert q["marlon-keel|1984|donruss|212|PSA6"] == ("marlon keel 1984 donruss #212 PSA6", 3000, 10350) and "rolex|16234" not in q
 
 
 def test_pricing_with_ladder(spark, book):
-    items = [raw("b1", "2000 Bowman Tom Brady #236 PSA 9", 900), raw("b2", "2000 Bowman Tom Brady #236 SGC 9", 900), raw("b3", "2000 Bowman Tom Brady #236 PSA 7", 900), raw("b4", "1986 Fleer Michael Jordan #57 PSA 9", 5000), raw("b5", "2000 Bowman Tom Brady #236 BGS 9", 900)]
+    items = [raw("b1", "2004 Bowman Dario Quill #51 PSA 9", 900), raw("b2", "2004 Bowman Dario Quill #51 SGC 9", 900), raw("b3", "2004 Bowman Dario Quill #51 PSA 7", 900), raw("b4", "1984 Donruss Marlon Keel #212 PSA 6", 5000), raw("b5", "2004 Bowman Dario Quill #51 BGS 9", 900)]
     rows = identity.identify(frame(spark, items, "sports-cards"), F.col("matchers"))
     got = {r["item_id"]: r for r in board.judge(board.price(rows, book.rows, book.rungs), CONF).collect()}
-    assert (got["b1"]["med"], got["b1"]["lo"], got["b1"]["ladder"], got["b1"]["basis_key"]) == (1600, 1231, True, "tom-brady|2000|bowman|236|PSA10")
+    assert (got["b1"]["med"], got["b1"]["lo"], got["b1"]["ladder"], got["b1"]["basis_key"]) == (1600, 1231, True, "dario-quill|2004|bowman|51|PSA10")
     assert got["b1"]["gate_reason"] is None and abs(got["b1"]["depth"] - (1 - 900 / 1600)) < 1e-12
     assert got["b2"]["gate_reason"] == got["b3"]["gate_reason"] == "noBookRow"
     assert got["b4"]["matched"] and not got["b4"]["ladder"] and got["b4"]["gate_reason"] is None
@@ -193,20 +193,20 @@ def test_pricing_with_ladder(spark, book):
     deals = board.deals(board.judge(board.price(rows, book.rows, book.rungs), CONF), "2026-08-19T17:00:00Z", "https://e.org")
     out = board.publish_deals(deals, CONF).collect()
     assert [r["item_id"] for r in out] == ["b4", "b1"] and [r["tier"] for r in out] == ["featured", "worth-a-look"] and all(r["is_new"] for r in out)
-    assert out[1]["evidence_url"].endswith("sports-cards/tom-brady%7C2000%7Cbowman%7C236%7CPSA10")
+    assert out[1]["evidence_url"].endswith("sports-cards/dario-quill%7C2004%7Cbowman%7C51%7CPSA10")
 
 
 def test_cert_verdicts(spark):
-    items = [raw("v1", "1986 Fleer Michael Jordan #57 PSA 9", 5000, aspects={"Certification Number": "77"}), raw("v2", "1986 Fleer Michael Jordan #57 PSA 9", 5000, aspects={"Certification Number": "78"})]
+    items = [raw("v1", "1984 Donruss Marlon Keel #212 PSA 6", 5000, aspects={"Certification Number": "77"}), raw("v2", "1984 Donruss Marlon Keel #212 PSA 6", 5000, aspects={"Certification Number": "78"})]
     rows = identity.identify(frame(spark, items, "sports-cards"), F.col("matchers")).withColumn("signals", scoring.risk_signals(F.col("vertical")))
-    verdicts = spark.createDataFrame([("77", True, "Jordan"), ("77", True, "Jordan"), ("78", False, None)], "cert string, verified boolean, subject string")
+    verdicts = spark.createDataFrame([("77", True, "Keel"), ("77", True, "Keel"), ("78", False, None)], "cert string, verified boolean, subject string")
     got = {r["item_id"]: r["signals"] for r in scoring.with_cert_verdicts(rows, verdicts).collect()}
-    assert got["v1"]["anchor"] == "cert-verified" and got["v1"]["notes"] == ["PSA cert verified: Jordan"] and got["v2"]["anchor"] == "slab-claimed"
+    assert got["v1"]["anchor"] == "cert-verified" and got["v1"]["notes"] == ["PSA cert verified: Keel"] and got["v2"]["anchor"] == "slab-claimed"
 
 
 def test_context_leads(spark, book):
-    items = [raw("l1", "Megalodon tooth fossil", 100), raw("l2", "Charles Schulz signed sketch", 400), raw("l3", "Megalodon tooth", 130), raw("l4", "T-Rex tooth signed by Charles Schulz", 1), raw("l5", "Charles Schulz signed strip repaired", 10), raw("l6", "ammonite", 1)]
+    items = [raw("l1", "Megalodon tooth fossil", 100), raw("l2", "Nell Arbuckle signed sketch", 400), raw("l3", "Megalodon tooth", 130), raw("l4", "T-Rex tooth signed by Nell Arbuckle", 1), raw("l5", "Nell Arbuckle signed strip repaired", 10), raw("l6", "ammonite", 1)]
     got = board.leads(frame(spark, items, "x"), book.context, CONF).collect()
     assert [r["item_id"] for r in got] == ["l1", "l2"]
     found = {r["item_id"]: r["context"] and r["context"]["k"] for r in pricing.with_context(frame(spark, items, "x"), book.context, F.lit("science")).collect()}
-    assert found["l4"] is None and found["l6"] is None and found["l5"] == "charles-schulz"
+    assert found["l4"] is None and found["l6"] is None and found["l5"] == "nell-arbuckle"
