@@ -6,6 +6,7 @@ Every matcher is a Column expression over `title`, `condition` and `aspects`
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -337,13 +338,16 @@ def design() -> Column:
 MATCHERS = {"sports-cards": sports_cards, "pokemon": pokemon, "art-editions": art_editions, "autographs": autographs, "watches": watches, "design": design}
 
 
-def identify(listings: DataFrame, order: Column) -> DataFrame:
-    """listings with key and vertical: the first matcher of the row's `order` (array of names) that yields a key."""
-    keys = listings.withColumns({f"_key_{name}": F.when(F.array_contains(order, name), expr()) for name, expr in MATCHERS.items()})
-    options = F.array(*[F.struct(F.array_position(order, name).alias("at"), F.col(f"_key_{name}").alias("key"), F.lit(name).alias("vertical")) for name in MATCHERS])
+def identify(listings: DataFrame, order: Column, names: Sequence[str] = tuple(MATCHERS)) -> DataFrame:
+    """listings with key and vertical: the first matcher of the row's `order` (array of names) that yields a key.
+
+    names: the matchers that orders may hold; a lane that uses few has a much smaller plan with just these.
+    """
+    keys = listings.withColumns({f"_key_{name}": F.when(F.array_contains(order, name), MATCHERS[name]()) for name in names})
+    options = F.array(*[F.struct(F.array_position(order, name).alias("at"), F.col(f"_key_{name}").alias("key"), F.lit(name).alias("vertical")) for name in names])
     best = F.get(F.array_sort(F.filter(options, lambda o: o["key"].isNotNull())), F.lit(0))
     out = keys.withColumn("_best", best)
-    return out.withColumn("key", F.col("_best.key")).withColumn("vertical", F.col("_best.vertical")).drop("_best", *[f"_key_{n}" for n in MATCHERS])
+    return out.withColumn("key", F.col("_best.key")).withColumn("vertical", F.col("_best.vertical")).drop("_best", *[f"_key_{n}" for n in names])
 
 
 #: Words that a book key's autograph format is searched by, and each vertical's category.
