@@ -16,15 +16,16 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file and move it into place, so readers see the old or the new one."""
+    """Write a small file and move it over the old one in one step, so readers see the old or the new one."""
     tmp, fs = _fs(spark, path + ".tmp")
     out = fs.create(tmp, True)
     out.write(bytearray(text.encode()))
     out.close()
     to, _ = _fs(spark, path)
-    fs.delete(to, False)
-    if not fs.rename(tmp, to):
-        raise OSError(f"could not move {path} into place")
+    fs_of = spark._jvm.org.apache.hadoop.fs
+    over = spark.sparkContext._gateway.new_array(getattr(fs_of, "Options$Rename"), 1)
+    over[0] = getattr(fs_of, "Options$Rename").OVERWRITE
+    fs_of.FileContext.getFileContext(fs.makeQualified(tmp).toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(tmp), fs.makeQualified(to), over)
 
 
 def _read_text(spark: SparkSession, path: str) -> str | None:
@@ -64,8 +65,10 @@ def prune(spark: SparkSession, root: str, keep: int = 14) -> list[str]:
 
 
 def load(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    """A table of the current version; empty where there is none."""
+    """A table of the current version; empty where there is none. Versions without a pointer to one are an error, not an empty state."""
     stamp = _read_text(spark, f"{root}/current")
+    if stamp is None and versions(spark, root):
+        raise FileNotFoundError(f"{root} has versions but no pointer to the current one")
     path = f"{root}/versions/{stamp}/{name}"
     if stamp is None or not exists(spark, path):
         return spark.createDataFrame([], schema)

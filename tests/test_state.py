@@ -135,6 +135,9 @@ def test_versions(spark, tmp_path):
     assert state.load(spark, root, "other", "x int").count() == 0
     with pytest.raises(FileExistsError):
         state.commit({"seen": spark.range(1)}, root, "v3")
+    (tmp_path / "state" / "current").unlink()
+    with pytest.raises(FileNotFoundError):
+        state.load(spark, root, "seen", "item_id string")
 
 
 def test_listing_files(spark, tmp_path):
