@@ -134,6 +134,15 @@ def tier_split(spark, sf_dir):
     return lanes.tier_split(board.filtered(rows, "v", "C"), CONF).select("id", "tier")
 
 
+@query("SELECT 'v1|' || p_partkey::VARCHAR AS item_id, p_partkey % 5 > 0 AS checked, CASE WHEN p_partkey % 5 = 0 THEN 'unread' WHEN p_partkey % 3 = 0 THEN 'gone' ELSE 'alive' END AS state FROM part")
+def looked_up(spark, sf_dir):
+    """Items read, found gone, or left open by a failed read."""
+    part = table(spark, sf_dir, "part").select(F.concat(F.lit("v1|"), F.col("p_partkey").cast("string")).alias("item_id"), F.col("p_partkey").alias("pk"), F.col("p_retailprice").alias("price"))
+    snapshot = part.filter("pk % 3 > 0").select("item_id", "price", F.lit(0.0).alias("shipping_cost"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("ends_at"), F.lit(1).alias("bid_count"), F.lit(9).alias("seller_score"))
+    rows = source.lookup(part, snapshot, part.filter("pk % 5 = 0"))
+    return rows.select("item_id", "checked", F.when(~F.col("checked"), "unread").when(F.col("price").isNull(), "gone").otherwise("alive").alias("state"))
+
+
 # --- queries compiled from book rows -------------------------------------------------------------
 _VERTICAL = "CASE pk % 6 WHEN 0 THEN 'sports-cards' WHEN 1 THEN 'pokemon' WHEN 2 THEN 'art-editions' WHEN 3 THEN 'autographs' WHEN 4 THEN 'watches' ELSE 'design' END"
 _S = "cast({} as string)".format

@@ -107,10 +107,19 @@ def search(listings: DataFrame, words: str, conf: C.Config, posture: str = "bin"
     return out.orderBy(F.col("listed_at").desc_nulls_last(), "item_id").limit(cap)
 
 
-def lookup(ids: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Point lookup of (item_id): checked rows, without price where the snapshot lacks the item."""
+def lookup(ids: DataFrame, snapshot: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """Point lookup of (item_id) with its three states.
+
+    An item in the snapshot is checked and has a price; one it lacks is checked without price: gone. Items of reads
+    that failed (item_id) are not checked and have nothing, so nobody takes them for gone.
+    """
     rows = snapshot.select("item_id", "price", "shipping_cost", "title", "ends_at", "bid_count", "seller_score")
-    return ids.select("item_id").distinct().join(rows, "item_id", "left").withColumn("checked", F.lit(True))
+    asked = ids.select("item_id").distinct()
+    if failed is None:
+        return asked.join(rows, "item_id", "left").withColumn("checked", F.lit(True))
+    unread = failed.select("item_id").distinct()
+    known = asked.join(unread, "item_id", "left_anti").join(rows, "item_id", "left").withColumn("checked", F.lit(True))
+    return known.unionByName(asked.join(unread, "item_id", "left_semi").withColumn("checked", F.lit(False)), allowMissingColumns=True)
 
 
 def enrich(listings: DataFrame, items: DataFrame) -> DataFrame:
