@@ -512,6 +512,12 @@ def slug_names(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.substring_index("text", "\n", 1)).alias("slug"))
 
 
+@query("SELECT doc_id, regexp_replace(regexp_replace(replace(lower(strip_accents(coalesce(text, ''))), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
+def slug_texts(spark, sf_dir):
+    """Slugs of whole texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
+
+
 @query(
     """WITH RECURSIVE i AS (SELECT c_custkey, c_name AS s FROM customer), h(c_custkey, s, pos, v) AS (
     SELECT c_custkey, s, 0, 5381::BIGINT FROM i UNION ALL SELECT c_custkey, s, pos + 1, (v * 33 + ascii(substr(s, pos + 1, 1))) % 4294967296 FROM h WHERE pos < length(s))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyboard.operators import board, identity, pricing, scoring
 from tallyboard.plans.catalog import query
-from tallyboard.plans.twins import CONF, CONF_SQL, DEPTH_SQL, EVIDENCE_SQL, cents, cents_sql, table
+from tallyboard.plans.twins import AS_OF, CONF, CONF_SQL, DEPTH_SQL, EVIDENCE_SQL, cents, cents_sql, table
 from tallyboard.schemas import RAW_LISTING
 from tallyboard.sources import listings as source
 
@@ -163,6 +163,45 @@ def tick_judged(spark, sf_dir):
     return rows.select("item_id", "key", cents(F.col("all_in")).alias("all_in_c"), F.coalesce("gate_reason", F.lit("pass")).alias("reason"), F.col("risk.grade").alias("grade"), cents(F.col("rank")).alias("rank_c"))
 
 
+@query(
+    f"""{_JUDGED_SQL} SELECT item_id, key, CASE WHEN conf = 'high' AND n >= 6 AND n12 >= 2 AND depth <= 0.6 THEN 'featured' ELSE 'worth-a-look' END AS tier, true AS is_new, {cents_sql('all_in')} AS all_in_c, {cents_sql('rank')} AS rank_c,
+    'https://example.org/key/watches/' || url_encode(key) AS evidence_url FROM k WHERE reason IS NULL ORDER BY rank DESC LIMIT 200"""
+)
+def tick_deals(spark, sf_dir):
+    """The published deals of the tick: best ranks, with tier, novelty and the page of their evidence."""
+    out = board.publish_deals(board.deals(_judged(spark, sf_dir), AS_OF, "https://example.org"), CONF)
+    return out.select("item_id", "key", "tier", "is_new", cents(F.col("all_in")).alias("all_in_c"), cents(F.col("rank")).alias("rank_c"), "evidence_url")
+
+
+@query(
+    f"""{_JUDGED_SQL}, hit AS (SELECT 'watches' AS vertical, count(*) AS polled, count(*) FILTER (key IS NOT NULL AND med IS NOT NULL) AS matched, count(*) FILTER (reason IS NULL) AS surfaced FROM k)
+    SELECT vertical, coalesce(polled, 0) AS polled, coalesce(matched, 0) AS matched, coalesce(surfaced, 0) AS surfaced
+    FROM (VALUES ('sports-cards'), ('pokemon'), ('art-editions'), ('autographs'), ('watches')) d(vertical) LEFT JOIN hit USING (vertical)"""
+)
+def tick_funnel(spark, sf_dir):
+    """Polled, matched and surfaced listings of every launch vertical."""
+    rows = _judged(spark, sf_dir)
+    return board.per_vertical(rows, rows)
+
+
+@query(
+    f"""{_JUDGED_SQL} SELECT 'watches' AS vertical, CASE reason WHEN 'stale-book' THEN 'staleBook' WHEN 'condition-flag' THEN 'condition' WHEN 'scam-cap' THEN 'scamCap' WHEN 'too-shallow' THEN 'tooShallow'
+    WHEN 'thin-shallow' THEN 'thinTooShallow' WHEN 'edge-floor' THEN 'edgeFloor' ELSE reason END AS reason, count(*) AS n FROM k WHERE key IS NOT NULL AND reason IS NOT NULL GROUP BY ALL"""
+)
+def tick_reasons(spark, sf_dir):
+    """How many listings of the tick each gate stopped, by published names."""
+    return board.reason_counts(_judged(spark, sf_dir))
+
+
+@query(
+    f"""{_JUDGED_SQL} SELECT item_id, CASE WHEN key IS NOT NULL THEN score::BIGINT END AS score, CASE WHEN key IS NOT NULL THEN 'raw, no authenticity anchor; seller 99.6% feedback; ' || CASE WHEN pk % 3 = 0 THEN 'established seller (1200 ratings); ' ELSE '' END
+    || 'registered business seller; sparse listing, no item specifics; ' || CASE WHEN pk % 13 = 0 THEN 'condition flag: damaged; ' ELSE '' END || 'watches: elevated fake-rate prior' END AS reasons FROM k"""
+)
+def tick_risk_reasons(spark, sf_dir):
+    """Risk score of every listing and the reasons that explain it, in order."""
+    return _judged(spark, sf_dir).select("item_id", F.col("risk.score").alias("score"), F.array_join("risk.reasons", "; ").alias("reasons"))
+
+
 @query(
     f"""SELECT pk, CASE WHEN pk % 4 = 0 THEN 'class' WHEN pk % 4 = 2 AND {_NAME_SQL} IN ('vera-stahl', 'marlon-keel') THEN 'signer' END AS kind,
     CASE WHEN pk % 4 = 0 THEN 'megalodon-tooth' WHEN pk % 4 = 2 AND {_NAME_SQL} IN ('vera-stahl', 'marlon-keel') THEN {_NAME_SQL} END AS k FROM (SELECT p_partkey AS pk FROM part)"""
