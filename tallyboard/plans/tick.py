@@ -165,11 +165,11 @@ def tick_judged(spark, sf_dir):
 
 @query(
     f"""{_JUDGED_SQL} SELECT item_id, key, CASE WHEN conf = 'high' AND n >= 6 AND n12 >= 2 AND depth <= 0.6 THEN 'featured' ELSE 'worth-a-look' END AS tier, true AS is_new, {cents_sql('all_in')} AS all_in_c, {cents_sql('rank')} AS rank_c,
-    'https://example.org/key/watches/' || url_encode(key) AS evidence_url FROM k WHERE reason IS NULL ORDER BY rank DESC LIMIT 200"""
+    'https://example.org/key/watches/' || url_encode(key) AS evidence_url FROM k WHERE reason IS NULL ORDER BY rank DESC, pk LIMIT 200"""
 )
 def tick_deals(spark, sf_dir):
-    """The published deals of the tick: best ranks, with tier, novelty and the page of their evidence."""
-    out = board.publish_deals(board.deals(_judged(spark, sf_dir), AS_OF, "https://example.org"), CONF)
+    """The published deals of the tick: best ranks, with tier, novelty and the page of their evidence. Equal ranks go by place."""
+    out = board.publish_deals(board.deals(_judged(spark, sf_dir).withColumn("pos", F.col("pk")), AS_OF, "https://example.org"), CONF)
     return out.select("item_id", "key", "tier", "is_new", cents(F.col("all_in")).alias("all_in_c"), cents(F.col("rank")).alias("rank_c"), "evidence_url")
 
 
