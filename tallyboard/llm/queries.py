@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyboard.llm import bpe, exact_dedup, lang_id, licenses, mixing, ngram_join, pii, quality, toxicity, url_filter
+from tallyboard.llm import bpe, exact_dedup, fold_bpe, lang_id, licenses, mixing, ngram_join, pii, quality, toxicity, url_filter
 from tallyboard.llm.common import read_table
 
 
@@ -102,9 +102,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op12_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return fold_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_ngram_join, op3_url_filter, op4_compression_bands, op5_exact_dedup, op6_source_mix, op7_language, op8_toxicity, op9_licenses, op10_bpe)
+    for f in (op1_pii, op2_ngram_join, op3_url_filter, op4_compression_bands, op5_exact_dedup, op6_source_mix, op7_language, op8_toxicity, op9_licenses, op10_bpe, op12_rank_bpe)
 }
 
 _SPACE = r"[\x20\x09-\x0D]+"
