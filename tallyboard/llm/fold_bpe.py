@@ -1,16 +1,18 @@
 """Byte-level BPE by ranks, encoding and decoding with Spark's higher-order functions.
 
 The vocabulary is a literal rank map: an array of small maps from a piece's bytes (as hexadecimal digits)
-to its rank, the place in the array being the CRC of the bytes; a literal bitmap of bytes keeps most ranges
-without a rank away from it. A word starts as its byte array, `<74><68><65>`. Its ranked merges are the ranks
-of all its byte ranges that are in the map, ascending; a fold over them replaces the two pieces that make up
-the token by the token, `<74><=258>`. `read_ranks` finds these two pieces for each token and proves that they
-are the only ones the token can come from, and so that no merge makes a pair of a rank that has been passed.
+to its rank, the place in the array being the CRC of the bytes; a bitmap keeps most ranges without a rank away
+from it. A word starts as its byte array, `<74><68><65>`. Its ranked merges are the ranks of all
+its byte ranges that are in the map, ascending; a fold over them replaces the two pieces that make up the
+token by the token, `<74><=258>`. `read_ranks` finds these two pieces for each token and proves that they are
+the only ones the token can come from, and so that no merge makes a pair of a rank that has been passed.
 
 Distinct words are counted over the whole corpus; the most frequent ones, at most DISTINCT of at most
-MOST_BYTES bytes each, are folded once and become a literal dictionary, word -> (ids, decoded bytes).
-The other words of a text are folded where they stand, so nothing is shuffled but the counts, and no
-result depends on the dictionary. Decoding looks up each id's binary piece and concatenates them.
+MOST_BYTES bytes each, are folded once and become a dictionary, word -> (ids, decoded bytes), of bounded
+size. The other words of a text are folded where they stand, so nothing is shuffled but the counts, and no
+result depends on the dictionary. Decoding looks up each id's binary piece and concatenates them. Map and
+dictionary are one-row tables that a scalar subquery brings to the expressions as one block of bytes: as
+plain literals of so many entries they would be copied object by object into plans and tasks.
 
 Cases: a null text is encoded as an empty one (no ids; the digests are those of no bytes). Special
 tokens are not known. Repeated rows give repeated results; an empty table gives an empty one; columns
@@ -26,7 +28,7 @@ import json
 import math
 import zlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyboard.llm.common import discard, saved
@@ -37,8 +39,10 @@ MOST_BYTES = 48
 #: Rank maps and dictionary maps; a map is searched from end to end, so each has a few entries.
 RANK_MAPS = 1 << 14
 WORD_MAPS = 1 << 17
-#: Bytes of the bitmap, one for each place.
-PLACES = 1 << 19
+#: Places of the bitmap.
+PLACES = 1 << 18
+#: Bytes of the longest token that a vocabulary may have.
+MOST_TOKEN = 128
 
 
 def read_ranks(vocabulary: str) -> dict[bytes, tuple[int, tuple[bytes, ...]]]:
@@ -56,6 +60,8 @@ def read_ranks(vocabulary: str) -> dict[bytes, tuple[int, tuple[bytes, ...]]]:
                 ranks[base64.b64decode(piece)] = int(rank)
     if any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("every byte needs a rank")
+    if max(map(len, ranks)) > MOST_TOKEN:
+        raise ValueError(f"tokens must not be longer than {MOST_TOKEN} bytes")
     out: dict[bytes, tuple[int, tuple[bytes, ...]]] = {}
     for token, rank in ranks.items():
         pieces = () if len(token) == 1 else tuple(merged(token, ranks, rank - 1))
@@ -86,28 +92,33 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Type of a vocabulary's row: rank maps; by rank the two pieces, the token and its bytes; bitmap.
+TABLES = "struct<ranks:array<map<string,int>>,pairs:array<string>,made:array<string>,pieces:array<binary>,there:array<boolean>>"
+
+
+def rank_tables(spark: SparkSession, vocabulary: str) -> DataFrame:
+    """One row, `tables`: what a RankFold needs of a .tiktoken file on the driver."""
+    tokens = read_ranks(vocabulary)
+    most = max(rank for rank, _ in tokens.values()) + 1
+    maps: list[dict[str, int]] = [{} for _ in range(RANK_MAPS)]
+    pieces: list[str | None] = [None] * most
+    pairs: list[str | None] = [None] * most
+    there = [False] * PLACES
+    for piece, (rank, two) in tokens.items():
+        maps[zlib.crc32(piece) % RANK_MAPS][piece.hex().upper()] = rank
+        pieces[rank] = base64.b64encode(piece).decode()
+        if two:
+            there[zlib.crc32(piece) % PLACES] = True
+            pairs[rank] = "".join(f"<{p.hex().upper()}>" if len(p) == 1 else f"<={tokens[p][0]}>" for p in two)
+    spec = {"ranks": maps, "pairs": pairs, "made": [f"<={rank}>" for rank in range(most)], "pieces": pieces, "there": there}
+    return spark.range(1).select(F.from_json(F.lit(json.dumps(spec)), TABLES).alias("tables"))
+
+
 class RankFold:
-    """Expressions that encode and decode words by a vocabulary's ranks."""
-
-    def __init__(self, tokens: dict[bytes, tuple[int, tuple[bytes, ...]]]):
-        most = max(rank for rank, _ in tokens.values()) + 1
-        maps: list[dict[str, int]] = [{} for _ in range(RANK_MAPS)]
-        pieces: list[str | None] = [None] * most
-        pairs: list[str | None] = [None] * most
-        there = bytearray(PLACES)
-        for piece, (rank, two) in tokens.items():
-            maps[zlib.crc32(piece) % RANK_MAPS][piece.hex().upper()] = rank
-            pieces[rank] = base64.b64encode(piece).decode()
-            if two:
-                there[zlib.crc32(piece) % PLACES] = 1
-                pairs[rank] = "".join(f"<{p.hex().upper()}>" if len(p) == 1 else f"<={tokens[p][0]}>" for p in two)
-        # from_json of a literal is folded into a literal of the rows it makes
-        self.ranks = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
-        self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<binary>")
-        self.pairs = F.from_json(F.lit(json.dumps(pairs)), "array<string>")
-        self.made = F.from_json(F.lit(json.dumps([f"<={rank}>" for rank in range(most)])), "array<string>")
-        self.there = F.lit(bytes(there))
-        self.longest = max(map(len, tokens))
+    """Expressions that encode and decode words by a row of TABLES."""
+
+    def __init__(self, tables: Column):
+        self.ranks, self.pairs, self.made, self.pieces, self.there = (tables[k] for k in ("ranks", "pairs", "made", "pieces", "there"))
 
     def rank(self, piece: Column) -> Column:
         """Rank of a binary piece, null where it has none."""
@@ -117,8 +128,8 @@ class RankFold:
         """Ascending ranks of all ranges of two and more bytes that are tokens."""
 
         def at(start: Column) -> Column:
-            ranges = F.transform(F.sequence(F.lit(2), F.least(size - start, F.lit(self.longest))), lambda n: F.substring(data, start + 1, n))
-            likely = F.filter(ranges, lambda x: F.substring(self.there, (F.crc32(x) % PLACES).cast("int") + 1, F.lit(1)) == F.lit(b"\x01"))
+            ranges = F.transform(F.sequence(F.lit(2), F.least(size - start, F.lit(MOST_TOKEN))), lambda n: F.substring(data, start + 1, n))
+            likely = F.filter(ranges, lambda x: F.get(self.there, (F.crc32(x) % PLACES).cast("int")))
             return F.transform(likely, self.rank)
 
         return F.array_compact(F.sort_array(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), size - 2), at)))))
@@ -161,14 +172,17 @@ def frequent_words(docs: DataFrame, pattern: str, text_col: str, most: int = DIS
     return found
 
 
-def dictionary(words: DataFrame, fold: RankFold) -> Column:
-    """Literal array<map<word, struct<ids, back>>> of a bounded number of distinct words, each folded once."""
+def with_dictionary(tables: DataFrame, words: DataFrame) -> DataFrame:
+    """The row of tables with `words`, array<map<word, struct<ids, back>>>: a bounded number of words, each folded once."""
     place = (F.crc32(F.col("word").cast("binary")) % WORD_MAPS).cast("int")
-    maps = words.groupBy(place.alias("place")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("word", fold.part(F.col("word")))))).alias("map"))
-    found = ["{}"] * WORD_MAPS
-    for r in maps.toLocalIterator():
-        found[r["place"]] = r["map"]
-    return F.from_json(F.lit("[" + ",".join(found) + "]"), "array<map<string,struct<ids:string,back:string>>>")
+    parts = words.select("word", place.alias("place"), tables.scalar().alias("_tables"))
+    parts = parts.select("place", "word", _let(F.col("_tables"), lambda t: RankFold(t).part(F.col("word"))).alias("part"))
+    maps = parts.groupBy("place").agg(F.collect_list(F.struct("word", "part")).alias("entries"))
+    places = words.sparkSession.range(0, WORD_MAPS, 1, 4).select(F.col("id").cast("int").alias("place")).join(maps, "place", "left")
+    entries = F.coalesce("entries", F.array().cast("array<struct<word:string,part:struct<ids:string,back:string>>>"))
+    one = places.agg(F.sort_array(F.collect_list(F.struct("place", entries.alias("entries")))).alias("all"))
+    known = one.select(F.transform("all", lambda x: F.map_from_entries(x["entries"])).alias("words"))
+    return tables.select(F.struct("tables.*", known.scalar().alias("words")).alias("tables"))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), most: int = DISTINCT) -> DataFrame:
@@ -176,21 +190,26 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
 
     vocabulary: path of a .tiktoken file on the driver. pattern: regular expression that cuts a text into words,
     each encoded by itself. outputs: n_tokens long, ids array<int>, decoded binary, ids_sha256 (of decimal ids joined
-    by commas) and decoded_sha256 (of the decoded bytes), lowercase hex. most: words of the literal dictionary.
+    by commas) and decoded_sha256 (of the decoded bytes), lowercase hex. most: words of the dictionary.
     """
-    fold = RankFold(read_ranks(vocabulary))
+    tables = saved(rank_tables(docs.sparkSession, vocabulary), "ranks")
     words = frequent_words(docs, pattern, text_col, most)
-    known = dictionary(words, fold)
-    discard(words)
+    known = saved(with_dictionary(tables, words), "word-parts")
+    discard(tables, words)
+
+    def parts(t: Column) -> Column:
+        fold = RankFold(t)
+
+        def part(word: Column) -> Column:
+            place = (F.crc32(word.cast("binary")) % WORD_MAPS).cast("int")
+            return F.coalesce(F.try_element_at(F.get(t["words"], place), word), fold.part(word))
 
-    def part(word: Column) -> Column:
-        place = (F.crc32(word.cast("binary")) % WORD_MAPS).cast("int")
-        return F.coalesce(F.try_element_at(F.get(known, place), word), fold.part(word))
+        words = F.regexp_extract_all(F.coalesce(F.col("_text"), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
+        return _let(F.transform(words, part), lambda p: F.struct(F.array_join(p["ids"], ",").alias("ids"), F.array_join(p["back"], "").alias("back")))
 
-    words = F.regexp_extract_all(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
-    parts = docs.select(F.col(id_col), F.transform(words, part).alias("_parts"))
-    joined = parts.select(id_col, F.array_join(F.col("_parts")["ids"], ",").alias("_ids"), F.array_join(F.col("_parts")["back"], "").cast("binary").alias("_back"))
-    ids, back = F.col("_ids"), F.col("_back")
+    texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), known.scalar().alias("_tables"))
+    joined = texts.select(id_col, _let(F.col("_tables"), parts).alias("_parts"))
+    ids, back = F.col("_parts")["ids"], F.col("_parts")["back"].cast("binary")
     made = {
         "n_tokens": F.when(ids == "", F.lit(0)).otherwise(F.length(ids) - F.length(F.replace(ids, F.lit(","), F.lit(""))) + 1).cast("long"),
         "ids": F.when(ids == "", F.array().cast("array<int>")).otherwise(F.split(ids, ",").cast("array<int>")),
@@ -203,4 +222,6 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
 
 def decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
     """rows with a column `decoded` (binary): the bytes of the ids in ids_col; null ids give null."""
-    return rows.withColumn("decoded", RankFold(read_ranks(vocabulary)).decoded(F.col(ids_col)))
+    tables = saved(rank_tables(rows.sparkSession, vocabulary), "ranks")
+    decoded = _let(F.col("_tables"), lambda t: RankFold(t).decoded(F.col(ids_col)))
+    return rows.withColumn("_tables", tables.scalar()).withColumn("decoded", decoded).drop("_tables")
