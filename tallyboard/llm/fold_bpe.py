@@ -7,7 +7,7 @@ its byte ranges that are in the map, ascending; a fold over them replaces the tw
 token by the token, `<74><=258>`. `read_ranks` finds these two pieces for each token and proves that they are
 the only ones the token can come from, and so that no merge makes a pair of a rank that has been passed.
 
-Distinct words are counted over the whole corpus; the most frequent ones, at most DISTINCT of at most
+Distinct words are counted over the whole corpus; the frequent ones, at most DISTINCT of at most
 MOST_BYTES bytes each, are folded once and become a dictionary, word -> (ids, decoded bytes), of bounded
 size. The other words of a text are folded where they stand, so nothing is shuffled but the counts, and no
 result depends on the dictionary. Decoding looks up each id's binary piece and concatenates them. Map and
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tallyboard.llm.common import discard, saved
 
 #: Words of the literal dictionary, and bytes of the longest one.
-DISTINCT = 1 << 19
+DISTINCT = 3 << 17
 MOST_BYTES = 48
 #: Rank maps and dictionary maps; a map is searched from end to end, so each has a few entries.
 RANK_MAPS = 1 << 14
@@ -102,7 +102,7 @@ def rank_tables(spark: SparkSession, vocabulary: str) -> DataFrame:
     most = max(rank for rank, _ in tokens.values()) + 1
     maps: list[dict[str, int]] = [{} for _ in range(RANK_MAPS)]
     pieces: list[str | None] = [None] * most
-    pairs: list[str | None] = [None] * most
+    pairs = ["-"] * most  # of single bytes and unused ranks: occurs in no word
     there = [False] * PLACES
     for piece, (rank, two) in tokens.items():
         maps[zlib.crc32(piece) % RANK_MAPS][piece.hex().upper()] = rank
@@ -130,9 +130,10 @@ class RankFold:
         def at(start: Column) -> Column:
             ranges = F.transform(F.sequence(F.lit(2), F.least(size - start, F.lit(MOST_TOKEN))), lambda n: F.substring(data, start + 1, n))
             likely = F.filter(ranges, lambda x: F.get(self.there, (F.crc32(x) % PLACES).cast("int")))
-            return F.transform(likely, self.rank)
+            # a merge that has no place in the word does nothing, so rank 0 may stand for none
+            return F.transform(likely, lambda x: F.coalesce(self.rank(x), F.lit(0)))
 
-        return F.array_compact(F.sort_array(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), size - 2), at)))))
+        return F.sort_array(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), size - 2), at))))
 
     def ids(self, word: Column) -> Column:
         """Decimal ids of a word, joined by commas."""
@@ -154,13 +155,14 @@ class RankFold:
 
 
 def frequent_words(docs: DataFrame, pattern: str, text_col: str, most: int = DISTINCT) -> DataFrame:
-    """A saved table of at most `most` of the corpus's most frequent words that occur twice or more, no longer than MOST_BYTES.
+    """A saved table of at most `most` words that occur twice or more, no longer than MOST_BYTES: those that save most.
 
-    All words are counted; the least count is a step of a scale of eighths of powers of two, so no sort is needed.
+    All words are counted. A fold looks at all ranges of a word, so a word saves its count times its bytes squared; the
+    least saving is a step of a scale of eighths of powers of two, so no sort is needed.
     """
     words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(java_pattern(pattern)), F.lit(0))).alias("word"))
     counts = saved(words.filter(F.octet_length("word") <= MOST_BYTES).groupBy("word").agg(F.count("*").alias("n")).filter("n > 1"), "word-counts")
-    step = F.floor(F.log2("n") * 8).cast("int")
+    step = F.floor(F.log2(F.col("n") * F.pow(F.octet_length("word") + 1.0, 2)) * 8).cast("int")
     sizes = sorted(((r["step"], r["words"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()), reverse=True)
     least, total = None, 0
     for at, n in sizes:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyboard.llm import bpe, exact_dedup, fold_bpe, lang_id, licenses, mixing, ngram_join, pii, quality, toxicity, url_filter
+from tallyboard.llm import bpe, divergence, exact_dedup, fold_bpe, lang_id, licenses, mixing, ngram_join, pii, quality, spelling, toxicity, url_filter
 from tallyboard.llm.common import read_table
 
 
@@ -102,14 +102,22 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
 def op12_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return fold_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_ngram_join, op3_url_filter, op4_compression_bands, op5_exact_dedup, op6_source_mix, op7_language, op8_toxicity, op9_licenses, op10_bpe, op12_rank_bpe)
+    for f in (op1_pii, op2_ngram_join, op3_url_filter, op4_compression_bands, op5_exact_dedup, op6_source_mix, op7_language, op8_toxicity, op9_licenses, op10_bpe, op11_spelling, op12_rank_bpe, op13_divergence)
 }
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -206,4 +214,24 @@ timed AS (
 SELECT doc_id, size, source_size, target, size * repeats AS taken, start,
   CASE WHEN repeats > 0 THEN floor(least(1.0::DOUBLE, greatest(0.0::DOUBLE, first)) * 1e9)::BIGINT END AS position
 FROM timed""",
+    "op13_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+own AS (SELECT lang, source, term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+whole AS (SELECT lang, count(*) AS v, sum(c)::BIGINT AS n FROM kept GROUP BY lang),
+sizes AS (SELECT lang, source, sum(c)::BIGINT AS n FROM own GROUP BY lang, source),
+g AS (SELECT lang, source, coalesce(whole.v, 0) AS v, coalesce(sizes.n, 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN whole USING (lang) LEFT JOIN sizes USING (lang, source)),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(own.c, 0) AS c,
+    (1 + 1000000000::HUGEINT * (coalesce(own.c, 0) + 5) // (g.n + 5 * g.v))::BIGINT AS p, (1 + 1000000000::HUGEINT * (kept.c + 5) // (whole.n + 5 * whole.v))::BIGINT AS q
+  FROM g JOIN kept ON kept.lang = g.lang JOIN whole ON whole.lang = g.lang LEFT JOIN own ON own.lang = g.lang AND own.source = g.source AND own.term = kept.term),
+apart AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p))::BIGINT AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+every AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(apart.value, 0) AS value
+  FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN apart ON apart.lang = g.lang AND apart.source = g.source AND apart.item = h.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM every)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
 }
