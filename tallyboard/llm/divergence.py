@@ -40,7 +40,7 @@ PRIOR, SCALE = 5, 1_000_000_000
 #: Terms reported for each group.
 MOST_TERMS = 50
 #: Distinct columns of a block, and shares that are in memory at once there.
-BLOCK, CELLS = 1 << 14, 1 << 21
+BLOCK, CELLS = 1 << 10, 1 << 21
 #: Counts that a task gathers before it passes them on.
 GATHER = 1 << 18
 
