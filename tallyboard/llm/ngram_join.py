@@ -58,6 +58,8 @@ CHILDREN = 1_024
 #: Points in a leaf and children of a node; cells up to TINY are searched without a tree.
 LEAF, TINY = 16, 64
 WIDEN = 64
+#: Characters of the texts whose words a worker hashes together; it holds about 100 bytes for each.
+SLICE = 1 << 18
 #: Ids up to this many (8 bytes each) may be broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 
@@ -309,7 +311,7 @@ def _sketch(docs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             kind = batch.schema.field(0).type, batch.schema.field(2).type
             texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 sets = shingle_sets(texts[a:b], n)
                 whole = np.concatenate(sets)
                 hits += np.bincount((whole >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(hits))
@@ -346,7 +348,7 @@ def _cells(docs: DataFrame, hits: np.ndarray, n: int, percent: int) -> DataFrame
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 cells, fps = [], []
                 for s in shingle_sets(texts[a:b], n):
                     if not len(s) or (fp := fingerprint(s)) in seen:
