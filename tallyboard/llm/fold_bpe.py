@@ -8,8 +8,8 @@ token by the token, `<74><=258>`. `read_ranks` finds these two pieces for each t
 the only ones the token can come from, and so that no merge makes a pair of a rank that has been passed.
 
 Distinct words are counted over the whole corpus; the frequent ones, at most DISTINCT of at most
-MOST_BYTES bytes each, are folded once and become a dictionary, word -> (ids, decoded bytes), of bounded
-size. The other words of a text are folded where they stand, so nothing is shuffled but the counts, and no
+MOST_BYTES bytes each, are folded and decoded once and become a dictionary, word -> ids, of bounded size,
+that has only words which their ids decode to. The other words of a text are folded where they stand, so nothing is shuffled but the counts, and no
 result depends on the dictionary. Decoding looks up each id's binary piece and concatenates them. Map and
 dictionary are one-row tables that a scalar subquery brings to the expressions as one block of bytes: as
 plain literals of so many entries they would be copied object by object into plans and tasks.
@@ -34,11 +34,12 @@ from pyspark.sql import functions as F
 from tallyboard.llm.common import discard, saved
 
 #: Words of the literal dictionary, and bytes of the longest one.
-DISTINCT = 3 << 17
+DISTINCT = 3 << 18
 MOST_BYTES = 48
-#: Rank maps and dictionary maps; a map is searched from end to end, so each has a few entries.
+#: Rank maps; a map is searched from end to end, so each has a few entries.
 RANK_MAPS = 1 << 14
-WORD_MAPS = 1 << 17
+#: Places of the dictionary; of the words whose CRC gives the same place the one that saves most stands there.
+WORD_PLACES = 1 << 20
 #: Places of the bitmap.
 PLACES = 1 << 18
 #: Bytes of the longest token that a vocabulary may have.
@@ -83,7 +84,8 @@ def merged(word: bytes, ranks: dict[bytes, int], most: int) -> list[bytes]:
 
 
 def java_pattern(pattern: str) -> str:
-    """The pattern with white space as Unicode defines it, which Java's \\s does not mean."""
+    """The pattern with white space as Unicode defines it, which Java's \\s does not mean, and its endings tried at a ' only."""
+    pattern = pattern.replace("'s|'t|'re|'ve|'m|'ll|'d|", "'(?:s|t|re|ve|m|ll|d)|")
     return pattern.replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
 
 
@@ -162,28 +164,32 @@ def frequent_words(docs: DataFrame, pattern: str, text_col: str, most: int = DIS
     """
     words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(java_pattern(pattern)), F.lit(0))).alias("word"))
     counts = saved(words.filter(F.octet_length("word") <= MOST_BYTES).groupBy("word").agg(F.count("*").alias("n")).filter("n > 1"), "word-counts")
-    step = F.floor(F.log2(F.col("n") * F.pow(F.octet_length("word") + 1.0, 2)) * 8).cast("int")
+    saving = F.col("n") * F.pow(F.octet_length("word") + 1.0, 2)
+    step = F.floor(F.log2(saving) * 8).cast("int")
     sizes = sorted(((r["step"], r["words"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()), reverse=True)
     least, total = None, 0
     for at, n in sizes:
         if (total := total + n) > most:
             break
         least = at
-    found = saved(counts.filter(F.lit(False) if least is None else step >= least).select("word"), "frequent-words")
+    found = saved(counts.filter(F.lit(False) if least is None else step >= least).select("word", saving.alias("saving")), "frequent-words")
     discard(counts)
     return found
 
 
+def _place(word: Column) -> Column:
+    return (F.crc32(word.cast("binary")) % WORD_PLACES).cast("int")
+
+
 def with_dictionary(tables: DataFrame, words: DataFrame) -> DataFrame:
-    """The row of tables with `words`, array<map<word, struct<ids, back>>>: a bounded number of words, each folded once."""
-    place = (F.crc32(F.col("word").cast("binary")) % WORD_MAPS).cast("int")
-    parts = words.select("word", place.alias("place"), tables.scalar().alias("_tables"))
-    parts = parts.select("place", "word", _let(F.col("_tables"), lambda t: RankFold(t).part(F.col("word"))).alias("part"))
-    maps = parts.groupBy("place").agg(F.collect_list(F.struct("word", "part")).alias("entries"))
-    places = words.sparkSession.range(0, WORD_MAPS, 1, 4).select(F.col("id").cast("int").alias("place")).join(maps, "place", "left")
-    entries = F.coalesce("entries", F.array().cast("array<struct<word:string,part:struct<ids:string,back:string>>>"))
-    one = places.agg(F.sort_array(F.collect_list(F.struct("place", entries.alias("entries")))).alias("all"))
-    known = one.select(F.transform("all", lambda x: F.map_from_entries(x["entries"])).alias("words"))
+    """The row of tables with `words`, array<struct<word, ids>> by place: a bounded number of words, each folded once."""
+    best = words.groupBy(_place(F.col("word")).alias("place")).agg(F.max_by("word", F.struct("saving", "word")).alias("word"))
+    parts = best.select("place", "word", tables.scalar().alias("_tables"))
+    parts = parts.select("place", "word", _let(F.col("_tables"), lambda t: RankFold(t).part(F.col("word"))).alias("part")).filter(F.col("part.back") == F.col("word"))
+    entries = parts.select("place", F.struct("word", F.col("part.ids").alias("ids")).alias("entry"))
+    places = words.sparkSession.range(0, WORD_PLACES, 1, 4).select(F.col("id").cast("int").alias("place")).join(entries, "place", "left")
+    blocks = places.groupBy(F.shiftright("place", 10).alias("block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "entry"))), lambda x: x["entry"]).alias("entries"))
+    known = blocks.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "entries"))), lambda x: x["entries"])).alias("words"))
     return tables.select(F.struct("tables.*", known.scalar().alias("words")).alias("tables"))
 
 
@@ -202,12 +208,14 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
     def parts(t: Column) -> Column:
         fold = RankFold(t)
 
-        def part(word: Column) -> Column:
-            place = (F.crc32(word.cast("binary")) % WORD_MAPS).cast("int")
-            return F.coalesce(F.try_element_at(F.get(t["words"], place), word), fold.part(word))
+        def part(word: Column, hit: Column) -> Column:
+            return F.when(hit["word"] == word, F.struct(hit["ids"].alias("ids"), word.alias("back"))).otherwise(fold.part(word))
+
+        def joined(words: Column) -> Column:
+            found = F.zip_with(words, F.transform(words, lambda w: F.get(t["words"], _place(w))), part)
+            return _let(found, lambda p: F.struct(F.array_join(p["ids"], ",").alias("ids"), F.array_join(p["back"], "").alias("back")))
 
-        words = F.regexp_extract_all(F.coalesce(F.col("_text"), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
-        return _let(F.transform(words, part), lambda p: F.struct(F.array_join(p["ids"], ",").alias("ids"), F.array_join(p["back"], "").alias("back")))
+        return _let(F.regexp_extract_all(F.coalesce(F.col("_text"), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0)), joined)
 
     texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), known.scalar().alias("_tables"))
     joined = texts.select(id_col, _let(F.col("_tables"), parts).alias("_parts"))
