@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyboard.llm import bpe, exact_dedup, lang_id, mixing, ngram_join
-from tallyboard.llm.common import read_table, saved
+from tallyboard.llm.common import bound_batches, read_table, saved
 from tallyboard.llm.queries import language_model
 
 #: Least share of a text's letters in its main language.
@@ -21,6 +21,7 @@ MAIN_LANGUAGE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters and those with no main language."""
+    bound_batches(spark)
     return lang_id.keep_identified(docs, language_model(docs), MAIN_LANGUAGE)
 
 
@@ -41,6 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, number of tokens and digests of ids and decoded text of each row."""
+    bound_batches(spark)
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 

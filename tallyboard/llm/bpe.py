@@ -7,13 +7,16 @@ each, and step together; a long one has a tree of its own.
 
 Cases: a null text is encoded as an empty one (no ids; the digests are those of no bytes). Special
 tokens' strings in a text become their ids, as in the tokenizers library. Repeated rows give
-repeated results; an empty table gives an empty one; columns other than id and text are not read.
+repeated results; an empty table gives an empty one; columns other than id and text are not read. A text's
+pre-tokens are held together; ids of pre-tokens beyond CACHED characters are not remembered, and the tree of
+a long one takes about 60 bytes for each of its bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +30,8 @@ from tallyboard.llm.common import slices
 
 #: Fixed value: how byte-level BPE splits a text before the merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens whose ids a worker remembers; at this number it forgets them all.
-CACHE = 200_000
+#: Pre-tokens whose ids a worker remembers within a task, and the longest of them; at this number it forgets them all.
+CACHE, CACHED = 150_000, 64
 #: Pre-tokens of more symbols than this have a tree of their own.
 ROW_TREE = 256
 #: Leaves of all trees of one array.
@@ -126,45 +129,50 @@ class ByteBpe:
         return [left[i][left[i] >= 0] for i in range(n)]
 
     def merge_one(self, word: bytes) -> np.ndarray:
-        """Ids of one long word, by a tree of its own."""
+        """Ids of one long word, by a tree of its own: an array of the leaves' and nodes' rank * width + place."""
         n = len(word)
         width = 1 << max(1, (n - 1).bit_length())
-        symbol = self.of_byte[np.frombuffer(word, dtype=np.uint8)].tolist()
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        dead = (self.none, width)
-        tree = [dead] * (2 * width)
-        for i in range(n - 1):
-            if (r := self.rank_of.get((symbol[i] << 32) | symbol[i + 1])) is not None:
-                tree[width + i] = (r, i)
-        for k in range(width - 1, 0, -1):
-            tree[k] = min(tree[2 * k], tree[2 * k + 1])
-
-        def put(i: int, value: tuple[int, int]) -> None:
-            k = width + i
-            tree[k] = value
-            while k > 1:
-                k >>= 1
-                best = min(tree[2 * k], tree[2 * k + 1])
-                if tree[k] == best:
+        start = self.of_byte[np.frombuffer(word, dtype=np.uint8)]
+        dead = self.none * width + width
+        leaves = np.full(width, dead, dtype=np.int64)
+        rank = self.ranks(start[:-1], start[1:])
+        leaves[: n - 1] = np.where(rank < self.none, rank * width + np.arange(n - 1), dead)
+        levels = [leaves]
+        while len(levels[-1]) > 1:
+            levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
+        # arrays of machine numbers: one by one access is as fast as a list's and takes 8 bytes for each
+        tree = [array("q", level.tobytes()) for level in levels]
+        symbol, after, before = (array("q", x.astype(np.int64).tobytes()) for x in (start, np.arange(1, n + 1), np.arange(-1, n - 1)))
+
+        def put(place: int, value: int) -> None:
+            tree[0][place] = value
+            for k in range(1, len(tree)):
+                place >>= 1
+                below = tree[k - 1]
+                best = min(below[2 * place], below[2 * place + 1])
+                if tree[k][place] == best:
                     break
-                tree[k] = best
+                tree[k][place] = best
+
+        def pair(left: int, right: int, place: int) -> int:
+            rank = self.rank_of.get((symbol[left] << 32) | symbol[right])
+            return dead if rank is None else rank * width + place
 
-        while tree[1] is not dead and tree[1] != dead:
-            rank, at = tree[1]
+        top = tree[-1]
+        while top[0] < dead:
+            rank, at = divmod(top[0], width)
             gone = after[at]
             onward = after[gone]
             symbol[at], symbol[gone] = int(self.merged[rank]), -1
             after[at] = onward
             put(gone, dead)
-            pair = None
             if onward < n:
                 before[onward] = at
-                pair = self.rank_of.get((symbol[at] << 32) | symbol[onward])
-            put(at, dead if pair is None else (pair, at))
+            put(at, pair(at, onward, at) if onward < n else dead)
             if (prior := before[at]) >= 0:
-                pair = self.rank_of.get((symbol[prior] << 32) | symbol[at])
-                put(prior, dead if pair is None else (pair, prior))
-        return np.array([s for s in symbol if s >= 0], dtype=np.int64)
+                put(prior, pair(prior, at, prior))
+        out = np.frombuffer(symbol, dtype=np.int64)
+        return out[out >= 0]
 
     def learn(self, tokens: set[str]) -> None:
         """Put the ids of tokens into the cache, as little-endian 32-bit integers."""
@@ -198,14 +206,23 @@ class ByteBpe:
                 split.append(parts + self.cuts.findall(text[at:]))
             else:
                 split.append(self.cuts.findall(text))
-        known = self.cache
-        missing = {t for parts in split for t in parts if t not in known and not isinstance(t, int)}
+        missing = {t for parts in split for t in parts if t not in self.cache and not isinstance(t, int) and len(t) <= CACHED}
         if missing:
-            if len(known) + len(missing) > CACHE:
-                missing = {t for parts in split for t in parts if not isinstance(t, int)}
+            if len(self.cache) + len(missing) > CACHE:
+                missing = {t for parts in split for t in parts if not isinstance(t, int) and len(t) <= CACHED}
             self.learn(missing)
         known = self.cache
-        return [np.frombuffer(b"".join([known[t] if isinstance(t, str) else t.to_bytes(4, "little") for t in parts]), dtype="<u4") for parts in split]
+
+        def ids(t: str | int) -> bytes:
+            if isinstance(t, int):
+                return t.to_bytes(4, "little")
+            return known[t] if t in known else self.one(t.encode()).astype("<u4").tobytes()
+
+        return [np.frombuffer(b"".join([known[t] if t in known else ids(t) for t in parts]), dtype="<u4") for parts in split]
+
+    def one(self, word: bytes) -> np.ndarray:
+        """Ids of one word that is not remembered."""
+        return self.merge_one(word) if len(word) > ROW_TREE else self.merge_rows([word], 1 << max(1, (len(word) - 1).bit_length()))[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -250,5 +267,6 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                         else:
                             out.append(hashlib.sha256(text.encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(v, type=kinds[k][1]) for k, v in columns.items())], ["_id", *columns])
+        bpe.cache.clear()  # the worker lives on and does other tasks
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, ", ".join([f"_id {id_type}", *(f"{k} {kinds[k][0]}" for k in outputs)])).withColumnRenamed("_id", id_col)

@@ -34,6 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let BATCH hold for the rest of the session: for results whose last step runs when the caller writes them."""
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """BATCH holds for what runs inside; afterwards the session is as it was."""
@@ -85,7 +91,7 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_CLASS)).cast("long")
 
 
-def slices(texts: list[str | None], limit: int = 1 << 20):
+def slices(texts: list[str | None], limit: int = 1 << 18):
     """Ranges of rows whose texts together have about limit characters; a longer text stands alone."""
     start, size = 0, 0
     for i, t in enumerate(texts):

@@ -78,8 +78,49 @@ SENTENCES = {
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "reserved": "All rights reserved.",
+    "apache-plain-notice": "Licensed under the Apache License 2.0.",
+    "apache-title": "Apache License",
+    "apache-version": "Version 2.0, January 2004",
+    "gpl-title": "GNU GENERAL PUBLIC LICENSE",
+    "lgpl-title": "GNU LESSER GENERAL PUBLIC LICENSE",
+    "agpl-title": "GNU AFFERO GENERAL PUBLIC LICENSE",
+    "version-3": "Version 3, 29 June 2007",
+    "version-21": "Version 2.1, February 1999",
+    "version-2": "Version 2, June 1991",
+    "agpl-version-3": "Version 3, 19 November 2007",
+    "only-2": "version 2 of the License.",
+    "only-21": "version 2.1 of the License.",
+    "only-3": "version 3 of the License.",
+    "mpl2-title": "Mozilla Public License Version 2.0",
+    "mpl2-name": "Mozilla Public License, v. 2.0",
+    "mpl11-title": "Mozilla Public License Version 1.1",
+    "mpl11-name": "Mozilla Public License, v. 1.1",
+    "bsd2-title": "BSD 2-Clause License",
+    "bsd3-title": "BSD 3-Clause License",
+    "isc-title": "ISC License",
+    "zlib-title": "zlib License",
+    "epl2-title": "Eclipse Public License - v 2.0",
+    "epl1-title": "Eclipse Public License - v 1.0",
+    "cc0-title": "CC0 1.0 Universal",
+    "cc0-work": "This work is licensed under a CC0 1.0 Universal License.",
+    "unlicense-title": "The Unlicense",
+    "eupl-notice": "Licensed under the EUPL, Version 1.2",
+    "artistic-title": "The Artistic License 2.0",
+    "ofl-notice": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "ofl-title": "SIL OPEN FONT LICENSE",
 }
 
+#: Licences that a tag names, by their short identifiers.
+TAGGED = (
+    "0BSD", "AFL-3.0", "AGPL-1.0-only", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "Apache-2.0", "Artistic-1.0", "Artistic-2.0", "BSD-1-Clause", "BSD-2-Clause",
+    "BSD-2-Clause-Patent", "BSD-3-Clause", "BSD-3-Clause-Clear", "BSD-4-Clause", "BSL-1.0", "BlueOak-1.0.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-4.0",
+    "CC-BY-ND-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC0-1.0", "CDDL-1.0", "CDDL-1.1", "CECILL-2.1", "CPL-1.0", "ECL-2.0", "EPL-1.0", "EPL-2.0", "EUPL-1.1", "EUPL-1.2", "FSFAP", "GFDL-1.3-or-later",
+    "GPL-1.0-or-later", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1", "LGPL-2.1-only",
+    "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "LPPL-1.3c", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "MS-PL", "MS-RL", "MulanPSL-2.0", "NCSA", "ODbL-1.0", "OFL-1.1", "OSL-3.0",
+    "PostgreSQL", "Python-2.0", "Ruby", "Unlicense", "UPL-1.0", "Vim", "W3C", "WTFPL", "X11", "Zlib", "ZPL-2.1",
+)
+SENTENCES |= {f"tag-{name.lower()}": f"SPDX-License-Identifier: {name}" for name in TAGGED}
+
 #: Ordered rules: licence and the sentence identifiers that stand in a row. Full texts come before notices.
 RULES = (
     ("MIT", ("mit-title", "mit-grant", "mit-condition", "mit-warranty")),
@@ -100,6 +141,15 @@ RULES = (
     ("AGPL-3.0-or-later", ("gpl-free", "agpl3-redistribute")),
     ("AGPL-3.0-or-later", ("gpl-free", "agpl-redistribute", "either-3")),
     ("GPL-2.0-only", ("gpl-free", "gpl2-only")),
+    ("GPL-2.0-only", ("gpl-free", "gpl-redistribute", "only-2")),
+    ("GPL-3.0-only", ("gpl-free", "gpl-redistribute", "only-3")),
+    ("LGPL-2.1-only", ("lgpl-free", "lgpl-redistribute", "only-21")),
+    ("GPL-3.0", ("gpl-title", "version-3")),
+    ("GPL-2.0", ("gpl-title", "version-2")),
+    ("LGPL-3.0", ("lgpl-title", "version-3")),
+    ("LGPL-2.1", ("lgpl-title", "version-21")),
+    ("AGPL-3.0", ("agpl-title", "agpl-version-3")),
+    ("Apache-2.0", ("apache-title", "apache-version")),
     ("Zlib", ("zlib-provided", "zlib-granted")),
     ("Apache-2.0", ("apache-header", "apache-comply")),
     ("GPL-3.0", ("gpl3-notice",)),
@@ -129,13 +179,31 @@ RULES = (
     ("ISC", ("isc-grant",)),
     ("Unlicense", ("unlicense",)),
     ("All-Rights-Reserved", ("reserved",)),
-)
+    ("Apache-2.0", ("apache-plain-notice",)),
+    ("MPL-2.0", ("mpl2-title",)),
+    ("MPL-2.0", ("mpl2-name",)),
+    ("MPL-1.1", ("mpl11-title",)),
+    ("MPL-1.1", ("mpl11-name",)),
+    ("BSD-2-Clause", ("bsd2-title",)),
+    ("BSD-3-Clause", ("bsd3-title",)),
+    ("ISC", ("isc-title",)),
+    ("Zlib", ("zlib-title",)),
+    ("EPL-2.0", ("epl2-title",)),
+    ("EPL-1.0", ("epl1-title",)),
+    ("CC0-1.0", ("cc0-title",)),
+    ("CC0-1.0", ("cc0-work",)),
+    ("Unlicense", ("unlicense-title",)),
+    ("EUPL-1.2", ("eupl-notice",)),
+    ("Artistic-2.0", ("artistic-title",)),
+    ("OFL-1.1", ("ofl-notice",)),
+    ("OFL-1.1", ("ofl-title",)),
+) + tuple((name, (f"tag-{name.lower()}",)) for name in TAGGED)
 
 #: Every known sentence holds one of these, in lower case.
-ANCHORS = ("licen", "permission", "copyright", "warrant", "free software", "redistribut", "rights reserved", "public domain", "as is")
+ANCHORS = ("licen", "version", "cc0", "permission", "copyright", "warrant", "free software", "redistribut", "rights reserved", "public domain", "as is")
 
-#: An abbreviation whose point ends no sentence, and what stands for it.
-SHORT, SHORT_FORM = " v. ", " v "
+#: Signs that end no sentence: an abbreviation's point and the colon of a tag; and what stands for them.
+SHORT = ((" v. ", " v "), ("license-identifier: ", "license-identifier "))
 END = r"[.!?;:]+\s+"
 CUT = rf"\n|{END}"
 NOISE = r"[^a-z0-9]+"
@@ -146,7 +214,10 @@ def _normal(sentence: str) -> str:
 
 
 def _cut(text: str) -> list[str]:
-    return [x for s in re.split(CUT, text.lower().replace(SHORT, SHORT_FORM)) if (x := _normal(s))]
+    low = text.lower()
+    for sign, form in SHORT:
+        low = low.replace(sign, form)
+    return [x for s in re.split(CUT, low) if (x := _normal(s))]
 
 
 def known() -> dict[str, str]:
@@ -163,7 +234,9 @@ def sentence_ids(text: Column) -> Column:
     sentences = known()
     ids = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     # lower-cased text has no capitals: S stands for an end of sentence or paragraph, L for one of a line
-    whole = F.replace(F.lower(text), F.lit(SHORT), F.lit(SHORT_FORM))
+    whole = F.lower(text)
+    for sign, form in SHORT:
+        whole = F.replace(whole, F.lit(sign), F.lit(form))
     marked = F.concat(F.lit("S"), F.replace(F.regexp_replace(whole, END, "S"), F.lit("\n"), F.lit("L")), F.lit("S"))
     marked = F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9SL]+", " "), " *([SL]) *", "$1")
     marked = F.regexp_replace(marked, "L*S[SL]*|LL+", "S")
@@ -183,10 +256,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=
     # identifiers stand between bars, so neighbours never share one and a match is a plain substring
     line = F.concat(F.lit("|"), F.replace(F.col("sentence_ids"), F.lit(","), F.lit("||")), F.lit("|"))
     out = out.withColumn("_line", F.when(F.col("n_sentences") > 0, line).otherwise(F.lit(""))).withColumn("_found", F.lit(""))
-    for name, ids in rules:
+    for name, ids in (r for r in rules if len(r[1]) > 1):
         # a step a rule: the next one reads what this one left
         run = "".join(f"|{i}|" for i in ids)
         out = out.withColumn("_rest", F.replace(F.col("_line"), F.lit(run), F.lit("/")))
         times = F.floor((F.length("_line") - F.length("_rest")) / (len(run) - 1)).cast("int")
         out = out.withColumn("_found", F.concat("_found", F.repeat(F.lit(f"{name},"), times))).withColumn("_line", F.col("_rest")).drop("_rest")
+    # rules of one sentence take nothing from each other: what is left is looked up, in the rules' order
+    place = {ids[0]: i for i, (_, ids) in reversed([*enumerate(rules)]) if len(ids) == 1}
+    places = F.create_map(*[F.lit(x) for i, k in place.items() for x in (i, k)])
+    names = F.array(*[F.lit(name) for name, _ in rules])
+    left = F.transform(F.regexp_extract_all("_line", F.lit(r"\|([^|/]+)\|"), F.lit(1)), lambda i: F.try_element_at(places, i))
+    alone = F.transform(F.sort_array(F.array_compact(left)), lambda k: F.concat(F.get(names, k), F.lit(",")))
+    out = out.withColumn("_found", F.concat("_found", F.array_join(alone, "")))
     return out.select(id_col, "n_sentences", "sentence_ids", F.rtrim(F.col("_found"), F.lit(",")).alias("licenses"))

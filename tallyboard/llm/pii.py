@@ -13,12 +13,14 @@ so that `spark.sql.redaction.string.regex` can hide them in plans that are shown
 * social security numbers (area, group and serial in range): within the valid ones;
 * IPv4 addresses: within all 32-bit values;
 * calendar dates (Y-M-D, also before a time; D.M.Y, M/D/Y) of 1800-2199: within the 146,097 days of those 400 years;
-* e-mail addresses: letters and digits of the local part, each within its class.
+* e-mail addresses: letters and digits of the local part, each within its class; letters of any script count
+  as part of an address, and those of LETTERS are permuted within their run of the alphabet.
 
 Cards and IBANs may stand in a longer run of digit or letter groups: all runs of whole groups are
 tested, those that are laid out as cards or have their country's length first, then longer ones. So
 are the groups of any candidate that fails its validation. What stays invalid is left as it is, and so
-is all other text.
+is all other text: among it local phone numbers without brackets or country, extensions, IPv6 addresses,
+dates with one-digit days or months, numbers that touch a letter, and letters of scripts not in LETTERS.
 
 Cases: a null text stays null with no values; texts are processed whole, whatever their length (a
 candidate is bounded, the search over it is linear in the text). Repeated rows give repeated results,
@@ -53,8 +55,15 @@ CARD_GROUPS = ("4-4-4-4", "4-6-5", "4-4-4-4-3")
 #: Most characters of an IBAN, and so most groups of a run.
 MOST_GROUPS = 34
 
+#: First code point and number of letters of runs of an alphabet: Latin-1 (both cases, in two runs each), Latin
+#: Extended-A, Greek and Cyrillic (both cases), Hebrew, Arabic, Devanagari and Thai consonants, Hiragana, Katakana, Han, Hangul.
+LETTERS = (
+    (0xC0, 23), (0xD8, 7), (0xE0, 23), (0xF8, 8), (0x100, 128), (0x391, 17), (0x3A3, 7), (0x3B1, 25), (0x410, 32), (0x430, 32), (0x5D0, 27), (0x627, 20), (0x641, 10),
+    (0x915, 37), (0xE01, 46), (0x3041, 86), (0x30A1, 90), (0x4E00, 20992), (0xAC00, 11172),
+)
+
 _EDGE_BEFORE, _EDGE_AFTER = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
-_EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+_EMAIL = r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+\-]{0,63}@(?:[\p{L}\p{M}\p{N}\-]{1,63}\.){1,8}\p{L}[\p{L}\p{M}]{1,23}(?![\p{L}\p{M}\p{N}])"
 _SSN = r"\d{3}-\d{2}-\d{4}(?!-)"
 _DATE = r"\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}"
 _IPV4 = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.\d)"
@@ -300,7 +309,12 @@ def permute_classes(text: Column, key: str, kind: str) -> Column:
         def one(c: Column, i: Column) -> Column:
             add, code = F.conv(F.substr(by, 1 + 2 * (i % 32), F.lit(2)), 16, 10).cast("int"), F.ascii(c)
             low = F.when(code.between(97, 122), 97).when(code.between(65, 90), 65).when(code.between(48, 57), 48)
-            return F.when(low.isNull(), c).otherwise(F.char(low + (code - low + add) % F.when(low == 48, 10).otherwise(26)))
+            plain = F.when(low.isNull(), c).otherwise(F.char(low + (code - low + add) % F.when(low == 48, 10).otherwise(26)))
+            other = c
+            for first, size in LETTERS:
+                new = F.lit(first) + (code - first + add) % size
+                other = F.when(code.between(first, first + size - 1), F.decode(F.unhex(F.lpad(F.hex(new), 4, "0")), "UTF-16BE")).otherwise(other)
+            return F.when(code < 128, plain).otherwise(other)
 
         return F.array_join(F.transform(F.split(text, ""), one), "")
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyboard.llm import bpe, divergence, exact_dedup, fold_bpe, lang_id, licenses, mixing, ngram_join, pii, quality, spelling, toxicity, url_filter
-from tallyboard.llm.common import read_table
+from tallyboard.llm.common import bound_batches, read_table
 
 
 #: Key of the query's pseudonyms; a real run passes a secret.
@@ -57,6 +57,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return quality.compression_rules(read_table(spark, sf_dir, "documents"))
 
 
@@ -81,12 +82,14 @@ def language_model(docs: DataFrame) -> lang_id.Model:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     docs = read_table(spark, sf_dir, "documents")
     found = lang_id.identify(docs, language_model(docs))
     return found.select("doc_id", (_fourth(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     docs = read_table(spark, sf_dir, "documents")
     labels = read_table(spark, sf_dir, "labels")
     chain = toxicity.train(docs, labels, [("low_quality", 1 - F.col("quality")), ("toxic", F.col("toxic"))])
@@ -99,6 +102,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
@@ -151,20 +155,23 @@ SELECT page_id, host, fetched_at, coalesce(e.action <> 'block', true) AS allowed
 def _license_sql() -> str:
     known = ", ".join(f"{_text(k)}: {_text(v)}" for k, v in licenses.known().items())
     anchors = "|".join(licenses.ANCHORS)
+    low = "lower(text)"
+    for sign, form in licenses.SHORT:
+        low = f"replace({low}, {_text(sign)}, {_text(form)})"
     steps, last = [], "line0"
-    for i, (name, ids) in enumerate(licenses.RULES, 1):
+    for i, (name, ids) in enumerate((r for r in licenses.RULES if len(r[1]) > 1), 1):
         run = "".join(f"|{x}|" for x in ids)
         steps.append(f"line{i} AS (SELECT doc_id, n_sentences, sentence_ids, replace(line, {_text(run)}, '/') AS line, found || repeat({_text(name + ',')}, ((length(line) - length(replace(line, {_text(run)}, '/'))) // {len(run) - 1})::INTEGER) AS found FROM {last})")
         last = f"line{i}"
+    single = [(i, name, ids[0]) for i, (name, ids) in enumerate(licenses.RULES) if len(ids) == 1]
+    places = ", ".join(f"{_text(x)}: {i}" for i, _, x in single)
+    names = ", ".join(f"{i}: {_text(name + ',')}" for i, name, _ in single)
     return rf"""
-WITH cut AS (SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{anchors}') THEN list_filter(list_transform(regexp_split_to_array(replace(lower(text), {_text(licenses.SHORT)}, {_text(licenses.SHORT_FORM)}), '
-|[.!?;:]+[ 	
-
-]+'),
+WITH cut AS (SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{anchors}') THEN list_filter(list_transform(regexp_split_to_array({low}, '\n|[.!?;:]+[ \t\r\f\v\n]+'),
     lambda s: MAP {{{known}}}[trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL) ELSE [] END AS ids FROM documents),
 line0 AS (SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids, CASE WHEN len(ids) > 0 THEN '|' || replace(array_to_string(ids, ','), ',', '||') || '|' ELSE '' END AS line, '' AS found FROM cut),
 {", ".join(steps)}
-SELECT doc_id, n_sentences, sentence_ids, rtrim(found, ',') AS licenses FROM {last}"""
+SELECT doc_id, n_sentences, sentence_ids, rtrim(found || array_to_string(list_transform(list_sort(list_filter(list_transform(regexp_extract_all(line, '\|([^|/]+)\|', 1), lambda i: MAP {{{places}}}[i]), lambda k: k IS NOT NULL)), lambda k: MAP {{{names}}}[k]), ''), ',') AS licenses FROM {last}"""
 
 
 ORACLE_SQL = {

@@ -741,3 +741,41 @@ def test_pii_of_all_documents_goes_back_by_plain_python(spark):
     assert total > 20
     plan = pii.pseudonymize(docs, "secret")._jdf.queryExecution().toString()
     assert pii.ROUND_MARK in plan and "secret" not in plan
+
+
+def test_pii_addresses_with_letters_of_any_script(spark):
+    """Every place of a letter beyond ASCII: the whole local part is permuted within its classes, one to one, the host stays."""
+    base = "maxmuller42"
+    odd = [base[:i] + c + base[i + 1 :] for i in range(9) for c in "üßжЖΩ漢"]
+    said = ["Max.Müller", "Ünal42", "jürgen.maß", *odd, *("ü" + a + b for a in "abcäö" for b in "xyzж")]
+    rows = spark.createDataFrame([(i, f"an {w}@exämple.de, and") for i, w in enumerate(said)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.pseudonymize(rows, "k").collect()}
+    new = []
+    for i, w in enumerate(said):
+        (value,) = out[i]["pii"]
+        assert value["kind"] == "email" and out[i]["text"] == f"an {value['value']}, and"
+        local, host = value["value"].split("@")
+        new.append(local)
+        assert host == "exämple.de" and len(local) == len(w) and local != w
+        for old, now in zip(w, local, strict=True):
+            size = next(((a, n) for a, n in ((48, 10), (65, 26), (97, 26), *pii.LETTERS) if a <= ord(old) < a + n), None)
+            assert now == old if size is None else size[0] <= ord(now) < size[0] + size[1]
+    assert len({*new}) == len({*said})
+
+
+@pytest.mark.parametrize("text,found", [
+    ("# SPDX-License-Identifier: MIT\nimport os", "MIT"),
+    ("// spdx-license-identifier: GPL-2.0-or-later", "GPL-2.0-or-later"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.", "GPL-2.0-only"),
+    ("Licensed under the Apache License 2.0", "Apache-2.0"),
+    ("GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\n Copyright", "GPL-3.0"),
+    ("  Apache License\n  Version 2.0, January 2004\n", "Apache-2.0"),
+    ("the Mozilla Public License, v. 1.1", ""),
+    ("Mozilla Public License, v. 1.1", "MPL-1.1"),
+    ("Version 3, 29 June 2007", ""),
+    ("We like the Apache License and version 3 of all.", ""),
+    ("MIT License\n\nThe Unlicense\n\nMIT License", "MIT,MIT,Unlicense"),
+])
+def test_licence_tags_titles_and_versions(spark, text, found):
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert licenses.scan(rows).first()["licenses"] == found
