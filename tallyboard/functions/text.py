@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -34,23 +35,34 @@ def blank_to_null(text: Column) -> Column:
     return F.nullif(F.regexp_replace(text, r"^[\s\x{A0}]+|[\s\x{A0}]+$", ""), F.lit(""))
 
 
-def _folded() -> tuple[str, str]:
-    """Letters with a one-letter compatibility decomposition in ASCII, and these letters."""
-    pairs = []
-    for point in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF10, 0xFF5B)):
+def _folded() -> tuple[dict[str, str], dict[str, str]]:
+    """Lower-case characters whose compatibility decomposition has ASCII letters or digits: with just one, and the others.
+
+    The planes that have such characters are the first one and those of styled letters and of enclosed ones.
+    """
+    one, more = {}, {}
+    for point in (*range(0xA0, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)):
         c = chr(point)
-        base = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not 0x300 <= ord(x) <= 0x36F)
-        if len(base) == 1 and base.isascii() and base != c:
-            pairs.append((c, base))
-    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not 0x300 <= ord(x) <= 0x36F)
+        if c == c.lower() and base != c and re.search("[a-z0-9]", base):
+            (one if len(base) == 1 else more)[c] = base
+    return one, more
+
+
+FOLD_ONE, FOLD_MORE = _folded()
+_HAS_MORE = "[" + "".join(FOLD_MORE) + "]"
 
 
-FOLD_FROM, FOLD_TO = _folded()
+def _spelled(low: Column) -> Column:
+    """Ligatures, fractions and other signs written out; texts without any stay as they are."""
+    table = F.create_map(*[F.lit(x) for pair in FOLD_MORE.items() for x in pair])
+    parts = F.transform(F.split(low, ""), lambda c: F.when(c.rlike(_HAS_MORE), F.try_element_at(table, c)).otherwise(c))
+    return F.when(low.rlike(_HAS_MORE), F.array_join(parts, "")).otherwise(low)
 
 
 def slug(text: Column) -> Column:
-    """Lower case, accents dropped, & as `and`, every other run of characters one hyphen."""
-    low = F.translate(F.lower(F.coalesce(text, F.lit(""))), FOLD_FROM, FOLD_TO)
+    """Lower case, compatibility characters as plain ones, accents dropped, & as `and`, every other run one hyphen."""
+    low = F.translate(_spelled(F.lower(F.coalesce(text, F.lit("")))), "".join(FOLD_ONE), "".join(FOLD_ONE.values()))
     plain = F.regexp_replace(F.regexp_replace(low, r"[\x{300}-\x{36F}]", ""), "&", " and ")
     return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", "")
 

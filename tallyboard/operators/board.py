@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyboard import config as C
 from tallyboard.functions.text import deal_id, evidence_url, millis
-from tallyboard.operators import gates, identity, pricing, scoring, windows
+from tallyboard.operators import gates, hunting, identity, pricing, scoring, windows
+from tallyboard.schemas import NO_BOOK
+from tallyboard.sources.listings import _top_level
 
 
 def dedupe_slices(listings: DataFrame) -> DataFrame:
@@ -99,9 +104,8 @@ def publish_closing(rows: DataFrame, conf: C.Config) -> DataFrame:
 
 
 def publish_hunt(rows: DataFrame) -> DataFrame:
-    """Priced hits by rank, then unpriced ones by newest date, then id."""
-    when = F.coalesce("listed_at", "surfaced_at")
-    return rows.orderBy(F.col("no_book"), F.when(~F.col("no_book"), F.col("rank")).desc_nulls_last(), F.when(F.col("no_book"), when).desc_nulls_last(), "id")
+    """One row: the hunt's hits as published, priced ones by rank, then unpriced ones by newest date, then id."""
+    return published(rows, NO_BOOK, [hunting.board_order()])
 
 
 # --- statistics ---------------------------------------------------------------------------------
@@ -145,6 +149,23 @@ def by_slice(swept: DataFrame) -> DataFrame:
     return swept.groupBy("slice").agg(F.count(F.lit(1)).alias("calls"), F.sum("n").alias("listings"))
 
 
+#: Columns that come first where they are there.
+SLICE_FIRST = ("calls", "listings", "identified", "surfaced")
+
+
+def slice_columns(counts: DataFrame, key: str, name: str, value: str, first: Sequence[str] = SLICE_FIRST, most: int = 1000) -> DataFrame:
+    """A row per key with a column for every name that has a finite number: those of `first`, then the others by name.
+
+    The names are found in a first pass; more than `most` of them are an error. A number that a key lacks is null.
+    """
+    finite = counts.filter(F.col(name).isNotNull() & F.col(value).isNotNull() & (F.abs(F.col(value).cast("double")) < float("inf")))
+    found = [r[0] for r in finite.select(name).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} columns")
+    order = [x for x in first if x in found] + sorted(x for x in found if x not in first)
+    return finite.groupBy(key).pivot(name, order).agg(F.sum(value)) if order else finite.select(key).distinct()
+
+
 def flat_reasons(counts: DataFrame) -> DataFrame:
     """Totals by reason over lenses, most first."""
     return counts.groupBy("reason").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "reason")
@@ -166,21 +187,59 @@ def filtered(published: DataFrame, vertical: str = "all", most_risk: str = "D")
     return out if vertical == "all" else out.filter(F.col("vertical") == vertical)
 
 
-def near_misses(judged: DataFrame, vertical: str, cap: int = 5) -> DataFrame:
+def near_misses(judged: DataFrame, vertical: str, cap: int = 5, order: Sequence[str] = ("slice_ord", "pos", "item_id")) -> DataFrame:
     """First listings of a vertical that matched and failed, only where none of it surfaced."""
-    own = judged.filter((F.col("vertical") == vertical) & (F.col("matched") | F.col("ladder")))
-    if own.filter(F.col("gate_reason").isNull()).isEmpty():
-        return own.orderBy(*[c for c in ("slice_ord", "pos", "item_id") if c in own.columns]).select("title", "all_in", "med", "depth").limit(cap)
-    return own.limit(0).select("title", "all_in", "med", "depth")
+    own = judged.filter((F.col("vertical") == vertical) & (F.col("matched") | F.col("ladder"))).select("item_id", "title", "all_in", "med", "depth", "gate_reason", *[c for c in order if c != "item_id"])
+    surfaced = own.filter(F.col("gate_reason").isNull())
+    return windows.top(own if surfaced.isEmpty() else own.limit(0), [F.col(c) for c in order], cap).select("item_id", "title", "all_in", "med", "depth")
 
 
-def artifact(deal_rows: DataFrame, built_at: str, book_built_at: str, closing: DataFrame | None = None, lead_rows: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
-    """The board as one JSON document. Lists are capped, so one row holds them; absent optional fields are left out."""
+#: Published name -> column where the two differ by more than the case of a word's first letter.
+_COLUMN = {"itemPrice": "price", "shipping": "shipping_cost", "edgeUsd": "edge", "currentBid": "price", "allInBid": "all_in", "huntLabel": "label"}
+
+
+def published(rows: DataFrame, ddl: str, order: list[Column]) -> DataFrame:
+    """One row: `section`, the rows in order as structs of a published type (ddl); fields without a column are left out.
+
+    isNew is there only where it holds.
+    """
+    fields = []
+    for field in _top_level(ddl):
+        name = field.split(":")[0]
+        column = _COLUMN.get(name, re.sub("[A-Z]", lambda m: "_" + m[0].lower(), name))
+        if column in rows.columns:
+            value = F.when(F.col(column), True) if name == "isNew" else F.col(column)
+            fields.append(value.alias(name))
+    key = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+    listed = F.sort_array(F.collect_list(F.struct(key.alias("o"), F.struct(*fields).alias("r"))))
+    return rows.agg(F.transform(listed, lambda x: x["r"]).alias("section"))
+
+
+def artifact(
+    deal_rows: DataFrame, built_at: str, book_built_at: str, closing: DataFrame | None = None, lead_rows: DataFrame | None = None, stats: DataFrame | None = None,
+    per_vertical_rows: DataFrame | None = None, hunt: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    """The board as one JSON document. Lists are capped, so one row holds them; absent optional fields are left out.
+
+    per_vertical_rows: per_vertical()'s; hunt: its targets and its hits, each as published() gives them.
+    deal_rows, closing and lead_rows: rows as they are to be written, or published()'s one row.
+    """
     spark = deal_rows.sparkSession
     parts = spark.createDataFrame([(1, built_at, book_built_at)], "schema int, builtAt string, bookBuiltAt string")
+
+    def section(rows: DataFrame, name: str) -> DataFrame:
+        return rows.withColumnRenamed("section", name) if rows.columns == ["section"] else rows.agg(F.collect_list(F.struct(*rows.columns)).alias(name))
+
     for name, rows in (("deals", deal_rows), ("closing", closing), ("leads", lead_rows)):
         if rows is not None:
-            parts = parts.crossJoin(rows.agg(F.collect_list(F.struct(*rows.columns)).alias(name)))  # one row by one row
+            parts = parts.crossJoin(section(rows, name))  # one row by one row
+    if per_vertical_rows is not None:
+        counts = F.struct("vertical", F.struct("polled", "matched", "surfaced"))
+        parts = parts.crossJoin(per_vertical_rows.agg(F.map_from_entries(F.sort_array(F.collect_list(counts))).alias("perVertical")))
+    if hunt is not None:
+        targets, hits = hunt
+        both = section(targets, "targets").crossJoin(section(hits, "deals"))
+        parts = parts.crossJoin(both.select(F.struct("targets", "deals").alias("hunt")))
     if stats is not None:
         parts = parts.crossJoin(stats.select(F.struct(*stats.columns).alias("stats")).limit(1))
     return parts.select(F.to_json(F.struct(*parts.columns)).alias("value"))

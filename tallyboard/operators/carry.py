@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyboard import config as C
 from tallyboard.functions.text import millis
-from tallyboard.operators import gates, scoring
+from tallyboard.operators import gates, ranks, scoring
 
 
 def candidates(prior: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -123,15 +123,19 @@ def resolve(ledger: DataFrame, gone: DataFrame, now: str) -> DataFrame:
 
 
 def tape_summary(ledger: DataFrame) -> DataFrame:
-    """One row: total, sold, sold_pct, live, and the median of final price / book median over sold ones."""
+    """One row: total, sold, sold_pct, live, and the median of final price / book median over sold ones.
+
+    The median is selected by rank, so no task sees all ratios.
+    """
     ratio = F.when((F.col("outcome") == "sold") & F.col("final_price").isNotNull() & (F.col("med") > 0), F.col("final_price") / F.col("med"))
     n, sold = F.count(F.lit(1)), F.count_if(F.col("outcome") == "sold")
     pct = F.when(n > 0, F.floor(sold * 100 / n + 0.5)).otherwise(0).cast("long")
-    return ledger.agg(n.alias("total"), sold.alias("sold"), pct.alias("sold_pct"), F.count_if(F.col("outcome") == "live").alias("live"), F.median(ratio).alias("median_final"))
+    return ledger.agg(n.alias("total"), sold.alias("sold"), pct.alias("sold_pct"), F.count_if(F.col("outcome") == "live").alias("live"), F.lit(ranks.median(ledger, ratio)).cast("double").alias("median_final"))
 
 
-def newest_first(ledger: DataFrame) -> DataFrame:
-    return ledger.orderBy(F.col("surfaced_at").desc(), "id")
+def newest_first(ledger: DataFrame, cap: int) -> DataFrame:
+    """The newest receipts, as a distributed top-k."""
+    return ledger.orderBy(F.col("surfaced_at").desc(), "id").limit(cap)
 
 
 def deal_receipts(deals: DataFrame, ledger: DataFrame) -> DataFrame:

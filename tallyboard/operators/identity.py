@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyboard.functions.text import blank_to_null, found, half_up, has, pattern, slug
+from tallyboard.functions.text import blank_to_null, found, has, pattern, slug
 
 
 def aspect(name: str) -> Column:
@@ -348,27 +348,3 @@ def identify(listings: DataFrame, order: Column, names: Sequence[str] = tuple(MA
     best = F.get(F.array_sort(F.filter(options, lambda o: o["key"].isNotNull())), F.lit(0))
     out = keys.withColumn("_best", best)
     return out.withColumn("key", F.col("_best.key")).withColumn("vertical", F.col("_best.vertical")).drop("_best", *[f"_key_{n}" for n in names])
-
-
-#: Words that a book key's autograph format is searched by, and each vertical's category.
-FORMAT_WORDS = {"als": "autograph letter signed", "tls": "typed letter signed", "ans": "autograph note signed", "aqs": "autograph quotation signed", "ds": "document signed", "ls": "letter signed", "check": "signed check", "sp": "signed photo", "book": "signed book"}
-SEARCH_CATEGORY = {"sports-cards": "261328", "pokemon": "183454", "art-editions": "360", "autographs": "14429"}
-
-
-def queries_for(book: DataFrame) -> DataFrame:
-    """(key, vertical, q, category_id, price_min, price_max) for book rows (k, v, lo, hi); watches and design have none."""
-    seg = F.split("k", r"\|")
-    at = [F.coalesce(F.get(seg, F.lit(i)), F.lit("")) for i in range(5)]
-    words = [F.replace(x, F.lit("-"), F.lit(" ")) for x in at]
-    card = F.concat_ws(" ", F.nullif(words[0], F.lit("")), F.nullif(at[1], F.lit("")), F.nullif(at[2], F.lit("")), F.concat(F.lit("#"), at[3]), F.when(~at[4].isin("raw", ""), at[4]))
-    edition = F.when(at[3] == "1st", "1st Edition").when(at[3] == "shadowless", "Shadowless").otherwise("")
-    grade = F.regexp_replace(at[4], "^([A-Za-z]+)([0-9.]+)$", "$1 $2")
-    monster = F.concat_ws(" ", at[0], F.lit("Pokemon"), words[1], F.concat(F.lit("#"), at[2]), edition, grade)
-    format_words = F.lit("signed")
-    for name, phrase in FORMAT_WORDS.items():
-        format_words = F.when(at[1] == name, phrase).otherwise(format_words)
-    text = F.when(F.col("v") == "sports-cards", card).when(F.col("v") == "pokemon", monster).when(F.col("v") == "art-editions", F.concat_ws(" ", words[0], words[1])).when(F.col("v") == "autographs", F.concat_ws(" ", words[0], format_words))
-    category = F.lit(None).cast("string")
-    for name, c in SEARCH_CATEGORY.items():
-        category = F.when(F.col("v") == name, c).otherwise(category)
-    return book.filter(F.col("v").isin(*SEARCH_CATEGORY)).select(F.col("k").alias("key"), F.col("v").alias("vertical"), F.trim(F.regexp_replace(text, " +", " ")).alias("q"), category.alias("category_id"), half_up(F.col("lo") * 0.5).alias("price_min"), half_up(F.col("hi") * 1.15).alias("price_max"))

@@ -97,14 +97,16 @@ def leading_player(title: Column) -> Column:
     """Slug of the first two tokens if both look like names."""
     tokens = F.split(F.trim(title), r"\s+")
     pair = [F.get(tokens, F.lit(i)) for i in (0, 1)]
-    named = pair[0].rlike(I.NAME_TOKEN) & pair[1].rlike(I.NAME_TOKEN)
+    bare = [F.regexp_replace(t, "[.,]+$", "") for t in pair]
+    named = bare[0].rlike(I.NAME_TOKEN) & bare[1].rlike(I.NAME_TOKEN)
     return F.when(named, F.nullif(slug(F.concat_ws(" ", *pair)), F.lit("")))
 
 
 def with_context(listings: DataFrame, context: DataFrame, hint: Column) -> DataFrame:
     """Rollup of the title's class, else of its signer if signed, else of its player if game-used and hunted as sports.
 
-    A class without a rollup doesn't end the search. context: (kind, k, med, lo, hi, n, last_sale).
+    A class without a rollup doesn't end the search. context: (kind, k, med, lo, hi, n, last_sale); of rows that
+    share kind and k the last by a column `ord` counts, or without one the largest by all fields.
     """
     asks = (
         ("class", class_of(F.col("title"))),
@@ -113,8 +115,9 @@ def with_context(listings: DataFrame, context: DataFrame, hint: Column) -> DataF
     )
     out = listings.withColumns({f"_ask{i}": ask for i, (_, ask) in enumerate(asks)})
     fields = ("kind", "k", "med", "lo", "hi", "n", "last_sale")
+    last = F.col("ord") if "ord" in context.columns else F.struct(*fields)
     for i, (kind, _) in enumerate(asks):
-        rows = context.filter(F.col("kind") == kind).groupBy(F.col("k").alias(f"_k{i}")).agg(F.last(F.struct(*fields)).alias(f"_c{i}"))
+        rows = context.filter(F.col("kind") == kind).groupBy(F.col("k").alias(f"_k{i}")).agg(F.max_by(F.struct(*fields), last).alias(f"_c{i}"))
         out = out.join(rows, F.col(f"_ask{i}") == F.col(f"_k{i}"), "left")
     return out.withColumn("context", F.coalesce("_c0", "_c1", "_c2")).drop(*[f"_{x}{i}" for x in ("ask", "k", "c") for i in range(3)])
 
@@ -149,6 +152,46 @@ def query_tokens(q: Column) -> Column:
     return F.filter(F.split(F.lower(q), r"\s+"), lambda w: (w != "") & ~w.isin(*QUERY_STOP))
 
 
+#: Characters of the parts of words by which titles and entries meet; shorter words meet by all they have.
+GRAM = 3
+
+
+def _grams(words: Column) -> Column:
+    """All parts of one to GRAM characters of words, with the length of the word's longest part where it is shorter."""
+    def of(w: Column, n: int) -> Column:
+        return F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.concat(*[of(w, n) for n in range(1, GRAM + 1)]))))
+
+
+def relevant_pairs(titles: DataFrame, entries: DataFrame) -> DataFrame:
+    """titles joined to the entries that relevant() lets them suit, for any number of entries.
+
+    titles: with `title`; entries: hunt_id, q, title_must, title_not, vertical. Every word of a query is a part of a
+    title's word, so the two share the query's rarest part of GRAM characters (of its longest word, if all are shorter):
+    they meet there and nowhere else, and an entry with a part that no title has meets nothing. Entries whose query has
+    no words meet every title; they are an array on each row, and more than 64 of them are an error.
+    """
+    low = F.split(F.lower("title"), r"\s+")
+    asked = entries.withColumn("_words", F.when(F.col("q").isNotNull(), query_tokens(F.col("q"))))
+    worded = asked.filter(F.size("_words") > 0)
+    open_ = asked.filter(F.col("_words").isNull() | (F.size("_words") == 0)).drop("_words")
+    parts = titles.select(F.explode(_grams(low)).alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_n"))
+    longest = F.least(F.lit(GRAM), F.array_max(F.transform("_words", F.length)))
+    own = worded.select("hunt_id", "q", "title_must", "title_not", "vertical", F.explode(F.filter(_grams(F.col("_words")), lambda g: F.length(g) == longest)).alias("_gram"))
+    counted = own.join(parts, "_gram", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rarest = counted.groupBy("hunt_id").agg(F.min_by(F.struct("q", "title_must", "title_not", "vertical", "_gram", "_n"), F.struct("_n", "_gram")).alias("e")).select("hunt_id", "e.*").filter("_n > 0").drop("_n")
+    used = rarest.select("_gram").distinct()
+    met = titles.withColumn("_gram", F.explode(_grams(low))).join(used, "_gram", "left_semi").join(rarest, "_gram").drop("_gram")
+    few = open_.limit(65).collect()
+    if len(few) > 64:
+        raise ValueError("more than 64 entries without words")
+    if few:
+        kind = [F.struct(*[F.lit(r[c]).cast("string").alias(c) for c in ("hunt_id", "q", "title_must", "title_not", "vertical")]) for r in few]
+        met = met.unionByName(titles.withColumn("_e", F.explode(F.array(*kind))).select(*titles.columns, "_e.*"))
+    return met.filter(relevant(F.col("title"), F.col("q"), F.col("title_must"), F.col("title_not"), F.col("vertical")))
+
+
 def relevant(title: Column, q: Column, must: Column, unwanted: Column, vertical: Column) -> Column:
     """Whether a hit suits its hunt entry: its patterns, all words of its query, and its vertical's look.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyboard import config as C
+from tallyboard.operators import ranks
 
 
 def first_wins(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -49,13 +50,8 @@ def goldmine_window(pool: DataFrame, per_run: int, conf: C.Config) -> DataFrame:
 
 
 def receipts_window(ledger: DataFrame, conf: C.Config) -> DataFrame:
-    """This tick's live receipts to check: a window that slides by one."""
-    live = ledger.filter("outcome = 'live'")
-    size = live.count()
-    start = (conf.now_ms // conf.tick_ms) % size if size else 0
-    w = Window.orderBy("ord")
-    placed = live.withColumn("_rn", F.row_number().over(w) - 1).withColumn("place", F.pmod(F.col("_rn") - start, F.lit(max(1, size))))
-    return placed.filter(F.col("place") < conf.receipts_per_tick).drop("_rn")
+    """This tick's live receipts to check: a window that slides by one. `ord` is the receipts' own number, without ties."""
+    return ranks.circular(ledger.filter("outcome = 'live'"), "ord", conf.now_ms // conf.tick_ms, conf.receipts_per_tick)
 
 
 def top(rows: DataFrame, order: list[Column], cap: int) -> DataFrame:

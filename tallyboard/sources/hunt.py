@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-import os
 import re
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyboard.schemas import HUNT_ENTRY
+from tallyboard.sources.listings import _exists
 
 try:
     import yaml
@@ -83,13 +83,14 @@ def entries(spark: SparkSession, parsed: list | None) -> DataFrame:
 
 
 def read_hunt(spark: SparkSession, path: str) -> DataFrame:
-    if not os.path.exists(path):
+    """The hunt list at any path that Spark reads; a missing file is an empty list."""
+    if not _exists(spark, path):
         return entries(spark, None)
     if yaml is None:
         raise RuntimeError("reading a hunt list needs PyYAML")
-    with open(path, encoding="utf-8") as f:
-        try:
-            parsed = yaml.safe_load(f)
-        except yaml.YAMLError as e:
-            raise ValueError(f"the hunt list is no YAML: {e}") from None
+    text = spark.read.text(path, wholetext=True).first()
+    try:
+        parsed = yaml.safe_load(text[0] if text else "")
+    except yaml.YAMLError as e:
+        raise ValueError(f"the hunt list is no YAML: {e}") from None
     return entries(spark, parsed)

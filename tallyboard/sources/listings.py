@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyboard import config as C
 from tallyboard.functions.text import number
+from tallyboard.operators import ranks
 from tallyboard.schemas import RAW_LISTING
 
 
@@ -93,17 +96,29 @@ def _colons(ddl: str) -> str:
     return ", ".join(f.replace(" ", ": ", 1) for f in _top_level(ddl))
 
 
-def search(listings: DataFrame, words: str, conf: C.Config, posture: str = "bin", price_min: float | None = None, price_max: float | None = None, cap: int = 50) -> DataFrame:
-    """Keyword search over listings: all words in the title; `all` drops the posture and the lower price."""
+def search(
+    listings: DataFrame, words: str, posture: str = "bin", price_min: float | None = None, price_max: float | None = None, cap: int = 50,
+    categories: list[str] | None = None, aspects: dict[str, list[str]] | None = None,
+) -> DataFrame:
+    """Keyword search over listings: all words in the title, one of the categories, of each named aspect one of its values.
+
+    Prices are bounded by whole units, the lower one floored and the upper one ceiled. `all` drops the posture and the
+    lower price: an auction's price is its bid so far.
+    """
     out = listings
+    if categories:
+        out = out.filter(F.col("category").isin(*categories))
+    for name, values in (aspects or {}).items():
+        of_name = F.filter("aspects", lambda a: a["name"] == name)  # noqa: B023  built at once
+        out = out.filter(F.exists(of_name, lambda a: a["value"].isin(*values)))  # noqa: B023
     for w in words.lower().split():
         out = out.filter(F.contains(F.lower("title"), F.lit(w)))
     if posture == "bin":
         out = out.filter(F.array_contains("buying_options", "FIXED_PRICE"))
         if price_min is not None:
-            out = out.filter(F.col("price") >= price_min)
+            out = out.filter(F.col("price") >= math.floor(price_min))
     if price_max is not None:
-        out = out.filter(F.col("price") <= price_max)
+        out = out.filter(F.col("price") <= math.ceil(price_max))
     return out.orderBy(F.col("listed_at").desc_nulls_last(), "item_id").limit(cap)
 
 
@@ -122,6 +137,31 @@ def lookup(ids: DataFrame, snapshot: DataFrame, failed: DataFrame | None = None)
     return known.unionByName(asked.join(unread, "item_id", "left_semi").withColumn("checked", F.lit(False)), allowMissingColumns=True)
 
 
+def lookup_batches(ids: DataFrame, snapshot: DataFrame, failed: DataFrame, refused: int | None = None, errors: DataFrame | None = None, singles: int = 400, size: int = 20) -> DataFrame:
+    """Point lookup of (item_id, ord) in batches of `size` in order: ids with batch, state and the snapshot's columns.
+
+    failed: (batch) of those whose read failed. refused: the first batch that the market refused; from there on items are
+    read one by one, `singles` at most, and errors: (item_id) are those whose own read failed. A batch counts only as a
+    whole: where one read of it fails or is beyond the budget, all its items are `unread`. An item of a batch that counts
+    is `alive` if the snapshot has it and `gone` if not.
+    """
+    placed = ranks.numbered(ids, "ord").withColumn("batch", F.floor(F.col("rank") / size).cast("long"))
+    bad = failed.select("batch").distinct()
+    if refused is not None:
+        bad = bad.filter(F.col("batch") < refused)
+        whole = placed.filter(F.col("batch") >= refused)
+        late = whole.filter(F.col("rank") - refused * size >= singles).select("batch")
+        bad = bad.unionByName(late)
+        if errors is not None:
+            bad = bad.unionByName(whole.join(errors.select("item_id").distinct(), "item_id", "left_semi").select("batch"))
+    bad = bad.distinct().withColumn("_bad", F.lit(True))
+    rows = placed.join(bad, "batch", "left").join(snapshot.withColumn("_there", F.lit(True)), "item_id", "left")
+    unread = F.coalesce("_bad", F.lit(False))
+    state = F.when(unread, "unread").when(F.col("_there"), "alive").otherwise("gone")
+    seen = [F.when(~unread, F.col(c)).alias(c) for c in snapshot.columns if c != "item_id"]
+    return rows.select("item_id", "ord", "batch", state.alias("state"), *seen)
+
+
 def enrich(listings: DataFrame, items: DataFrame) -> DataFrame:
     """listings with condition, aspects and enriched from items where these have the id."""
     more = items.select(F.col("item_id").alias("_id"), F.col("aspects").alias("_aspects"), F.col("condition").alias("_condition"), F.lit(True).alias("_hit"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyboard import config as C
 from tallyboard.functions import text as T
-from tallyboard.operators import board, gates, identity, pricing, scoring
+from tallyboard.operators import board, gates, hunting, identity, pricing, scoring
 from tallyboard.sources import book as book_source
 from tallyboard.sources import listings as listing_source
 
@@ -175,8 +175,8 @@ def test_book(spark, book, tmp_path):
     (tmp_path / "old.json").write_text(json.dumps(BOOK | {"builtAt": "2026-08-01"}))
     assert book_source.read_book(spark, str(tmp_path / "old.json"), CONF).stale
     assert not book_source.read_or_sample(spark, str(tmp_path / "none"), str(tmp_path / "old.json"), CONF).stale
-    q = {r["key"]: (r["q"], r["price_min"], r["price_max"]) for r in identity.queries_for(book.rows).collect()}
-    assert q["marlon-keel|1984|donruss|212|PSA6"] == ("marlon keel 1984 donruss #212 PSA6", 3000, 10350) and "rolex|16234" not in q
+    q = {r["key"]: (r["q"], r["price_min"], r["price_max"]) for r in hunting.compile_pool(book.rows).select(F.col("k").alias("key"), "q", "price_min", "price_max").collect()}
+    assert q["marlon-keel|1984|donruss|212|PSA6"] == ("marlon keel 1984 donruss #212 PSA6", 3000, 10350) and q["rolex|16234"][0] == "rolex 16234"
 
 
 def test_pricing_with_ladder(spark, book):
