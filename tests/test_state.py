@@ -135,9 +135,65 @@ def test_versions(spark, tmp_path):
     assert state.load(spark, root, "other", "x int").count() == 0
     with pytest.raises(FileExistsError):
         state.commit({"seen": spark.range(1)}, root, "v3")
-    (tmp_path / "state" / "current").unlink()
-    with pytest.raises(FileNotFoundError):
-        state.load(spark, root, "seen", "item_id string")
+
+
+def _commit(spark, root, value, stamp, **more):
+    return state.commit({"seen": spark.createDataFrame([(value,)], "item_id string"), "published": spark.createDataFrame([(value, value)], "item_id string, copy string")}, root, stamp, **more)
+
+
+def _value(spark, root):
+    rows = state.load(spark, root, "seen", "item_id string").collect()
+    copies = state.load(spark, root, "published", "item_id string, copy string").collect()
+    assert [r[0] for r in rows] == [r["copy"] for r in copies]
+    return rows[0][0] if rows else None
+
+
+def test_cut_off_commit_reads_as_before(spark, tmp_path):
+    """Files of a commit without a log entry are no state: empty before the first one, else the one before."""
+    root = str(tmp_path / "state")
+    spark.createDataFrame([("half",)], "item_id string").write.parquet(f"{root}/versions/20260101T00/seen")
+    assert _value(spark, root) is None and state.base(spark, root) == 0
+    _commit(spark, root, "a", "20260101T00")
+    assert _value(spark, root) == "a"
+    spark.createDataFrame([("half",)], "item_id string").write.parquet(f"{root}/versions/20260101T03/seen")
+    assert _value(spark, root) == "a"
+    _commit(spark, root, "b", "20260101T06")
+    assert _value(spark, root) == "b" and not (tmp_path / "state" / "versions" / "20260101T03").exists()
+
+
+def test_second_writer_is_refused(spark, tmp_path):
+    root = str(tmp_path / "state")
+    _commit(spark, root, "a", "20260101T00", on=0)
+    seen = state.base(spark, root)
+    _commit(spark, root, "b", "20260101T03", on=seen)
+    with pytest.raises(state.Conflict):
+        _commit(spark, root, "c", "20260101T03b", on=seen)
+    assert _value(spark, root) == "b" and state.versions(spark, root) == ["20260101T03", "20260101T00"]
+    assert not (tmp_path / "state" / "versions" / "20260101T03b").exists()
+
+
+def test_damaged_part_falls_back(spark, tmp_path):
+    root = str(tmp_path / "state")
+    for i, value in enumerate("abc"):
+        _commit(spark, root, value, f"20260101T0{i}")
+    part = next((tmp_path / "state" / "versions" / "20260101T02" / "seen").glob("part-*"))
+    content = part.read_bytes()
+    part.write_bytes(content[:-9] + bytes([content[-9] ^ 1]) + content[-8:])
+    (part.parent / f".{part.name}.crc").unlink()
+    assert state.damaged(spark, root, "20260101T02") == [f"seen/{part.name}"]
+    assert _value(spark, root) == "b"
+    next((tmp_path / "state" / "versions" / "20260101T01" / "published").glob("part-*")).unlink()
+    assert _value(spark, root) == "a"
+    next((tmp_path / "state" / "versions" / "20260101T00" / "seen").glob("part-*")).unlink()
+    with pytest.raises(state.Damaged):
+        _value(spark, root)
+
+
+def test_daily_versions_stay(spark, tmp_path):
+    root = str(tmp_path / "state")
+    for stamp in ("20260101T00", "20260101T12", "20260102T00", "20260102T12", "20260103T00", "20260103T12"):
+        _commit(spark, root, stamp, stamp, keep=1)
+    assert state.versions(spark, root) == ["20260103T12", "20260102T12", "20260101T12"]
 
 
 def test_listing_files(spark, tmp_path):
