@@ -312,11 +312,22 @@ def tape_summary(spark, sf_dir):
     return out.select("total", "sold", "sold_pct", "live", F.floor(F.col("median_final") * 10000 + 0.5).cast("long").alias("median_bp"))
 
 
+_PER_RUN = f"floor(({budget.DAILY} - floor({budget.DAILY} * {budget.HUNT_SHARE}::DOUBLE)) / {budget.RUNS})"
+
+
 @query(
-    "SELECT * FROM (VALUES " + ", ".join(f"('{s[0]}', {p}, 91)" for s, p in zip(C.SLICES, [{"auction": 39, "cards": 55, "other": 20}[s[4]] for s in C.SLICES])) + ") t(slice, pages, goldmine)"
+    f"""WITH plan AS (SELECT p_brand AS slice, CASE min(p_partkey) % 3 WHEN 0 THEN 'auction' WHEN 1 THEN 'cards' ELSE 'other' END AS lane FROM part GROUP BY p_brand),
+    has AS (SELECT count(*) FILTER (lane = 'auction') > 0 AS auctions, count(*) FILTER (lane = 'cards') > 0 AS cards FROM plan),
+    a AS (SELECT *, floor({_PER_RUN} * {budget.AUCTION_SHARE}::DOUBLE) * auctions::INTEGER AS auction FROM has),
+    g AS (SELECT *, floor(({_PER_RUN} - auction) * {budget.GOLDMINE_SHARE}::DOUBLE) AS goldmine FROM a),
+    c AS (SELECT *, {_PER_RUN} - auction - goldmine AS bin, floor(({_PER_RUN} - auction - goldmine) * {budget.CARDS_SHARE}::DOUBLE) * cards::INTEGER AS for_cards FROM g)
+    SELECT slice, floor(CASE lane WHEN 'auction' THEN auction WHEN 'cards' THEN for_cards ELSE bin - for_cards END / count(*) OVER (PARTITION BY lane))::INTEGER AS pages, goldmine::INTEGER AS goldmine FROM plan, c"""
 )
 def budget_allocation(spark, sf_dir):
-    out = budget.allocate(budget.slices(spark))
+    """Pages of each brand's slice this run; a brand's first part decides on its lane."""
+    lane = F.min("p_partkey") % 3
+    plan = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("slice")).agg(F.when(lane == 0, "auction").when(lane == 1, "cards").otherwise("other").alias("lane"))
+    out = budget.allocate(plan)
     return out.select("slice", F.col("pages").cast("int").alias("pages"), F.col("goldmine").cast("int").alias("goldmine"))
 
 
@@ -506,10 +517,15 @@ def class_canon(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", identity.first_of(F.col("p_name"), rules).alias("class"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(replace(lower(strip_accents(regexp_extract(text, '[^\\n]*'))), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
+_NAME_SLUG = "regexp_replace(regexp_replace(replace(lower(strip_accents(name)), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@query(f"SELECT kind, id, {_NAME_SLUG} AS slug FROM (SELECT 'part' AS kind, p_partkey AS id, p_name || ' & ' || p_brand AS name FROM part UNION ALL SELECT 'customer', c_custkey, c_name || '  ' || c_mktsegment FROM customer)")
 def slug_names(spark, sf_dir):
-    """Slugs of the documents' first lines."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.substring_index("text", "\n", 1)).alias("slug"))
+    """Slugs of whole names: of parts with their brand, and of customers."""
+    parts = table(spark, sf_dir, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" & "), "p_brand").alias("name"))
+    people = table(spark, sf_dir, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.concat("c_name", F.lit("  "), "c_mktsegment").alias("name"))
+    return parts.unionByName(people).select("kind", "id", T.slug(F.col("name")).alias("slug"))
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(replace(lower(strip_accents(coalesce(text, ''))), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")

@@ -77,7 +77,7 @@ TITLES = {
     ),
     "design": (
         lambda: F.concat(F.lit("Eames LCM-"), (F.col("pk") % 9000 + 1).cast("string"), _when(4, " style of"), F.lit(" chair")),
-        "CASE WHEN pk % 4 > 0 THEN 'charles-eames|lcm' || (pk % 9000 + 1)::VARCHAR END",
+        "CASE WHEN pk % 4 > 0 AND NOT regexp_matches((pk % 9000 + 1)::VARCHAR, '^(19|20)..$') THEN 'charles-eames|lcm' || (pk % 9000 + 1)::VARCHAR END",  # years are no codes
     ),
 }
 

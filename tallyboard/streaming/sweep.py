@@ -62,11 +62,6 @@ def first_looks(stream: DataFrame, time_col: str, key: list[str], ttl: str = "7
     return stream.withWatermark(time_col, ttl).dropDuplicatesWithinWatermark(key)
 
 
-def on_time(stream: DataFrame, time_col: str) -> DataFrame:
-    """Watermark without allowed lateness: what comes before the newest time of earlier batches is late."""
-    return stream.withWatermark(time_col, "0 seconds")
-
-
 def tick_counts(rows: DataFrame, time_col: str, by: str, ms: int = 3 * C.HOUR_MS) -> DataFrame:
     """Rows per tumbling tick and group; works on tables and streams."""
     w = F.window(time_col, f"{ms} milliseconds")

@@ -5,7 +5,7 @@ import os
 import oracle
 import pytest
 
-from tallyboard.plans import catalog, lanes, tick  # noqa: F401
+from tallyboard.plans import aspects, catalog, lanes, market, tick  # noqa: F401
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(oracle.DATA), reason="no test tables")
 
