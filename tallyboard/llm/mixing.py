@@ -16,8 +16,10 @@ target, is the source's cumulative demand, and inverting it at a document's star
 [0, 1] at which training reaches it. Rows are range-sorted by position.
 
 Cases: null text has size 0; null sources form one source, ordered last; empty and zero-sized sources
-have target 0; repeated rows count each; an empty table gives an empty result. Only id, source and
-text are read, so other columns' names never clash.
+have target 0; repeated rows count each; an empty table gives an empty result. A very long text is one
+document of its size: taken or not as a whole, so its source may miss the target by half of it. Sources are
+water-filled in one task, so there should be thousands of them at most. Only id, source and text are read,
+so other columns' names never clash.
 """
 
 from __future__ import annotations
