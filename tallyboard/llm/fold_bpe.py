@@ -7,12 +7,14 @@ its byte ranges that are in the map, ascending; a fold over them replaces the tw
 token by the token, `<74><=258>`. `read_ranks` finds these two pieces for each token and proves that they are
 the only ones the token can come from, and so that no merge makes a pair of a rank that has been passed.
 
-Distinct words are counted over the whole corpus; the frequent ones, at most DISTINCT of at most
-MOST_BYTES bytes each, are folded and decoded once and become a dictionary, word -> ids, of bounded size,
-that has only words which their ids decode to. The other words of a text are folded where they stand, so nothing is shuffled but the counts, and no
-result depends on the dictionary. Decoding looks up each id's binary piece and concatenates them. Map and
-dictionary are one-row tables that a scalar subquery brings to the expressions as one block of bytes: as
-plain literals of so many entries they would be copied object by object into plans and tasks.
+Distinct words are counted over the whole corpus; the frequent ones, at most DISTINCT of at most MOST_BYTES
+bytes each, are folded and decoded once and become a dictionary, word -> ids, of bounded size, that has only
+words which their ids decode to. It is broadcast; a worker cuts a text into words and puts in the ids of those
+that the dictionary has. The other words come back with the runs between them and are folded where they stand,
+so nothing is shuffled but the counts, and no result depends on the dictionary. Decoding looks up each id's
+binary piece and concatenates them. The rank map is a one-row table that a scalar subquery brings to the
+expressions as one block of bytes: as a plain literal of so many entries it would be copied object by object
+into plans and tasks.
 
 Cases: a null text is encoded as an empty one (no ids; the digests are those of no bytes). Special
 tokens are not known. Repeated rows give repeated results; an empty table gives an empty one; columns
@@ -26,20 +28,23 @@ from __future__ import annotations
 import base64
 import json
 import math
+import uuid
 import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
+import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyboard.llm.common import discard, saved
+from tallyboard.llm.common import discard, saved, slices
 
 #: Words of the literal dictionary, and bytes of the longest one.
-DISTINCT = 3 << 18
+DISTINCT = 1 << 19
 MOST_BYTES = 48
 #: Rank maps; a map is searched from end to end, so each has a few entries.
 RANK_MAPS = 1 << 14
-#: Places of the dictionary; of the words whose CRC gives the same place the one that saves most stands there.
-WORD_PLACES = 1 << 20
 #: Places of the bitmap.
 PLACES = 1 << 18
 #: Bytes of the longest token that a vocabulary may have.
@@ -177,20 +182,51 @@ def frequent_words(docs: DataFrame, pattern: str, text_col: str, most: int = DIS
     return found
 
 
-def _place(word: Column) -> Column:
-    return (F.crc32(word.cast("binary")) % WORD_PLACES).cast("int")
+def dictionary(tables: DataFrame, words: DataFrame) -> bytes:
+    """(word, ids) of a bounded number of words, each folded once and decoded, as an Arrow stream."""
+    parts = words.select("word", tables.scalar().alias("_tables")).select("word", _let(F.col("_tables"), lambda t: RankFold(t).part(F.col("word"))).alias("part"))
+    found = parts.filter(F.col("part.back") == F.col("word")).select("word", F.col("part.ids").alias("ids")).toArrow()
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, found.schema) as stream:
+        stream.write_table(found)
+    return out.getvalue().to_pybytes()
 
 
-def with_dictionary(tables: DataFrame, words: DataFrame) -> DataFrame:
-    """The row of tables with `words`, array<struct<word, ids>> by place: a bounded number of words, each folded once."""
-    best = words.groupBy(_place(F.col("word")).alias("place")).agg(F.max_by("word", F.struct("saving", "word")).alias("word"))
-    parts = best.select("place", "word", tables.scalar().alias("_tables"))
-    parts = parts.select("place", "word", _let(F.col("_tables"), lambda t: RankFold(t).part(F.col("word"))).alias("part")).filter(F.col("part.back") == F.col("word"))
-    entries = parts.select("place", F.struct("word", F.col("part.ids").alias("ids")).alias("entry"))
-    places = words.sparkSession.range(0, WORD_PLACES, 1, 4).select(F.col("id").cast("int").alias("place")).join(entries, "place", "left")
-    blocks = places.groupBy(F.shiftright("place", 10).alias("block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "entry"))), lambda x: x["entry"]).alias("entries"))
-    known = blocks.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "entries"))), lambda x: x["entries"])).alias("words"))
-    return tables.select(F.struct("tables.*", known.scalar().alias("words")).alias("tables"))
+#: The dictionary that a worker has read, by its broadcast's name.
+_read: dict[str, dict[str, str]] = {}
+
+
+def _known(name: str, sent: Broadcast) -> dict[str, str]:
+    if name not in _read:
+        _read.clear()
+        table = pa.ipc.open_stream(sent.value).read_all()
+        _read[name] = dict(zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True))
+    return _read[name]
+
+
+def _looked_up(docs: DataFrame, words: bytes, pattern: str) -> DataFrame:
+    """_id, rare (words that the dictionary lacks), and of the runs between them ids and back (null where empty), one more."""
+    sent, name = docs.sparkSession.sparkContext.broadcast(words), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, cut = _known(name, sent).get, regex.compile(pattern).findall
+        strings = pa.list_(pa.string())
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in slices(texts):
+                rare, ids, back = [], [], []
+                for text in texts[a:b]:
+                    own = cut(text or "")
+                    found = [*map(known, own)]
+                    at = [i for i, x in enumerate(found) if x is None]
+                    runs = [*zip([0, *(i + 1 for i in at)], [*at, len(own)], strict=True)]
+                    rare.append([own[i] for i in at])
+                    ids.append([",".join(found[i:j]) if i < j else None for i, j in runs])
+                    back.append(["".join(own[i:j]) if i < j else None for i, j in runs])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(x, strings) for x in (rare, ids, back))], ["_id", "rare", "ids", "back"])
+
+    schema = f"_id {docs.schema['_id'].dataType.simpleString()}, rare array<string>, ids array<string>, back array<string>"
+    return docs.mapInArrow(run, schema)
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), most: int = DISTINCT) -> DataFrame:
@@ -202,23 +238,21 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
     """
     tables = saved(rank_tables(docs.sparkSession, vocabulary), "ranks")
     words = frequent_words(docs, pattern, text_col, most)
-    known = saved(with_dictionary(tables, words), "word-parts")
-    discard(tables, words)
+    known = dictionary(tables, words)
+    discard(words)
 
     def parts(t: Column) -> Column:
-        fold = RankFold(t)
-
-        def part(word: Column, hit: Column) -> Column:
-            return F.when(hit["word"] == word, F.struct(hit["ids"].alias("ids"), word.alias("back"))).otherwise(fold.part(word))
+        def joined(rare: Column) -> Column:
+            def between(runs: str, name: str, sign: str) -> Column:
+                return F.array_join(F.flatten(F.zip_with(runs, rare, lambda r, x: F.array(r, x[name]))), sign)
 
-        def joined(words: Column) -> Column:
-            found = F.zip_with(words, F.transform(words, lambda w: F.get(t["words"], _place(w))), part)
-            return _let(found, lambda p: F.struct(F.array_join(p["ids"], ",").alias("ids"), F.array_join(p["back"], "").alias("back")))
+            return F.struct(between("ids", "ids", ",").alias("ids"), between("back", "back", "").alias("back"))
 
-        return _let(F.regexp_extract_all(F.coalesce(F.col("_text"), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0)), joined)
+        return _let(F.transform("rare", RankFold(t).part), joined)
 
-    texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), known.scalar().alias("_tables"))
-    joined = texts.select(id_col, _let(F.col("_tables"), parts).alias("_parts"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    found = _looked_up(texts, known, pattern).withColumn("_tables", tables.scalar())
+    rows = found.select(F.col("_id").alias(id_col), _let(F.col("_tables"), parts).alias("_parts"))
     ids, back = F.col("_parts")["ids"], F.col("_parts")["back"].cast("binary")
     made = {
         "n_tokens": F.when(ids == "", F.lit(0)).otherwise(F.length(ids) - F.length(F.replace(ids, F.lit(","), F.lit(""))) + 1).cast("long"),
@@ -227,7 +261,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
         "ids_sha256": F.sha2(ids.cast("binary"), 256),
         "decoded_sha256": F.sha2(back, 256),
     }
-    return joined.select(id_col, *(made[k].alias(k) for k in outputs))
+    return rows.select(id_col, *(made[k].alias(k) for k in outputs))
 
 
 def decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
