@@ -41,6 +41,8 @@ PRIOR, SCALE = 5, 1_000_000_000
 MOST_TERMS = 50
 #: Distinct columns of a block, and shares that are in memory at once there.
 BLOCK, CELLS = 1 << 10, 1 << 21
+#: Languages up to this many (a name and a number each) may be broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 10_000
 #: Counts that a task gathers before it passes them on.
 GATHER = 1 << 18
 
@@ -129,6 +131,8 @@ def pair_values(columns: DataFrame, groups: DataFrame, block: int = BLOCK) -> Da
     columns: lang, column, times (distinct). groups: lang, source, size, terms.
     """
     blocks = columns.groupBy("lang").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    # else a language with most of the columns would be one task of the join
+    blocks = F.broadcast(blocks) if blocks.count() <= MOST_BROADCAST else blocks
     dealt = columns.join(blocks, "lang").withColumn("block", F.pmod(F.xxhash64("column"), F.col("blocks")).cast("int"))
     known = groups.join(blocks, "lang", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
     sums = dealt.select("lang", "block", "column", "times").groupBy("lang", "block").cogroup(known.select("lang", "block", "source", "size", "terms").groupBy("lang", "block"))
