@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +22,11 @@ def pattern(text: str, fold: bool = False) -> str:
     return ("(?iu)" if fold else "") + out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once for each row however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def has(text: Column, regex: str, fold: bool = True) -> Column:
     return F.coalesce(text.rlike(pattern(regex, fold)), F.lit(False))
 
@@ -28,11 +34,15 @@ def has(text: Column, regex: str, fold: bool = True) -> Column:
 def found(text: Column, regex: str, group: int = 0, fold: bool = True) -> Column:
     """The group's text in the first match; null if there is none."""
     p = pattern(regex, fold)
-    return F.when(F.coalesce(text.rlike(p), F.lit(False)), F.regexp_extract(text, p, group))
+    return let(text, lambda t: F.when(t.rlike(p), F.regexp_extract(t, p, group)))
 
 
 def blank_to_null(text: Column) -> Column:
-    return F.nullif(F.regexp_replace(text, r"^[\s\x{A0}]+|[\s\x{A0}]+$", ""), F.lit(""))
+    return empty_to_null(F.regexp_replace(text, r"^[\s\x{A0}]+|[\s\x{A0}]+$", ""))
+
+
+def empty_to_null(text: Column) -> Column:
+    return let(text, lambda t: F.when(t != "", t))
 
 
 def _folded() -> tuple[dict[str, str], dict[str, str]]:
@@ -49,8 +59,17 @@ def _folded() -> tuple[dict[str, str], dict[str, str]]:
     return one, more
 
 
+def _ranges(points: list[int]) -> str:
+    """Ordered code points as the ranges of a character class."""
+    starts = [p for i, p in enumerate(points) if i == 0 or points[i - 1] != p - 1]
+    ends = [p for i, p in enumerate(points) if i == len(points) - 1 or points[i + 1] != p + 1]
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True))
+
+
 FOLD_ONE, FOLD_MORE = _folded()
-_HAS_MORE = "[" + "".join(FOLD_MORE) + "]"
+# a class is tried range after range, so the characters of most texts are told apart by two bounds before that
+_POINTS = sorted(map(ord, FOLD_MORE))
+_HAS_MORE = rf"[[\x{{{_POINTS[0]:X}}}-\x{{BF}}\x{{100}}-\x{{{_POINTS[-1]:X}}}]&&[{_ranges(_POINTS)}]]"
 
 
 def _spelled(low: Column) -> Column:
@@ -62,7 +81,7 @@ def _spelled(low: Column) -> Column:
 
 def slug(text: Column) -> Column:
     """Lower case, compatibility characters as plain ones, accents dropped, & as `and`, every other run one hyphen."""
-    low = F.translate(_spelled(F.lower(F.coalesce(text, F.lit("")))), "".join(FOLD_ONE), "".join(FOLD_ONE.values()))
+    low = F.translate(let(F.lower(F.coalesce(text, F.lit(""))), _spelled), "".join(FOLD_ONE), "".join(FOLD_ONE.values()))
     plain = F.regexp_replace(F.regexp_replace(low, r"[\x{300}-\x{36F}]", ""), "&", " and ")
     return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", "")
 

@@ -113,8 +113,9 @@ def publish_hunt(rows: DataFrame) -> DataFrame:
 
 def reason_counts(judged: DataFrame) -> DataFrame:
     """(vertical, reason, n) over keyed rows that did not pass, by published names."""
-    cut = judged.filter(F.col("key").isNotNull() & F.col("gate_reason").isNotNull())
-    return cut.groupBy("vertical", gates.histogram_name(F.col("gate_reason")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    cut = F.col("key").isNotNull() & F.col("gate_reason").isNotNull()
+    # counted without a filter, which would find every key a second time
+    return judged.groupBy("vertical", gates.histogram_name(F.col("gate_reason")).alias("reason")).agg(F.count_if(cut).alias("n")).filter("n > 0")
 
 
 def nested_counts(counts: DataFrame, outer: str, inner: str, n: str = "n") -> DataFrame:
@@ -141,7 +142,7 @@ def per_vertical(listings: DataFrame, judged: DataFrame, more_surfaced: DataFram
 
 
 def identified_counts(identified: DataFrame) -> DataFrame:
-    return identified.filter("key IS NOT NULL").groupBy("vertical").agg(F.count(F.lit(1)).alias("n"))
+    return identified.groupBy("vertical").agg(F.count("key").alias("n")).filter("n > 0")
 
 
 def by_slice(swept: DataFrame) -> DataFrame:

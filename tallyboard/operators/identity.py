@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyboard.functions.text import blank_to_null, found, has, pattern, slug
+from tallyboard.functions.text import blank_to_null, empty_to_null, found, has, let, pattern, slug
 
 
 def aspect(name: str) -> Column:
@@ -28,10 +28,14 @@ def first_aspect(*names: str) -> Column:
 
 def first_of(text: Column, rules, otherwise: Column | None = None) -> Column:
     """Label of the first (pattern, label) that text matches."""
-    out = otherwise if otherwise is not None else F.lit(None).cast("string")
-    for regex, label in reversed(rules):
-        out = F.when(has(text, regex), F.lit(label)).otherwise(out)
-    return out
+
+    def label_of(t: Column) -> Column:
+        out = otherwise if otherwise is not None else F.lit(None).cast("string")
+        for regex, label in reversed(rules):
+            out = F.when(has(t, regex), F.lit(label)).otherwise(out)
+        return out
+
+    return let(text, label_of)
 
 
 # --- sports cards -------------------------------------------------------------------------------
@@ -53,8 +57,8 @@ CARD_NOISE = (r"\b(19|20)\d{2}(?:-\d{2})?\b", r"\b(PSA|BGS|BVG|SGC|CGC)\s*\d+(?:
 
 def card_set(text: Column) -> Column:
     """Canonical form of a set's name."""
-    name = F.trim(F.regexp_replace(F.lower(text), pattern(r"\s+"), " "))
-    return reduce(lambda out, kv: F.when(name == kv[0], F.lit(kv[1])).otherwise(out), SET_ALIASES.items(), name)
+    tidy = F.trim(F.regexp_replace(F.lower(text), pattern(r"\s+"), " "))
+    return let(tidy, lambda name: reduce(lambda out, kv: F.when(name == kv[0], F.lit(kv[1])).otherwise(out), SET_ALIASES.items(), name))
 
 
 def _set_hit() -> tuple[Column, Column]:
@@ -68,15 +72,15 @@ def _set_hit() -> tuple[Column, Column]:
 
 
 def card_player() -> Column:
-    _, end = _set_hit()
-    hash_at = F.length(found(F.col("title"), r"(?s)^(.*?)#\s?[A-Za-z0-9]", 1))
-    part = F.substr(F.col("title"), end + 1, hash_at - end)
-    for noise in CARD_NOISE:
-        part = F.regexp_replace(part, pattern(noise, True), " ")
-    name = slug(part)
-    from_title = F.when((hash_at > end) & (F.size(F.split(name, "-")) >= 2), name)
-    named = first_aspect(*PLAYER_NAMES)
-    return F.when(named.isNotNull(), slug(named)).otherwise(from_title)
+    ends = F.struct(_set_hit()[1].alias("set"), F.length(found(F.col("title"), r"(?s)^(.*?)#\s?[A-Za-z0-9]", 1)).alias("hash"))
+
+    def of_title(at: Column) -> Column:
+        part = F.substr(F.col("title"), at["set"] + 1, at["hash"] - at["set"])
+        for noise in CARD_NOISE:
+            part = F.regexp_replace(part, pattern(noise, True), " ")
+        return F.when(at["hash"] > at["set"], let(slug(part), lambda name: F.when(F.size(F.split(name, "-")) >= 2, name)))
+
+    return let(first_aspect(*PLAYER_NAMES), lambda named: F.when(named.isNotNull(), slug(named)).otherwise(let(ends, of_title)))
 
 
 def card_year() -> Column:
@@ -103,7 +107,7 @@ def card_grade() -> Column:
 
 def key_of(*parts: Column) -> Column:
     """Parts joined by |; null if any is null or empty."""
-    return F.concat(*[x for i, p in enumerate(parts) for x in ((F.lit("|"),) if i else ()) + (F.nullif(p, F.lit("")),)])
+    return F.concat(*[x for i, p in enumerate(parts) for x in ((F.lit("|"),) if i else ()) + (empty_to_null(p),)])
 
 
 def sports_cards() -> Column:
@@ -119,7 +123,7 @@ POKEMON_CERTS = ("Certification Number", "Certification #", "Cert Number", "Cert
 
 def _any_aspect(*names: str) -> Column:
     """First non-empty value over names in order."""
-    return F.coalesce(*[F.nullif(aspect(n), F.lit("")) for n in names])
+    return F.coalesce(*[empty_to_null(aspect(n)) for n in names])
 
 
 def pokemon_year() -> Column:
@@ -134,11 +138,9 @@ def pokemon_set(text: Column, year: Column) -> Column:
 
 
 def pokemon_set_of() -> Column:
-    in_title = found(F.col("title"), r"\b(?:19|20)\d{2}\b")
-    year = pokemon_year()
-    own = F.when(in_title.isNotNull(), F.nullif(pokemon_set(F.col("title"), in_title), F.lit("")))
-    named = _any_aspect("Set", "Set Name")
-    return F.coalesce(own, F.when(named.isNotNull() & year.isNotNull(), pokemon_set(F.concat(year, F.lit(" "), named, F.lit(" #")), year)))
+    own = let(found(F.col("title"), r"\b(?:19|20)\d{2}\b"), lambda year: F.when(year.isNotNull(), empty_to_null(pokemon_set(F.col("title"), year))))
+    asked = F.struct(_any_aspect("Set", "Set Name").alias("name"), pokemon_year().alias("year"))
+    return F.coalesce(own, let(asked, lambda a: F.when(a["name"].isNotNull() & a["year"].isNotNull(), pokemon_set(F.concat(a["year"], F.lit(" "), a["name"], F.lit(" #")), a["year"]))))
 
 
 def pokemon_number() -> Column:
@@ -178,19 +180,27 @@ def edition_title(text: Column) -> Column:
     for regex in (EDITION_NUMBERING, EDITION_TOKEN, PAREN_DATE):
         t = F.regexp_replace(t, pattern(regex), "")
     t = F.trim(F.regexp_replace(F.regexp_replace(t, "[^a-z0-9 ]+", " "), " +", " "))
-    return F.when(F.length(t) >= 8, t)
+    return let(t, lambda normal: F.when(F.length(normal) >= 8, normal))
+
+
+def _artist(named: Column, parts: Column) -> Column:
+    return F.coalesce(blank_to_null(named), F.when(F.size(parts) > 1, blank_to_null(F.get(parts, F.lit(0)))))
+
+
+def _work(named: Column, parts: Column) -> Column:
+    rest = F.when(empty_to_null(named).isNull() & (F.size(parts) > 1), F.trim(F.array_join(F.slice(parts, 2, 1000), " ")))
+    return F.coalesce(blank_to_null(F.coalesce(aspect("Title"), aspect("Print Name"))), rest, F.col("title"))
 
 
 def art_editions() -> Column:
     gate = F.lower(F.concat_ws(" ", *[_any_aspect(n) for n in ("Type", "Medium", "Print Surface", "Format")], F.nullif(F.col("title"), F.lit("")), F.nullif(F.col("condition"), F.lit(""))))
-    parts = F.split(F.col("title"), pattern(SPACED_DASH))
-    lead = F.when(F.size(parts) > 1, blank_to_null(F.get(parts, F.lit(0))))
-    named = F.nullif(aspect("Artist"), F.lit(""))
-    artist = F.coalesce(blank_to_null(aspect("Artist")), lead)
-    rest = F.when(named.isNull() & (F.size(parts) > 1), F.trim(F.array_join(F.slice(parts, 2, 1000), " ")))
-    work = F.coalesce(blank_to_null(F.coalesce(aspect("Title"), aspect("Print Name"))), rest, F.col("title"))
-    normal = edition_title(work)
-    return F.when(has(gate, EDITION_WORD, False) & artist.isNotNull() & normal.isNotNull(), F.concat(slug(artist), F.lit("|"), slug(normal)))
+    given = F.struct(aspect("Artist").alias("artist"), F.split(F.col("title"), pattern(SPACED_DASH)).alias("parts"))
+
+    def key(g: Column) -> Column:
+        both = F.struct(_artist(g["artist"], g["parts"]).alias("artist"), edition_title(_work(g["artist"], g["parts"])).alias("work"))
+        return let(both, lambda b: F.when(b["artist"].isNotNull() & b["work"].isNotNull(), F.concat(slug(b["artist"]), F.lit("|"), slug(b["work"]))))
+
+    return F.when(has(gate, EDITION_WORD, False), let(given, key))
 
 
 # --- autographs ---------------------------------------------------------------------------------
@@ -244,10 +254,13 @@ def signer_of_title(title: Column) -> Column:
         return F.struct(F.when(goes_on, F.array_append(s["name"], t)).otherwise(s["name"]).alias("name"), goes_on.alias("open"))
 
     run = F.aggregate(tokens, start, step, lambda s: s["name"])
-    # trailing particles fall off: keep up to the last token that is none
-    last = F.array_max(F.transform(run, lambda t, i: F.when(~_bare(t).isin(*PARTICLES), i + 1).otherwise(0)))
-    name = F.slice(run, F.lit(1), F.coalesce(last, F.lit(0)))
-    return F.when(F.size(name) >= 2, F.trim(F.regexp_replace(F.array_join(name, " "), "[.,]+$", "")))
+
+    def without_particles(name: Column) -> Column:
+        """Trailing particles fall off: kept up to the last token that is none."""
+        last = F.array_max(F.transform(name, lambda t, i: F.when(~_bare(t).isin(*PARTICLES), i + 1).otherwise(0)))
+        return F.slice(name, F.lit(1), F.coalesce(last, F.lit(0)))
+
+    return let(let(run, without_particles), lambda name: F.when(F.size(name) >= 2, F.trim(F.regexp_replace(F.array_join(name, " "), "[.,]+$", ""))))
 
 
 def without_suffix(name: Column) -> Column:
@@ -256,7 +269,7 @@ def without_suffix(name: Column) -> Column:
 
 def signer() -> Column:
     named = blank_to_null(F.coalesce(aspect("Signed By"), aspect("Autographed By")))
-    return without_suffix(F.coalesce(F.when(~F.lower(named).isin(*CUT_WORDS), named), signer_of_title(F.col("title"))))
+    return without_suffix(F.coalesce(let(named, lambda n: F.when(~F.lower(n).isin(*CUT_WORDS), n)), signer_of_title(F.col("title"))))
 
 
 def aspect_values() -> Column:
@@ -292,7 +305,7 @@ def watch_brand() -> Column:
 def watch_reference() -> Column:
     named = F.lower(F.regexp_replace(blank_to_null(aspect("Reference Number")), pattern(r"\s+"), ""))
     listed = F.filter(F.transform(F.regexp_extract_all(F.col("title"), F.lit(pattern(REFERENCE, True)), F.lit(1)), F.lower), lambda c: ~c.rlike(r"^(19|20)\d{2}$"))
-    return F.coalesce(F.when(named.rlike(r"\d"), named), F.get(listed, F.lit(0)))
+    return F.coalesce(let(named, lambda n: F.when(n.rlike(r"\d"), n)), F.get(listed, F.lit(0)))
 
 
 def watch_material() -> Column:

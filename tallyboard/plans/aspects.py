@@ -3,7 +3,7 @@ the hunt's index. Each with SQL that knows the result by construction."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyboard import config as C
@@ -47,9 +47,8 @@ BY_ASPECTS = {
 }
 
 
-def _listed(spark: SparkSession, sf_dir: str, vertical: str) -> DataFrame:
+def _listed(p: DataFrame, vertical: str) -> DataFrame:
     """Listings of a vertical: summaries, of which the odd ones are named by their aspects only, which the full items bring."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pk"))
     title, aspects, _ = BY_ASPECTS[vertical]
     odd = F.col("pk") % 2 == 1
     named = [F.struct(F.lit(k).alias("name"), v.alias("value")) for k, v in aspects().items()]
@@ -68,9 +67,9 @@ def _listed(spark: SparkSession, sf_dir: str, vertical: str) -> DataFrame:
 ))
 def tick_aspects(spark, sf_dir):
     """Keys of every vertical's listings, half of which carry them as item specifics of the enriched item."""
-    out = None
+    out, parts = None, tick._parts(spark, sf_dir).select("pk")
     for v in BY_ASPECTS:
-        rows = identity.identify(_listed(spark, sf_dir, v), F.col("matchers"), (v,)).select("pk", F.lit(v).alias("asked"), "key", "enriched")
+        rows = identity.identify(_listed(parts, v), F.col("matchers"), (v,)).select("pk", F.lit(v).alias("asked"), "key", "enriched")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -85,7 +84,7 @@ _AS_POKEMON_SQL = f"{tick._YEAR_SQL} || '|topps-' || {tick._NAME_SQL} || '-rooki
 )
 def tick_order(spark, sf_dir):
     """Listings that two matchers could take: the first in their order does, the second where the first names none."""
-    rows = tick._titled(spark, sf_dir, "sports-cards")
+    rows = tick._titled(tick._parts(spark, sf_dir), "sports-cards")
     order = F.when(F.col("pk") % 3 == 0, F.array(F.lit("watches"), F.lit("autographs"))).when(F.col("pk") % 2 == 1, F.array(F.lit("pokemon"), F.lit("sports-cards"))).otherwise(F.array(F.lit("sports-cards"), F.lit("pokemon")))
     return identity.identify(rows.withColumn("matchers", order), F.col("matchers"), ("sports-cards", "pokemon", "watches", "autographs")).select("pk", "key", "vertical")
 

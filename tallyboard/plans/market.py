@@ -124,7 +124,7 @@ UNION ALL SELECT 'vertical', 0, v, CASE WHEN v = 'watches' THEN (SELECT count(*)
 @query(_ROUNDTRIP_SQL)
 def artifact_roundtrip(spark, sf_dir):
     """Deals, hunt and counts of the tick published as one JSON document, read back by the guarded reader."""
-    rows = tick._judged(spark, sf_dir).withColumn("pos", F.col("pk"))
+    rows = scratch.kept(tick._judged(spark, sf_dir).withColumn("pos", F.col("pk")), "judged")
     older = F.when(F.col("pk") % 4 == 1, "2000-12-30T00:00:00Z").otherwise(AS_OF)
     deals = board.publish_deals(board.deals(rows, AS_OF, "https://example.org").withColumn("surfaced_at", older), CONF)
     best_first = [F.col("rank") * -1, F.col("pk")]
@@ -152,7 +152,7 @@ def artifact_roundtrip(spark, sf_dir):
 @query(f"{tick._JUDGED_SQL} SELECT item_id, key FROM k WHERE key IN (SELECT key FROM book) UNION ALL SELECT item_id, key FROM k WHERE key IS NULL")
 def tick_shortlist(spark, sf_dir):
     """Listings worth a second look: a key of the book, or a watch brand without reference."""
-    rows = tick._judged(spark, sf_dir)
+    rows = scratch.kept(tick._judged(spark, sf_dir).select("item_id", "title", "aspects", "matchers", "key", "matched"), "judged")
     known = rows.filter("matched").select(F.col("key").alias("k")).distinct()
     return board.shortlist(rows, known).select("item_id", "key")
 
@@ -160,9 +160,9 @@ def tick_shortlist(spark, sf_dir):
 @query(" UNION ALL ".join(f"SELECT '{v}' AS vertical, count(*) AS n FROM (SELECT p_partkey AS pk FROM part) WHERE ({key}) IS NOT NULL" for v, (_, key) in tick.TITLES.items()))
 def tick_identified(spark, sf_dir):
     """Listings with a key, by vertical."""
-    out = None
+    out, parts = None, tick._parts(spark, sf_dir)
     for v in tick.TITLES:
-        rows = identity.identify(tick._titled(spark, sf_dir, v), F.col("matchers"), (v,)).select("key", "vertical")
+        rows = identity.identify(tick._titled(parts, v), F.col("matchers"), (v,)).select("key", "vertical")
         out = rows if out is None else out.unionByName(rows)
     return board.identified_counts(out)
 
@@ -170,7 +170,7 @@ def tick_identified(spark, sf_dir):
 @query(f"{tick._JUDGED_SQL} SELECT item_id, {cents_sql('all_in')} AS all_in_c, {cents_sql('med')} AS med_c FROM k WHERE med IS NOT NULL AND reason IS NOT NULL ORDER BY item_id LIMIT 5")
 def tick_near_misses(spark, sf_dir):
     """First matched listings of a vertical of which nothing surfaced."""
-    rows = tick._judged(spark, sf_dir).filter("gate_reason IS NOT NULL").drop("slice_ord", "pos")
+    rows = scratch.kept(tick._judged(spark, sf_dir).select("item_id", "title", "vertical", "matched", "ladder", "all_in", "med", "depth", "gate_reason"), "judged").filter("gate_reason IS NOT NULL")
     return board.near_misses(rows, "watches", 5, ["item_id"]).select("item_id", cents(F.col("all_in")).alias("all_in_c"), cents(F.col("med")).alias("med_c"))
 
 

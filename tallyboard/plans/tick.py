@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from tallyboard.operators import board, identity, pricing, scoring
 from tallyboard.plans.catalog import query
-from tallyboard.plans.twins import AS_OF, CONF, CONF_SQL, DEPTH_SQL, EVIDENCE_SQL, cents, cents_sql, table
+from tallyboard.plans.twins import AS_OF, CONF, CONF_SQL, DEPTH_SQL, EVIDENCE_SQL, cents, cents_sql, spread, table
 from tallyboard.schemas import RAW_LISTING
 from tallyboard.sources import listings as source
+from tallyboard.sources import scratch
 
 FIRST = ("Marlon", "Dario", "Vera", "Hedda", "Orla", "Tobias", "Ines")
 LAST = ("Keel", "Quill", "Stahl", "Lorne", "Finch", "Vane", "Okafor", "Strand")
@@ -82,16 +83,19 @@ TITLES = {
 }
 
 
-def _titled(spark: SparkSession, sf_dir: str, vertical: str) -> DataFrame:
-    """Listings of a vertical as identify() takes them."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pk"))
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pk"), F.col("p_retailprice").alias("r")), "pk")
+
+
+def _titled(rows: DataFrame, vertical: str) -> DataFrame:
+    """Listings of a vertical as identify() takes them, made from the parts."""
     none = F.array().cast("array<struct<name:string,value:string>>")
     return rows.select("pk", TITLES[vertical][0]().alias("title"), F.lit(None).cast("string").alias("condition"), none.alias("aspects"), F.array(F.lit(vertical)).alias("matchers"))
 
 
 def _identity(vertical: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return identity.identify(_titled(spark, sf_dir, vertical), F.col("matchers"), (vertical,)).select("pk", "key", "vertical")
+        return identity.identify(_titled(_parts(spark, sf_dir), vertical), F.col("matchers"), (vertical,)).select("pk", "key", "vertical")
 
     run.__name__ = f"tick_identity_{vertical.replace('-', '_')}"
     run.__doc__ = f"Keys of listings of {vertical}; rows that name none are left without."
@@ -116,9 +120,9 @@ _SIGNALS = {
 @query(" UNION ALL ".join(f"SELECT p_partkey AS pk, '{v}' AS vertical, {a} AS anchor, {g}::VARCHAR AS grader, ({n})::INTEGER AS notes FROM (SELECT p_partkey, p_partkey AS pk FROM part)" for v, (a, g, n) in _SIGNALS.items()))
 def tick_signals(spark, sf_dir):
     """Authenticity anchor, grader and number of notes of every vertical's listings."""
-    out = None
+    out, parts = None, _parts(spark, sf_dir)
     for v in TITLES:
-        rows = _titled(spark, sf_dir, v).select("pk", F.lit(v).alias("vertical"), scoring.risk_signals(F.lit(v)).alias("s"))
+        rows = _titled(parts, v).select("pk", F.lit(v).alias("vertical"), scoring.risk_signals(F.lit(v)).alias("s"))
         rows = rows.select("pk", "vertical", F.col("s.anchor").alias("anchor"), F.col("s.grader").alias("grader"), F.size("s.notes").alias("notes"))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -126,7 +130,7 @@ def tick_signals(spark, sf_dir):
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Watch listings from raw JSON through normalisation, identity, book and gate to risk and rank."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pk"), F.col("p_retailprice").alias("r"))
+    p = _parts(spark, sf_dir)
     options = F.transform(F.array(F.lit("9.5"), (F.col("pk") % 8).cast("string"), F.lit("x")), lambda c: F.struct(F.struct(c.alias("value")).alias("shippingCost")))
     raw = F.struct(
         F.concat(F.lit("v1|"), _number()).alias("itemId"), TITLES["watches"][0]().alias("title"), F.struct((F.col("r") * (30 + F.col("pk") % 60) / 100.0).cast("string").alias("value")).alias("price"),
@@ -180,7 +184,7 @@ def tick_deals(spark, sf_dir):
 )
 def tick_funnel(spark, sf_dir):
     """Polled, matched and surfaced listings of every launch vertical."""
-    rows = _judged(spark, sf_dir)
+    rows = scratch.kept(_judged(spark, sf_dir).select("matchers", "key", "vertical", "matched", "ladder", "gate_reason"), "judged")
     return board.per_vertical(rows, rows)
 
 
@@ -208,7 +212,7 @@ def tick_risk_reasons(spark, sf_dir):
 )
 def tick_context(spark, sf_dir):
     """Rollups of listings: class first, then signer; a class without rollup gives none."""
-    rows = _titled(spark, sf_dir, "autographs")
+    rows = _titled(_parts(spark, sf_dir), "autographs")
     title = F.when(F.col("pk") % 4 == 0, "Huge Megalodon tooth").when(F.col("pk") % 4 == 1, "Ammonite slab").when(F.col("pk") % 4 == 2, F.concat(_first(), F.lit(" "), _last(), F.lit(" signed print"))).otherwise("plain rock")
     context = spark.createDataFrame(
         [("class", "megalodon-tooth", 240.0), ("signer", "vera-stahl", 90.0), ("signer", "marlon-keel", 70.0)], "kind string, k string, med double"

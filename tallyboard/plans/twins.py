@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyboard import config as C
+from tallyboard.sources import scratch
 
 AS_OF = "2001-01-01T00:00:00"
 CONF = C.Config.at(AS_OF)
@@ -21,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows written in as many files as a shuffle has parts: a table in one small file is one task's input, however much its rows take.
+
+    Filters on what is computed from the rows are not pushed below it.
+    """
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    return scratch.kept(rows.repartition(parts, key), "spread")
+
+
 def ms(name: str):
     """Epoch milliseconds of a timestamp without zone."""
     return F.unix_millis(F.col(name).cast("timestamp"))

@@ -1,6 +1,7 @@
 """Identity, gates and scores over our own listings; the clock stands at 2026-08-19 17:00 UTC."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,3 +211,31 @@ def test_context_leads(spark, book):
     assert [r["item_id"] for r in got] == ["l1", "l2"]
     found = {r["item_id"]: r["context"] and r["context"]["k"] for r in pricing.with_context(frame(spark, items, "x"), book.context, F.lit("science")).collect()}
     assert found["l4"] is None and found["l6"] is None and found["l5"] == "nell-arbuckle"
+
+
+def test_slug_class_is_of_ranges_and_equal():
+    """The class that tells texts with compatibility characters is short, and holds these characters and no others."""
+    java = T._HAS_MORE[1:-1].split("&&")
+    spans = [[(int(a, 16), int(b, 16)) for a, b in re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", part)] for part in java]
+    both = {p for a, b in spans[1] for p in range(a, b + 1) if any(lo <= p <= hi for lo, hi in spans[0])}
+    assert both == set(map(ord, T.FOLD_MORE)) and len(spans[1]) < 64 and not any(lo <= ord("é") <= hi for lo, hi in spans[0])
+
+
+def test_values_are_bound_once(spark):
+    """A key's plan names each regular expression of a title a few times, not once for each use of what it gives."""
+    rows = spark.createDataFrame([("a", None, None)], "title string, condition string, aspects array<struct<name:string,value:string>>")
+    plan = rows.select(identity.art_editions().alias("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("numbered|signed") <= 2
+
+
+def test_counts_do_not_find_keys_twice(spark):
+    rows = spark.createDataFrame([("k", "a", "too-shallow"), (None, None, None), ("k", "b", None), ("q", "a", "too-shallow")], "key string, vertical string, gate_reason string")
+    assert sorted(map(tuple, board.identified_counts(rows).collect())) == [("a", 2), ("b", 1)]
+    assert [tuple(r) for r in board.reason_counts(rows).collect()] == [("a", "tooShallow", 2)]
+
+
+def test_parts_of_a_small_file_are_many_tasks(spark):
+    import oracle
+    from tallyboard.plans import tick
+
+    assert tick._parts(spark, oracle.DATA).rdd.getNumPartitions() >= 4
