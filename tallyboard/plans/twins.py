@@ -6,7 +6,7 @@ ones are listings. The return flag plays the grade at the end of a key, the bran
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyboard import config as C
@@ -36,15 +36,34 @@ def ms(name: str):
     return F.unix_millis(F.col(name).cast("timestamp"))
 
 
+def _fused(x: Column, y: Column, z: Column) -> Column:
+    """x * y + z rounded once: the product's and the sum's errors are computed and added last."""
+    (xh, xl), (yh, yl) = ((high, v - high) for v in (x, y) for high in (v * 134217729.0 - (v * 134217729.0 - v),))
+    product = x * y
+    lost = ((xh * yh - product) + xh * yl + xl * yh) + xl * yl
+    total = product + z
+    part = total - product
+    return total + (((product - (total - part)) + (z - part)) + lost)
+
+
+def quantile(values: Column, q: float) -> Column:
+    """Interpolated quantile of a sorted array, to the last bit as the SQL has it: its lower * (1 - d) + upper * d is rounded once before the sum's end."""
+    at = (F.size(values) - 1) * F.lit(q)
+    low = F.floor(at).cast("int")
+    d = at - low
+    a, b = F.get(values, low), F.get(values, low + 1)
+    return F.when(d == 0, a).otherwise(_fused(a, 1 - d, b * d))
+
+
 def book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k, v, med, lo, hi, n, n12, last_sale, last_ms, trend, conf)."""
     sales = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") < F.lit(AS_OF).cast("timestamp_ntz"))
     year = F.lit(AS_OF).cast("timestamp_ntz") - F.expr("INTERVAL 365 DAYS")
     p = F.col("l_extendedprice")
     rows = sales.groupBy("l_partkey", "l_returnflag").agg(
-        F.median(p).alias("med"), F.percentile(p, F.lit(0.1)).alias("lo"), F.percentile(p, F.lit(0.9)).alias("hi"),
+        F.sort_array(F.collect_list(p)).alias("_paid"),
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_shipdate") >= year).alias("n12"), F.max("l_shipdate").alias("last_ts"),
-    ).filter("n >= 3")
+    ).filter("n >= 3").withColumns({c: quantile(F.col("_paid"), q) for c, q in (("med", 0.5), ("lo", 0.1), ("hi", 0.9))})
     key = F.concat(F.col("l_partkey").cast("string"), F.lit("|"), F.col("l_returnflag"))
     conf = F.when(F.col("n") == 3, "thin").when(F.col("n") < 6, "medium").otherwise("high")
     return rows.select(key.alias("k"), F.col("l_returnflag").alias("v"), "med", "lo", "hi", "n", "n12", "last_ts", ms("last_ts").alias("last_ms"), F.lit(None).cast("double").alias("trend"), conf.alias("conf"), F.date_format("last_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_sale"))

@@ -239,3 +239,13 @@ def test_parts_of_a_small_file_are_many_tasks(spark):
     from tallyboard.plans import tick
 
     assert tick._parts(spark, oracle.DATA).rdd.getNumPartitions() >= 4
+
+
+def test_quantiles_are_rounded_as_the_sql_rounds_them(spark):
+    """The 0.9 quantile of these prices is 102940 exactly; rounded twice it is a bit less, and 0.625 of it another whole number."""
+    from tallyboard.plans import twins
+
+    paid = [10867.55, 29487.66, 32634.92, 33902.43, 50471.04, 51422.34, 58019.47, 85032.64, 102755.98, 104596.18]
+    rows = spark.createDataFrame([(paid,)], "xs array<double>")
+    assert rows.select(*[twins.quantile(F.col("xs"), q) for q in (0.5, 0.1, 0.9)]).first()[:] == (50946.69, 27625.649, 102940.0)
+    assert spark.createDataFrame([([1.0, 2.0, 5.0],)], "xs array<double>").select(twins.quantile(F.col("xs"), 0.5)).first()[0] == 2.0
