@@ -139,10 +139,15 @@ def newest_first(ledger: DataFrame, cap: int) -> DataFrame:
 
 
 def deal_receipts(deals: DataFrame, ledger: DataFrame) -> DataFrame:
-    """The first receipt of each deal that shares its id or its item: two equi-joins instead of an OR."""
-    r = ledger.select("ord", F.col("id").alias("_id"), F.col("item_id").alias("_item"), "outcome")
-    hits = deals.select("id", "item_id").join(r, F.col("id") == F.col("_id")).unionByName(deals.select("id", "item_id").join(r, F.col("item_id") == F.col("_item")))
-    first = hits.groupBy("id").agg(F.min_by(F.struct("ord", "outcome"), "ord").alias("_r"))
+    """The first receipt of each deal that shares its id or its item: two equi-joins instead of an OR.
+
+    Each id's and each item's first receipt is found before the joins, so a deal meets two receipts at most however
+    many share its item. Deals that share an id share their first receipt.
+    """
+    r = F.min_by(F.struct("ord", "outcome"), "ord")
+    of_id, of_item = (ledger.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"_{c}")).agg(r.alias(f"_by_{c}")) for c in ("id", "item_id"))
+    met = deals.select("id", "item_id").join(of_id, F.col("id") == F.col("_id"), "left").join(of_item, F.col("item_id") == F.col("_item_id"), "left")
+    first = met.groupBy("id").agg(F.min(F.least("_by_id", "_by_item_id")).alias("_r"))
     return deals.join(first, "id", "left").withColumn("receipt_ord", F.col("_r.ord")).withColumn("outcome", F.col("_r.outcome")).drop("_r")
 
 

@@ -247,3 +247,16 @@ def test_statistics(spark):
     assert spark.range(1).select(board.map_total(F.create_map(F.lit("a"), F.lit(2).cast("long"), F.lit("b"), F.lit(3).cast("long"))).alias("t")).first()["t"] == 5
     doc = json.loads(board.artifact(rows, NOW, NOW).first()["value"])
     assert doc["schema"] == 1 and len(doc["deals"]) == 3 and "closing" not in doc
+
+
+def test_a_deal_meets_one_receipt_of_its_item(spark):
+    """Many receipts of one item are one row before they meet its deals; id and item both count, deals of one id share."""
+    from pyspark.sql import functions as F
+
+    from tallyboard.operators import carry
+
+    ledger = spark.range(2000).select(F.col("id").alias("ord"), F.concat(F.lit("r"), F.col("id").cast("string")).alias("id"), F.lit("hot").alias("item_id"), F.lit("live").alias("outcome"))
+    deals = spark.createDataFrame([("r7", "hot"), ("r9", "none"), ("zz", None), ("r9", "hot")], "id string, item_id string")
+    out = carry.deal_receipts(deals, ledger)
+    assert sorted((r["id"], r["item_id"] or "", r["receipt_ord"]) for r in out.collect()) == [("r7", "hot", 0), ("r9", "hot", 0), ("r9", "none", 0), ("zz", "", None)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("min_by") == 2  # receipts by id and by item
