@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyboard import config as C
@@ -40,33 +41,49 @@ class SliceCursor(StatefulProcessor):
         pass
 
 
+#: Items are dealt by hash to so many groups, each with its items' states as one list: a call of the state store for
+#: each group and not for each item. Part of a checkpoint's layout.
+BUCKETS = 1024
+
+
+def bucketed(stream: DataFrame) -> GroupedData:
+    return stream.withColumn("bucket", F.pmod(F.hash("item_id"), F.lit(BUCKETS))).groupBy("bucket")
+
+
 class FirstSight(StatefulProcessor):
-    """Of an item the first row by tick, slice and place; again only where it was last passed on more than ttl_ms ago."""
+    """Of each item of a bucket the first row by tick, slice and place; again only where it was last passed on more than ttl_ms ago."""
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_ms: int, item: str = "string"):
+        self.ttl_ms, self.item = ttl_ms, item
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "tick_ms long")
+        self.seen = handle.getListState("seen", f"item_id {self.item}, tick_ms long")
+
+    def _keep(self, seen: dict) -> None:
+        """The state, and a timer for the item whose time to live ends first."""
+        if seen:
+            self.seen.put(list(seen.items()))
+            self.handle.registerTimer(min(seen.values()) + self.ttl_ms + 1)
+        else:
+            self.seen.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values(["tick_ms", "slice_ord", "pos"], kind="stable")
-        seen = self.seen.get()[0] if self.seen.exists() else None
+        batch = pd.concat(list(rows)).sort_values(["tick_ms", "slice_ord", "pos"], kind="stable").drop(columns="bucket")
+        seen = dict(self.seen.get()) if self.seen.exists() else {}
         passed = []
-        for i, tick in enumerate(batch["tick_ms"]):
-            if seen is None or tick - seen > self.ttl_ms:
+        for i, (item, tick) in enumerate(zip(batch["item_id"].tolist(), batch["tick_ms"].tolist(), strict=True)):
+            if item not in seen or tick - seen[item] > self.ttl_ms:
                 passed.append(i)
-                seen = int(tick)
+                seen[item] = int(tick)
         if passed:
-            self.seen.update((seen,))
-            self.handle.registerTimer(seen + self.ttl_ms + 1)
+            self._keep(seen)
             yield batch.iloc[passed]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """The time to live is over, unless the item has been passed on again."""
-        if self.seen.exists() and self.seen.get()[0] + self.ttl_ms < expiredTimerInfo.getExpiryTimeInMs():
-            self.seen.clear()
+        """The time to live is over of items that have not been passed on again."""
+        if self.seen.exists():
+            self._keep({i: t for i, t in self.seen.get() if t + self.ttl_ms >= expiredTimerInfo.getExpiryTimeInMs()})
         return iter([])
 
     def close(self) -> None:
@@ -78,7 +95,7 @@ def sweep_stream(stream: DataFrame, ttl_ms: int = C.Config(now_ms=0).seen_ttl_ms
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
     timed = stream.withWatermark("at", "0 seconds")
     fresh = timed.groupBy("slice").transformWithStateInPandas(SliceCursor(), stream.schema, "Append", "EventTime", eventTimeColumnName="at")
-    return fresh.groupBy("item_id").transformWithStateInPandas(FirstSight(ttl_ms), stream.schema, "Append", "EventTime")
+    return bucketed(fresh).transformWithStateInPandas(FirstSight(ttl_ms, stream.schema["item_id"].dataType.simpleString()), stream.schema, "Append", "EventTime")
 
 
 def run_available(rows: DataFrame, path: str, checkpoint: str) -> None:
@@ -103,7 +120,7 @@ CARRY_IN = (
     "med double, last_sale_ms long, thin boolean, ladder boolean, surfaced_ms long"
 )
 CARRY_OUT = "item_id string, lane string, tick_ms long, fate string, all_in double, surfaced_ms long"
-_FROZEN = "lane string, all_in double, med double, last_sale_ms long, thin boolean, ladder boolean, ends_ms long, surfaced_ms long"
+_FROZEN = "item_id string, lane string, all_in double, med double, last_sale_ms long, thin boolean, ladder boolean, ends_ms long, surfaced_ms long"
 
 
 def _stale(last_sale_ms: float | None, conf: C.Config, now_ms: int) -> bool:
@@ -132,8 +149,12 @@ def _known(x):
     return None if x is None or pd.isna(x) else x
 
 
+def _whole(x):
+    return None if _known(x) is None else int(x)
+
+
 class Carried(StatefulProcessor):
-    """An item's row as it was called, through the ticks: read again, and judged against the frozen book call.
+    """The items of a bucket as they were called, through the ticks: read again, and judged against the frozen book call.
 
     A fresh row replaces the state and keeps the time it first surfaced. A deal is `ended` when it is gone, kept
     `as-was` when it was not read, `refreshed` at or below its price, else `re-gated` or `dropped`. A call is `dropped`
@@ -145,23 +166,36 @@ class Carried(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.frozen = handle.getValueState("frozen", _FROZEN)
+        self.frozen = handle.getListState("frozen", _FROZEN)
+        self.names = [f.split()[0] for f in _FROZEN.split(", ")][1:]
+
+    def _states(self) -> dict[str, dict]:
+        return {item: dict(zip(self.names, rest, strict=True)) for item, *rest in self.frozen.get()} if self.frozen.exists() else {}
+
+    def _keep(self, states: dict[str, dict]) -> None:
+        """The states, and a timer for the call that ends first."""
+        if not states:
+            self.frozen.clear()
+            return
+        self.frozen.put([(item, *[state[n] for n in self.names]) for item, state in states.items()])
+        ends = [state["ends_ms"] for state in states.values() if state["lane"] == "closing" and state["ends_ms"] is not None]
+        if ends:
+            self.handle.registerTimer(min(ends))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values(["tick_ms", "kind"], kind="stable")
-        names = [f.split()[0] for f in _FROZEN.split(", ")]
-        state = dict(zip(names, self.frozen.get(), strict=True)) if self.frozen.exists() else None
-        out = []
-        for tick, own in batch.groupby("tick_ms", sort=True):
-            fate, state = self._tick(int(tick), own.to_dict("records"), state)
+        batch = pd.concat(list(rows)).sort_values(["tick_ms", "kind"], kind="stable").drop(columns=["bucket", "at"])
+        own: dict[tuple, list[dict]] = {}
+        for row in zip(*[batch[c].tolist() for c in batch.columns], strict=True):
+            r = dict(zip(batch.columns, row, strict=True))
+            own.setdefault((int(r["tick_ms"]), r["item_id"]), []).append(r)
+        states, out = self._states(), []
+        for (tick, item), read in own.items():
+            fate, state = self._tick(tick, read, states.pop(item, None))
+            if state is not None:
+                states[item] = state
             if fate is not None:
-                out.append((key[0], fate[0], int(tick), *fate[1:]))
-        if state is None:
-            self.frozen.clear()
-        else:
-            self.frozen.update(tuple(state[n] for n in names))
-            if state["lane"] == "closing":
-                self.handle.registerTimer(int(state["ends_ms"]))
+                out.append((item, fate[0], tick, *fate[1:]))
+        self._keep(states)
         if out:
             yield pd.DataFrame(out, columns=[f.split()[0] for f in CARRY_OUT.split(", ")])
 
@@ -173,7 +207,7 @@ class Carried(StatefulProcessor):
         if fresh:
             r = fresh[0]
             was = state["surfaced_ms"] if state is not None and state["lane"] == r["lane"] else now
-            state = {"lane": r["lane"], "all_in": r["cost"], "med": r["med"], "last_sale_ms": _known(r["last_sale_ms"]), "thin": bool(r["thin"]), "ladder": bool(r["ladder"]), "ends_ms": _known(r["ends_ms"]), "surfaced_ms": was}
+            state = {"lane": r["lane"], "all_in": r["cost"], "med": r["med"], "last_sale_ms": _whole(r["last_sale_ms"]), "thin": bool(r["thin"]), "ladder": bool(r["ladder"]), "ends_ms": _whole(r["ends_ms"]), "surfaced_ms": was}
             return (state["lane"], "fresh", state["all_in"], was), state
         if state is None:
             return None, None
@@ -198,11 +232,10 @@ class Carried(StatefulProcessor):
         return (state["lane"], fate, cost, state["surfaced_ms"]), state
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """The auction's end has passed: what is kept of it goes, unless a later end is known by now."""
+        """Auctions whose end has passed: what is kept of them goes, unless a later end is known by now."""
+        now = expiredTimerInfo.getExpiryTimeInMs()
         if self.frozen.exists():
-            ends = dict(zip([f.split()[0] for f in _FROZEN.split(", ")], self.frozen.get(), strict=True))["ends_ms"]
-            if ends is not None and ends <= expiredTimerInfo.getExpiryTimeInMs():
-                self.frozen.clear()
+            self._keep({i: s for i, s in self._states().items() if not (s["lane"] == "closing" and s["ends_ms"] is not None and s["ends_ms"] <= now)})
         return iter([])
 
     def close(self) -> None:
@@ -213,7 +246,7 @@ def carry_stream(stream: DataFrame, conf: C.Config) -> DataFrame:
     """Fates (CARRY_OUT) of the items of a stream of CARRY_IN; `at` is the tick's time and the watermark's."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
     timed = stream.withWatermark("at", "0 seconds")
-    return timed.groupBy("item_id").transformWithStateInPandas(Carried(conf), CARRY_OUT, "Append", "EventTime")
+    return bucketed(timed).transformWithStateInPandas(Carried(conf), CARRY_OUT, "Append", "EventTime")
 
 
 def carried(spark: SparkSession, ticks: list[DataFrame], folder: str, conf: C.Config) -> DataFrame:

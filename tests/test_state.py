@@ -260,3 +260,36 @@ def test_a_deal_meets_one_receipt_of_its_item(spark):
     out = carry.deal_receipts(deals, ledger)
     assert sorted((r["id"], r["item_id"] or "", r["receipt_ord"]) for r in out.collect()) == [("r7", "hot", 0), ("r9", "hot", 0), ("r9", "none", 0), ("zz", "", None)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("min_by") == 2  # receipts by id and by item
+
+
+def test_items_of_a_bucket_share_one_state(spark):
+    """Keys of the carry's and the sweep's state are buckets, so that the state store is not asked once for each item."""
+    from tallyboard.streaming import stateful
+
+    rows = spark.range(5000).selectExpr("cast(id as string) AS item_id")
+    grouped = stateful.bucketed(rows).count()
+    assert grouped.columns[0] == "bucket" and grouped.count() <= stateful.BUCKETS < 5000
+
+
+def test_first_sight_in_a_bucket():
+    """Several items of one bucket, seen and past their time to live, as each alone."""
+    import pandas as pd
+
+    from tallyboard.streaming import stateful
+
+    class State(list):
+        def exists(self):
+            return bool(self)
+
+        def get(self):
+            return iter(self)
+
+        def put(self, rows):
+            self[:] = rows
+
+    sight = stateful.FirstSight(10)
+    sight.seen = State([("a", 0), ("b", 5)])
+    sight.handle = type("Handle", (), {"registerTimer": lambda self, at: None})()
+    batch = pd.DataFrame({"bucket": 1, "item_id": ["a", "b", "c", "c", "c"], "tick_ms": [11, 15, 15, 20, 26], "slice_ord": 0, "pos": range(5)})
+    out = pd.concat(list(sight.handleInputRows((1,), iter([batch]), None)))
+    assert out[["item_id", "tick_ms"]].values.tolist() == [["a", 11], ["c", 15], ["c", 26]] and dict(sight.seen) == {"a": 11, "b": 5, "c": 26}
