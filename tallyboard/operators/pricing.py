@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyboard import config as C
 from tallyboard.functions.text import half_up, has, slug
 from tallyboard.operators import identity as I
+from tallyboard.sources import scratch
 
 #: Most rungs of a grading scale.
 MOST_RUNGS = 1_000
@@ -152,38 +153,68 @@ def query_tokens(q: Column) -> Column:
     return F.filter(F.split(F.lower(q), r"\s+"), lambda w: (w != "") & ~w.isin(*QUERY_STOP))
 
 
-#: Characters of the parts of words by which titles and entries meet; shorter words meet by all they have.
-GRAM = 3
+#: Characters of the parts of words that are counted, and by which the words that may begin at a place of a title are found.
+GRAM = 4
+#: Titles with a word that one task takes; entries of a more frequent word go to as many tasks as that needs.
+SHARE = 1 << 16
+#: Word beginnings that are broadcast; more are met by a shuffle.
+MOST_STARTS = 500_000
 
 
 def _grams(words: Column) -> Column:
-    """All parts of one to GRAM characters of words, with the length of the word's longest part where it is shorter."""
+    """All parts of one to GRAM characters of words, each once."""
     def of(w: Column, n: int) -> Column:
         return F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
     return F.array_distinct(F.flatten(F.transform(words, lambda w: F.concat(*[of(w, n) for n in range(1, GRAM + 1)]))))
 
 
+def _rarest_words(titles: DataFrame, worded: DataFrame) -> DataFrame:
+    """Entries with _word and _also, their two rarest words (the same if there is one), and _n, titles that may have _word.
+
+    A word is taken to be as frequent as its rarest part of GRAM characters, of equals the longest is the rarest; entries
+    with a part that no title has are left out.
+    """
+    own = [c for c in worded.columns if c != "_words"]
+    parts = titles.select(F.explode(_grams(F.split(F.lower("title"), r"\s+"))).alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_n"))
+    words = worded.select(F.explode("_words").alias("_word")).distinct()
+    cut = words.select("_word", F.explode(F.filter(_grams(F.array("_word")), lambda g: F.length(g) == F.least(F.lit(GRAM), F.length("_word")))).alias("_gram"))
+    bound = cut.join(parts, "_gram", "left").groupBy("_word").agg(F.min(F.coalesce("_n", F.lit(0))).alias("_n"))
+    # the sizes of exploded rows are not foreseen, so no side may be chosen for a broadcast
+    known = worded.select(*own, F.explode(F.array_distinct("_words")).alias("_word")).join(bound.hint("merge"), "_word")
+    ranked = known.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("_n", (-F.length("_word")).alias("l"), "_word"))).alias("_by"))
+    first, second = F.get("_by", F.lit(0)), F.get("_by", F.lit(1))
+    return ranked.filter(first["_n"] > 0).select(*own, first["_word"].alias("_word"), F.coalesce(second["_word"], first["_word"]).alias("_also"), first["_n"].alias("_n"))
+
+
+def _met(titles: DataFrame, worded: DataFrame) -> DataFrame:
+    """titles joined to the entries whose rarest word they hold, and whose second rarest."""
+    kept = scratch.kept(_rarest_words(titles, worded).withColumns({"_gram": F.substring("_word", 1, GRAM), "_len": F.length("_word")}), "entries")
+    lengths = kept.groupBy("_gram", "_len").agg(F.ceil(F.max("_n") / SHARE).alias("_slots"))
+    starts = lengths.groupBy("_gram").agg(F.collect_list(F.struct("_len", "_slots")).alias("_ends"))
+    starts = F.broadcast(starts) if starts.limit(MOST_STARTS + 1).count() <= MOST_STARTS else starts.hint("merge")
+    size, at = F.length("_low"), F.col("_at")
+    places = titles.withColumns({"_low": F.lower("title"), "_part": F.xxhash64(*[c for c, kind in titles.dtypes if "map<" not in kind])}).filter(size > 0)
+    places = places.withColumn("_at", F.explode(F.sequence(F.lit(1), size)))
+    begun = places.withColumn("_gram", F.explode(F.array(*[F.when(at + (n - 1) <= size, F.substring(F.col("_low"), at, F.lit(n))) for n in range(1, GRAM + 1)]))).join(starts, "_gram")
+    ends = begun.withColumn("_end", F.explode("_ends")).filter(at + F.col("_end._len") - 1 <= size).withColumn("_word", F.substring(F.col("_low"), at, F.col("_end._len")))
+    once = ends.filter(F.instr(F.col("_low"), F.col("_word")) == at).withColumn("_slot", F.pmod("_part", F.col("_end._slots")))
+    dealt = kept.join(lengths.hint("merge"), ["_gram", "_len"]).withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slots") - 1)))
+    both = once.select(*titles.columns, "_low", "_word", "_slot").join(dealt.drop("_gram", "_len", "_slots", "_n").hint("merge"), ["_word", "_slot"])
+    return both.filter(F.contains("_low", "_also")).drop("_low", "_word", "_slot", "_also")
+
+
 def relevant_pairs(titles: DataFrame, entries: DataFrame) -> DataFrame:
     """titles joined to the entries that relevant() lets them suit, for any number of entries.
 
     titles: with `title`; entries: hunt_id, q, title_must, title_not, vertical. Every word of a query is a part of a
-    title's word, so the two share the query's rarest part of GRAM characters (of its longest word, if all are shorter):
-    they meet there and nowhere else, and an entry with a part that no title has meets nothing. Entries whose query has
-    no words meet every title; they are an array on each row, and more than 64 of them are an error.
+    title's word, so the two share the whole of the query's rarest word: they meet there and nowhere else, and an entry
+    with a part that no title has meets nothing. Entries whose query has no words meet every title; they are an array on
+    each row, and more than 64 of them are an error.
     """
-    low = F.split(F.lower("title"), r"\s+")
-    asked = entries.withColumn("_words", F.when(F.col("q").isNotNull(), query_tokens(F.col("q"))))
-    worded = asked.filter(F.size("_words") > 0)
-    open_ = asked.filter(F.col("_words").isNull() | (F.size("_words") == 0)).drop("_words")
-    parts = titles.select(F.explode(_grams(low)).alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_n"))
-    longest = F.least(F.lit(GRAM), F.array_max(F.transform("_words", F.length)))
-    own = worded.select("hunt_id", "q", "title_must", "title_not", "vertical", F.explode(F.filter(_grams(F.col("_words")), lambda g: F.length(g) == longest)).alias("_gram"))
-    counted = own.join(parts, "_gram", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    rarest = counted.groupBy("hunt_id").agg(F.min_by(F.struct("q", "title_must", "title_not", "vertical", "_gram", "_n"), F.struct("_n", "_gram")).alias("e")).select("hunt_id", "e.*").filter("_n > 0").drop("_n")
-    used = rarest.select("_gram").distinct()
-    met = titles.withColumn("_gram", F.explode(_grams(low))).join(used, "_gram", "left_semi").join(rarest, "_gram").drop("_gram")
-    few = open_.limit(65).collect()
+    asked = entries.select("hunt_id", "q", "title_must", "title_not", "vertical").withColumn("_words", F.when(F.col("q").isNotNull(), query_tokens(F.col("q"))))
+    met = _met(titles, asked.filter(F.size("_words") > 0))
+    few = asked.filter(F.col("_words").isNull() | (F.size("_words") == 0)).drop("_words").limit(65).collect()
     if len(few) > 64:
         raise ValueError("more than 64 entries without words")
     if few:

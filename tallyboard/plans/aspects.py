@@ -10,7 +10,7 @@ from tallyboard import config as C
 from tallyboard.operators import board, identity, pricing, scoring
 from tallyboard.plans import tick
 from tallyboard.plans.catalog import query
-from tallyboard.plans.twins import table
+from tallyboard.plans.twins import spread, table
 from tallyboard.schemas import RAW_LISTING
 from tallyboard.sources import listings as source
 
@@ -146,7 +146,7 @@ _HUNT_TITLE = "p_name || ' no' || p_partkey::VARCHAR || ' ' || p_brand"
 )
 def hunt_index(spark, sf_dir):
     """Which parts suit which of as many hunt entries, by the rarest part of each entry's words."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey")
     number = F.col("p_partkey").cast("string")
     titles = p.select("p_partkey", F.concat("p_name", F.lit(" no"), number, F.lit(" "), "p_brand").alias("title"))
     tens, sevens = F.floor(F.col("p_partkey") / 10).cast("string"), F.floor(F.col("p_partkey") / 7).cast("string")

@@ -166,3 +166,17 @@ def test_slugs_of_compatibility_characters(spark):
 def test_leading_player_and_rollups(spark):
     rows = spark.createDataFrame([("Reggie White, Game Used Jersey",), ("reggie White",), ("Reggie. White. x",)], "title string")
     assert [r[0] for r in rows.select(pricing.leading_player(F.col("title"))).collect()] == ["reggie-white", None, "reggie-white"]
+
+
+def test_words_meet_whole(spark, monkeypatch):
+    """Numbered titles and entries meet by whole words, so that pairs grow as the input does, and frequent words are dealt out."""
+    n = 2000
+    titles = spark.range(n).select(F.col("id").alias("p"), F.concat(F.lit("Widget no"), (F.col("id") + 10_000).cast("string"), F.when(F.col("id") % 9 == 0, " 77 rare77").otherwise("")).alias("title"))
+    none = F.lit(None).cast("string")
+    rows = spark.range(n).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("hunt_id"), F.when(F.col("id") == 0, "rare77 widget").otherwise(F.concat(F.lit("widget no"), (F.col("id") + 10_000).cast("string"))).alias("q"), none.alias("title_must"), none.alias("title_not"), F.lit("other").alias("vertical"))
+    monkeypatch.setattr(pricing, "SHARE", 16)
+    monkeypatch.setattr(pricing, "relevant", lambda *_: F.lit(True))
+    met = [tuple(r) for r in pricing.relevant_pairs(titles, rows).select("hunt_id", "p").collect()]
+    assert len(met) == len({*met}) == n - 1 + len(range(0, n, 9))
+    monkeypatch.setattr(pricing, "MOST_STARTS", 0)
+    assert sorted(met) == sorted(tuple(r) for r in pricing.relevant_pairs(titles, rows).select("hunt_id", "p").collect())
