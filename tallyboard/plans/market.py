@@ -11,7 +11,7 @@ from tallyboard.functions.text import millis
 from tallyboard.operators import board, carry, identity, scoring, windows
 from tallyboard.plans import tick
 from tallyboard.plans.catalog import query
-from tallyboard.plans.twins import AS_OF, CONF, DEPTH_SQL, cents, cents_sql, table
+from tallyboard.plans.twins import AS_OF, CONF, DEPTH_SQL, cents, cents_sql, spread, table, tasks
 from tallyboard.schemas import DEAL
 from tallyboard.sources import artifact as published_files
 from tallyboard.sources import listings as source
@@ -256,7 +256,7 @@ def carry_no_book(spark, sf_dir):
     return out.select("item_id", "fate", cents(F.col("price")).alias("price_c"))
 
 
-# --- a large book in one file -----------------------------------------------------------------------
+# --- a large book in one document -----------------------------------------------------------------------
 _COPIES = 10
 
 
@@ -265,14 +265,19 @@ _COPIES = 10
     SELECT pos, k, v, {cents_sql('med')} AS med_c FROM r"""
 )
 def book_file(spark, sf_dir):
-    """A book of many rows as one JSON document in one file, cut and read by many tasks; keys hold braces, quotes and backslashes."""
-    p = table(spark, sf_dir, "part").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(_COPIES - 1))))
+    """A book of many rows as one JSON document, written in the order of its rows, cut and read by many tasks; keys hold braces, quotes and backslashes."""
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice"), "p_partkey")
+    first = parts.agg(F.min("p_partkey") * _COPIES).first()[0]
+    p = parts.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(_COPIES - 1))))
     pos = F.col("p_partkey") * _COPIES + F.col("i")
     row = F.struct(F.concat("p_name", F.lit(" {"), F.col("i").cast("string"), F.lit('"}\\')).alias("k"), F.col("p_brand").alias("v"), F.struct(F.lit(1).alias("depth"), F.array(F.lit("]"), F.lit("[")).alias("marks")).alias("more"), F.col("p_retailprice").cast("double").alias("med"))
-    rows = p.select(pos.alias("pos"), F.concat(F.when(pos > 0, ",").otherwise(""), F.to_json(row)).alias("value"))
-    ends = spark.createDataFrame([(-1, '{"schema": 1, "gradeLadder": {"base": 1, "rungs": {"10": 2.0}}, "none": [], "context": [{"k": "c"}], "rows": ['), (1 << 60, '], "also": [{"k": "x"}]}')], "pos long, value string")
+    begin = '], "rows": ['
+    rows = p.select(pos.alias("pos"), F.concat(F.when(pos > first, ",").otherwise(begin), F.to_json(row)).alias("value"))
+    ends = spark.createDataFrame([(-1, '{"schema": 1, "gradeLadder": {"base": 1, "rungs": {"10": 2.0}}, "none": [], "context": [{"k": "c"}'), (1 << 60, (begin if first is None else "") + '], "also": [{"k": "x"}]}')], "pos long, value string")
     path = scratch.new_folder(spark, "book")
-    rows.unionByName(ends).repartition(1).sortWithinPartitions("pos").select("value").write.text(path)
+    # every text ends with a brace, which ends its line: ranges of rows are files that follow each other
+    lines = rows.unionByName(ends).select("pos", F.substring("value", F.lit(1), F.length("value") - 1).alias("value"))
+    lines.repartitionByRange(tasks(spark), "pos").sortWithinPartitions("pos").select("value").write.option("lineSep", "}").text(path)
     read = split.array_objects(spark, path, "rows", split=1 << 17)
     book = F.from_json("text", "k STRING, v STRING, med DOUBLE")
     return read.select("pos", book.alias("b")).select("pos", "b.k", "b.v", cents(F.col("b.med")).alias("med_c"))

@@ -22,13 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(spark: SparkSession) -> int:
+    """As many as a shuffle has parts, and as there are cores at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """rows written in as many files as a shuffle has parts: a table in one small file is one task's input, however much its rows take.
 
     Filters on what is computed from the rows are not pushed below it.
     """
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
-    return scratch.kept(rows.repartition(parts, key), "spread")
+    return scratch.kept(rows.repartition(tasks(rows.sparkSession), key), "spread")
 
 
 def ms(name: str):

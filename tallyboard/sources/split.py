@@ -7,6 +7,9 @@ start. A second pass cuts the objects: an object of an array under a key ends wh
 back to two. What a split's first object began before it, and what its last one goes on after it, are put
 together from at most two texts of each split.
 
+The document may also lie in several files of a folder, one after the other by name, so that many tasks can write it; each
+file but the last has to end with a closing brace.
+
 The driver sees a few numbers and two partial objects of each split, never the objects themselves.
 """
 
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,8 +25,9 @@ from pyspark.sql import functions as F
 
 from tallyboard.sources import scratch
 
-#: Bytes of a split.
+#: Bytes of a split; of a document that would have more than MOST_SPLITS the splits are larger.
 SPLIT = 32 << 20
+MOST_SPLITS = 2_048
 _KEY = re.compile(r'"((?:[^"\\]|\\.)*)"\s*:\s*\[\s*$', re.S)
 _EMPTY = re.compile(r'"((?:[^"\\]|\\.)*)"\s*:\s*\[\s*\]', re.S)
 _ESCAPE = re.compile(r"\\.", re.S)
@@ -60,9 +65,20 @@ def _object_start(text: str, inside: bool, depth: int) -> int:
     return -1
 
 
-def _fragments(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("lineSep", "}").text(path)
-    return rows.select(F.col("_metadata.file_block_start").alias("block"), "value")
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name, bytes) of the document's files in its order."""
+    found = spark.read.format("binaryFile").load(path).select("path", "length").collect()
+    return sorted((r["path"].rsplit("/", 1)[-1], r["length"]) for r in found)
+
+
+def _fragments(spark: SparkSession, path: str, files: list[tuple[str, int]]) -> DataFrame:
+    """(block, value): texts up to each closing brace, with the place of their split in the whole document."""
+    rows = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_name").alias("_name"), F.col("_metadata.file_block_start").alias("block"), "value")
+    if len(files) < 2:
+        return rows.select("block", "value")
+    starts = accumulate((length for _, length in files), initial=0)
+    known = spark.createDataFrame([(name, at) for (name, _), at in zip(files, starts, strict=False)], "_name string, _at long")
+    return rows.join(F.broadcast(known), "_name").select((F.col("_at") + F.col("block")).alias("block"), "value")
 
 
 def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str]]:
@@ -143,9 +159,10 @@ def array_objects(spark: SparkSession, path: str, key: str, split: int = SPLIT)
     """(pos, text): the objects of the array under `key` of the document at path, in order. ValueError if it has no such array."""
     conf = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(conf)
-    spark.conf.set(conf, str(split))
+    files = _files(spark, path)
+    spark.conf.set(conf, str(max(split, sum(length for _, length in files) // MOST_SPLITS)))
     try:
-        rows = _fragments(spark, path)
+        rows = _fragments(spark, path, files)
         ends = sorted(tuple(r) for r in rows.mapInArrow(_summaries, "block long, in0 boolean, d0 long, in1 boolean, d1 long").collect())
         starts, inside, depth = {}, False, 0
         for block, in0, d0, in1, d1 in ends:

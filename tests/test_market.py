@@ -81,6 +81,19 @@ def test_large_document(spark, tmp_path, n, size, indent):
     assert split.array_objects(spark, path, "empty", split=size).count() == 0
 
 
+@pytest.mark.parametrize(("size", "most"), [(64, 2048), (64, 7), (1 << 20, 2048)])
+def test_document_in_several_files(spark, tmp_path, monkeypatch, size, most):
+    monkeypatch.setattr(split, "MOST_SPLITS", most)
+    doc = {"none": [], "rows": [{"k": f'{i} "}}\\', "more": {"marks": ["]", "["]}} for i in range(300)], "also": [{"k": "x"}]}
+    parts = [x + "}" for x in json.dumps(doc).split("}")[:-1]]
+    for i in range(5):
+        (tmp_path / f"part-{i:05}").write_text("".join(parts[i * len(parts) // 5 : (i + 1) * len(parts) // 5]))
+    rows = split.array_objects(spark, str(tmp_path), "rows", split=size).collect()
+    assert [json.loads(r["text"]) for r in sorted(rows, key=lambda r: r["pos"])] == doc["rows"]
+    assert sorted(r["pos"] for r in rows) == list(range(300))
+    assert [r["text"] for r in split.array_objects(spark, str(tmp_path), "also", split=size).collect()] == ['{"k": "x"}']
+
+
 @pytest.mark.parametrize("text", ["{}", '{"error": {"message": "no"}}', '{"rowz": [{"k": 1}]}', '{"rows": {"k": {"k": {}}}}', "<html>502</html>"])
 def test_document_without_the_array(spark, tmp_path, text):
     (tmp_path / "bad.json").write_text(text)
